@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, quantiles
+from wardenlake.llm import bpe, confusables, quantiles
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,21 @@ def p3_merged_weeks(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(weekly, ["agent_id", "week"], PROBS, REL_ERR)
 
 
+def _two_texts(spark: SparkSession, d: str) -> DataFrame:
+    texts = [spread(table(spark, d, t).select("seq", "content")).select(F.lit(t).alias("tbl"), "seq", "content") for t in ("messages", "attacks")]
+    return texts[0].unionByName(texts[1])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = confusables.same_look_pairs(_two_texts(spark, d), "seq", "content", ["tbl"])
+    return pairs.select("tbl", F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """One consistent form for each content."""
+    return confusables.consistent_forms(_two_texts(spark, d), "seq", "content", ["tbl"])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -68,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
     "p3_merged_weeks": p3_merged_weeks,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p6_ids": p6_ids,
 }
 
