@@ -17,6 +17,18 @@ PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 REL_ERR = 0.01
 
 
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each agent for every day of ``ts``, every week and all time, each span made by adding those below it."""
+    perf = table(spark, d, "perf").withColumn("since", F.to_date("ts"))
+    day = quantiles.sketch(perf, ["agent_id", "since"], PERF_VALUES, REL_ERR)
+    week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), ["agent_id", "since"])
+    whole = quantiles.merge(week.withColumn("since", F.lit(None).cast("date")), ["agent_id", "since"])
+    spans = {"day": day, "week": week, "all": whole}
+    keys = ["agent_id", "since"]
+    parts = [quantiles.percentiles(s, keys, PROBS, REL_ERR).withColumn("span", F.lit(name)) for name, s in spans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of both numbers of each agent over all days."""
     keys = ["agent_id"]
@@ -80,6 +92,7 @@ def _percentile_sql(keys: dict[str, str]) -> str:
 
 
 QUERIES: dict[str, Query] = {
+    "p3_spans": p3_spans,
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
     "p3_merged_weeks": p3_merged_weeks,
@@ -88,7 +101,11 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
 }
 
+_DAY = "CAST(ts AT TIME ZONE 'UTC' AS DATE)"
+_SPANS = {"day": _DAY, "week": f"CAST(date_trunc('week', {_DAY}) AS DATE)", "all": "CAST(NULL AS DATE)"}
+
 ORACLES: dict[str, str] = {
+    "p3_spans": " UNION ALL ".join(f"SELECT *, '{name}' AS span FROM ({_percentile_sql({'agent_id': 'agent_id', 'since': e})})" for name, e in _SPANS.items()),
     "p3_percentiles": _percentile_sql({"agent_id": "agent_id"}),
     "p3_daily_percentiles": _percentile_sql({"agent_id": "agent_id", "day": "CAST(ts AT TIME ZONE 'UTC' AS DATE)"}),
     "p3_merged_weeks": _percentile_sql({"agent_id": "agent_id", "week": "CAST(date_trunc('week', ingest_day) AS DATE)"}),
