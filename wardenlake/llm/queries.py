@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, confusables, quantiles
+from wardenlake.llm import bpe, confusables, language, quantiles
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,16 +18,36 @@ PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 REL_ERR = 0.01
 
 
+def _message_languages(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages").select("seq", "content", "lang")
+    fitted = language.fit(spark, language.sample_labelled(messages, "seq", "content", language.code_column(F.col("lang"))))
+    return language.identify(spread(messages), "seq", "content", "lang", fitted)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = language.wrong_or_mixed(_message_languages(spark, d))
+    return found.select(F.col("id").alias("seq"), "lang")
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch in one language, with its confidence."""
+    rows = _message_languages(spark, d).select(F.col("id").alias("seq"), F.posexplode("segments").alias("segment", "s"))
+    return rows.select("seq", "segment", "s.start_pos", "s.length", "s.lang", "s.confidence")
+
+
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each agent for every day of ``ts``, every week and all time, each span made by adding those below it."""
-    perf = table(spark, d, "perf").withColumn("since", F.to_date("ts"))
-    day = quantiles.sketch(perf, ["agent_id", "since"], PERF_VALUES, REL_ERR)
-    week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), ["agent_id", "since"])
-    whole = quantiles.merge(week.withColumn("since", F.lit(None).cast("date")), ["agent_id", "since"])
-    spans = {"day": day, "week": week, "all": whole}
-    keys = ["agent_id", "since"]
-    parts = [quantiles.percentiles(s, keys, PROBS, REL_ERR).withColumn("span", F.lit(name)) for name, s in spans.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Percentiles of each agent for every day and week of ``ts`` and of ``ingest_day``, and for all time; each span is made by adding
+    the sketches of the spans in it."""
+    perf, keys, parts = table(spark, d, "perf"), ["agent_id", "since"], []
+    for day_of, since in (("ts", F.to_date("ts")), ("ingest_day", F.col("ingest_day"))):
+        day = quantiles.sketch(perf.withColumn("since", since), keys, PERF_VALUES, REL_ERR)
+        week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), keys)
+        spans = {"day": day, "week": week}
+        if day_of == "ts":
+            spans["all"] = quantiles.merge(week.withColumn("since", F.lit(None).cast("date")), keys)
+        for name, sketches in spans.items():
+            parts.append(quantiles.percentiles(sketches, keys, PROBS, REL_ERR).withColumns({"span": F.lit(name), "day_of": F.lit(day_of)}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +113,8 @@ def _percentile_sql(keys: dict[str, str]) -> str:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p3_spans": p3_spans,
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
@@ -102,10 +125,18 @@ QUERIES: dict[str, Query] = {
 }
 
 _DAY = "CAST(ts AT TIME ZONE 'UTC' AS DATE)"
-_SPANS = {"day": _DAY, "week": f"CAST(date_trunc('week', {_DAY}) AS DATE)", "all": "CAST(NULL AS DATE)"}
+_SPANS = [
+    ("day", "ts", _DAY),
+    ("week", "ts", f"CAST(date_trunc('week', {_DAY}) AS DATE)"),
+    ("all", "ts", "CAST(NULL AS DATE)"),
+    ("day", "ingest_day", "ingest_day"),
+    ("week", "ingest_day", "CAST(date_trunc('week', ingest_day) AS DATE)"),
+]
 
 ORACLES: dict[str, str] = {
-    "p3_spans": " UNION ALL ".join(f"SELECT *, '{name}' AS span FROM ({_percentile_sql({'agent_id': 'agent_id', 'since': e})})" for name, e in _SPANS.items()),
+    "p3_spans": " UNION ALL ".join(
+        f"SELECT *, '{span}' AS span, '{day_of}' AS day_of FROM ({_percentile_sql({'agent_id': 'agent_id', 'since': e})})" for span, day_of, e in _SPANS
+    ),
     "p3_percentiles": _percentile_sql({"agent_id": "agent_id"}),
     "p3_daily_percentiles": _percentile_sql({"agent_id": "agent_id", "day": "CAST(ts AT TIME ZONE 'UTC' AS DATE)"}),
     "p3_merged_weeks": _percentile_sql({"agent_id": "agent_id", "week": "CAST(date_trunc('week', ingest_day) AS DATE)"}),
