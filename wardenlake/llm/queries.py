@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, confusables, language, quantiles
+from wardenlake.llm import bpe, confusables, language, pii, quantiles
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,28 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", "segment", "s.start_pos", "s.length", "s.lang", "s.confidence")
 
 
+#: The key of the surrogates; a deployment passes its own.
+SURROGATE_KEY = b"wardenlake test key"
+
+
+def _private_texts(spark: SparkSession, d: str) -> DataFrame:
+    texts = [
+        spread(table(spark, d, t).select("seq", F.col(c).alias("text"))).select(F.lit(t).alias("tbl"), "seq", "text")
+        for t, c in (("messages", "content"), ("memory_ops", "value"))
+    ]
+    return texts[0].unionByName(texts[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    marks = pii.with_surrogates(_private_texts(spark, d), "seq", "text", ["tbl"], SURROGATE_KEY)
+    return marks.select("tbl", F.col("id").alias("seq"), F.col("kind").alias("pii_type"), "start_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders, and with surrogates."""
+    return pii.replaced_texts(_private_texts(spark, d), "seq", "text", ["tbl"], SURROGATE_KEY).withColumnRenamed("id", "seq")
+
+
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each agent for every day and week of ``ts`` and of ``ingest_day``, and for all time; each span is made by adding
     the sketches of the spans in it."""
@@ -115,6 +137,8 @@ def _percentile_sql(keys: dict[str, str]) -> str:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_spans": p3_spans,
     "p3_percentiles": p3_percentiles,
     "p3_daily_percentiles": p3_daily_percentiles,
