@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, confusables, language, pii, quantiles
+from wardenlake.llm import bpe, confusables, language, pairs, pii, quantiles
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PERF_VALUES = ("execution_time", "token_usage")
 PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 REL_ERR = 0.01
+#: Labelled documents that fit the language trees; they are ten times as long as messages.
+DOCUMENT_ROWS = 2000
 
 
 def _message_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +109,20 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.consistent_forms(_two_texts(spark, d), "seq", "content", ["tbl"])
 
 
+def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    """Labelled samples of both corpora that say in which language they are."""
+    messages = table(spark, d, "messages").select("seq", "content", "lang")
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    code = language.code_column(F.col("lang"))
+    return language.sample_labelled(messages, "seq", "content", code) + language.sample_labelled(documents, "doc_id", "text", code, DOCUMENT_ROWS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    evals = table(spark, d, "evals").select("seq", "input", "output", "expected")
+    endings = pairs.fit_endings(evals, "seq", "output", "expected")
+    return pairs.find_defects(spread(evals), "seq", "input", "output", language.fit(spark, _labelled(spark, d)), endings)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -145,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "p3_merged_weeks": p3_merged_weeks,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
 }
 
