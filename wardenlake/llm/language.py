@@ -108,8 +108,8 @@ class Script:
         self.only_latin = {c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B)]) if ord(c) not in self.cyrillic}
         self.only_other = {c for c in map(chr, range(0x370, 0x590)) if c.isalpha() and not self.table.get(ord(unicodedata.normalize("NFD", c)[0]), "-")[0].isascii() or chr(ord(c)) in "дйжцщшчъыэюбзлДЖЦЩШЧЪЫЭЮБЗЛ"}
 
-    def plain(self, text: str) -> str:
-        """The piece in lower case, composed, in one width and one alphabet, without names, figures and code words."""
+    def alphabet(self, text: str) -> str:
+        """The text composed, in one width and one alphabet, without invisible characters."""
         if not text.isascii():
             text = unicodedata.normalize("NFKC", text)
             text = "".join(c for c in text if unicodedata.category(c) != "Cf")
@@ -118,6 +118,11 @@ class Script:
                 text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(self.table))
             elif other and any(c.isascii() and c.isalpha() for c in text):
                 text = re.sub(r"\w*[A-Za-z]\w*", lambda m: m[0].translate(self.cyrillic) if any(c >= "Ѐ" for c in m[0]) else m[0], text)
+        return text
+
+    def plain(self, text: str) -> str:
+        """The piece in lower case and one alphabet, without names, figures and code words."""
+        text = self.alphabet(text)
         text = _NOT_WORDS.sub(" ", text)
         if not text.isupper():
             text = _NAMES.sub(" ", text)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, confusables, language, pairs, pii, quantiles
+from wardenlake.llm import bpe, confusables, language, pairs, pii, quantiles, reading
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    samples = table(spark, d, "level_samples")
+    labelled = language.sample_labelled(documents, "doc_id", "text", language.code_column(F.col("lang")), DOCUMENT_ROWS)
+    labelled += language.sample_labelled(samples, "sample_id", "text", language.code_column(F.col("lang")), DOCUMENT_ROWS)
+    found = reading.grades(documents, "doc_id", "text", samples, language.fit(spark, labelled))
+    return found.select(F.col("id").alias("doc_id"), "grade")
+
+
 def _percentile_sql(keys: dict[str, str]) -> str:
     """The buckets and ranks of ``quantiles`` in DuckDB's SQL."""
     names = ", ".join(keys)
@@ -163,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
 }
 
 _DAY = "CAST(ts AT TIME ZONE 'UTC' AS DATE)"
