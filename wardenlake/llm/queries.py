@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe, confusables, language, pairs, pii, quantiles, reading
+from wardenlake.llm import bpe, confusables, language, mixing, pairs, pii, quantiles, reading
+from wardenlake.plans.lineage import cut
 from wardenlake.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +128,24 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return documents.select(F.col("doc_id").alias("id"), "source", bpe.count_column(F.col("text")).alias("tokens"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
+    mixed = mixing.mix(_document_sizes(spark, d), table(spark, d, "mix_targets"))
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    sizes, targets = cut(_document_sizes(spark, d)), table(spark, d, "mix_targets")
+    known = sizes.withColumn("source", mixing.source_name(F.col("source"))).filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
+    return mixing.shares(mixing.mix(sizes, targets), mixing.plan(known, targets))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text", "lang")
     samples = table(spark, d, "level_samples")
@@ -172,6 +191,8 @@ QUERIES: dict[str, Query] = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
 
