@@ -16,16 +16,17 @@ EXPENSIVE = "High token usage detected. Consider prompt optimization"
 def running_stats(perf: DataFrame) -> DataFrame:
     """(seq, agent_id, total_executions, avg_execution_time, success_rate) up to and including each row.
 
-    NULL and NaN times are left out of the average; a NULL success counts as none.
+    NULL, NaN and infinite times are left out of the average; a NULL success counts as none. Times are added as decimals of nine places, so that
+    the sums don't depend on where stretches of the log begin.
     """
-    time = F.nanvl(F.col("execution_time"), F.lit(None).cast("double"))
+    time = F.nanvl(F.col("execution_time"), F.lit(None).cast("double")).try_cast("decimal(38,9)")
     sums = running_sums(
         perf.select("seq", "agent_id", "execution_time", "success"),
         ["agent_id"],
         "seq",
         {"n": F.lit(1), "_timed": time.isNotNull().cast("int"), "_time": time, "_ok": F.coalesce("success", F.lit(False)).cast("int")},
     )
-    return sums.select("seq", "agent_id", F.col("n").alias("total_executions"), F.when(F.col("_timed") > 0, F.col("_time") / F.col("_timed")).alias("avg_execution_time"), (F.col("_ok") / F.col("n")).alias("success_rate"))
+    return sums.select("seq", "agent_id", F.col("n").alias("total_executions"), F.when(F.col("_timed") > 0, F.col("_time").cast("double") / F.col("_timed")).alias("avg_execution_time"), (F.col("_ok") / F.col("n")).alias("success_rate"))
 
 
 def statistics(perf: DataFrame) -> DataFrame:

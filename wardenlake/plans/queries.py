@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenlake.operators import attacks, evaluation, memory, observability, patches, performance, taint, trust
@@ -30,6 +30,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def rounded(column: str) -> Column:
+    """Six places. Means of few rows often lie halfway between two rounded values; 1e-9 takes them to one side in either engine."""
+    return F.round(F.col(column) + F.lit(1e-9), 6).alias(column)
+
+
 def _any(column: str, phrases: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({column}), '{p}') THEN '{p}'" for p in phrases) + " END"
 
@@ -173,31 +178,31 @@ _TIME = "CASE WHEN isnan(execution_time) THEN NULL ELSE execution_time END"
 _OK = "CAST(coalesce(success, false) AS INT)"
 
 
-@query(f"""SELECT seq, agent_id, count(*) OVER w AS total_executions, round(avg({_TIME}) OVER w, 6) AS avg_execution_time, round(avg({_OK}) OVER w, 6) AS success_rate
+@query(f"""SELECT seq, agent_id, count(*) OVER w AS total_executions, round(CAST(sum(CAST({_TIME} AS DECIMAL(38, 9))) OVER w AS DOUBLE) / count({_TIME}) OVER w + 1e-9, 6) AS avg_execution_time, round(avg({_OK}) OVER w + 1e-9, 6) AS success_rate
     FROM perf WINDOW w AS (PARTITION BY agent_id ORDER BY seq)""")
 def perf_running_stats(spark: SparkSession, d: str) -> DataFrame:
     out = performance.running_stats(table(spark, d, "perf"))
-    return out.select("seq", "agent_id", F.col("total_executions").cast("bigint").alias("total_executions"), *[F.round(c, 6).alias(c) for c in ("avg_execution_time", "success_rate")])
+    return out.select("seq", "agent_id", F.col("total_executions").cast("bigint").alias("total_executions"), rounded("avg_execution_time"), rounded("success_rate"))
 
 
-@query(f"SELECT agent_id, count(*) AS total_executions, round(avg({_TIME}), 6) AS avg_execution_time, round(avg({_OK}), 6) AS success_rate FROM perf GROUP BY agent_id")
+@query(f"SELECT agent_id, count(*) AS total_executions, round(avg({_TIME}) + 1e-9, 6) AS avg_execution_time, round(avg({_OK}) + 1e-9, 6) AS success_rate FROM perf GROUP BY agent_id")
 def perf_stats(spark: SparkSession, d: str) -> DataFrame:
     out = performance.statistics(table(spark, d, "perf"))
-    return out.select("agent_id", "total_executions", *[F.round(c, 6).alias(c) for c in ("avg_execution_time", "success_rate")])
+    return out.select("agent_id", "total_executions", *[rounded(c) for c in ("avg_execution_time", "success_rate")])
 
 
 @query(f"""WITH a AS (SELECT agent_id, avg({_TIME}) AS t, arg_min_null(token_usage, seq) AS f, avg(coalesce(token_usage, 0)) AS k FROM perf GROUP BY agent_id)
-    SELECT agent_id, 'performance' AS type, 'medium' AS severity, '{performance.SLOW}' AS suggestion, 'execution_time' AS metric, round(t, 6) AS value FROM a WHERE t > 5
-    UNION ALL SELECT agent_id, 'efficiency', 'low', '{performance.EXPENSIVE}', 'token_usage', round(k, 6) FROM a WHERE coalesce(f, 0) <> 0 AND k > 1000""")
+    SELECT agent_id, 'performance' AS type, 'medium' AS severity, '{performance.SLOW}' AS suggestion, 'execution_time' AS metric, round(t + 1e-9, 6) AS value FROM a WHERE t > 5
+    UNION ALL SELECT agent_id, 'efficiency', 'low', '{performance.EXPENSIVE}', 'token_usage', round(k + 1e-9, 6) FROM a WHERE coalesce(f, 0) <> 0 AND k > 1000""")
 def perf_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return performance.suggestions(table(spark, d, "perf")).withColumn("value", F.round("value", 6))
+    return performance.suggestions(table(spark, d, "perf")).withColumn("value", rounded("value"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------------------
 @query("""WITH m AS (SELECT unnest(map_entries(metrics)) AS e FROM evals)
-    SELECT e.key AS metric, round(avg(e.value), 6) AS score, count(*) AS n FROM m WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY e.key""")
+    SELECT e.key AS metric, round(avg(e.value) + 1e-9, 6) AS score, count(*) AS n FROM m WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY e.key""")
 def eval_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.aggregate(table(spark, d, "evals")).withColumn("score", F.round("score", 6))
+    return evaluation.aggregate(table(spark, d, "evals")).withColumn("score", rounded("score"))
 
 
 @query("""SELECT seq, CAST(length(output) AS DOUBLE) AS characters, CASE WHEN expected IS NULL OR output IS NULL THEN NULL ELSE CAST(output = expected AS DOUBLE) END AS exact FROM evals""")
@@ -259,10 +264,10 @@ def logs_by_level(spark: SparkSession, d: str) -> DataFrame:
     return observability.logs(rows, level="error", limit=30)
 
 
-@query("SELECT event_type AS metric_name, count(value) AS n, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value FROM events GROUP BY 1")
+@query("SELECT event_type AS metric_name, count(value) AS n, min(value) AS min_value, max(value) AS max_value, round(avg(value) + 1e-9, 6) AS avg_value FROM events GROUP BY 1")
 def metric_stats(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "events").select(F.col("event_type").alias("metric_name"), "value")
-    return observability.metric_stats(points).withColumn("avg_value", F.round("avg_value", 6))
+    return observability.metric_stats(points).withColumn("avg_value", rounded("avg_value"))
 
 
 # --- taint ---------------------------------------------------------------------------------------------------------------------------
