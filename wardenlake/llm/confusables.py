@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardenlake.plans.lineage import cut
+
 # Default-ignorable characters outside the category Cf.
 IGNORED = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 #: Bidirectional overrides change the visible order and stay.
@@ -101,7 +103,8 @@ def skeleton_column(text: Column, spark: SparkSession) -> Column:
         for texts in batches:
             yield pd.Series([None if t is None else skeleton(t, known) for t in texts], dtype=object)
 
-    return run(text)
+    # not to be run again, or before a repartition, for a filter on its result
+    return run.asNondeterministic()(text)
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, by: list[str]) -> DataFrame:
@@ -118,7 +121,7 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, by: list[str]) ->
     copies of one string never meet. Contents of very many rows are salted on both sides. Rows with equal
     ids make no pair of their own, NULL texts make none, blank texts are texts like others; an empty table gives no pairs.
     """
-    rows = _hashed(df, id_col, text_col, by)
+    rows = cut(_hashed(df, id_col, text_col, by))
     contents = rows.groupBy(*by, "_look", "_content").agg(F.count(F.lit(1)).alias("_n"))
     looks = contents.groupBy(*by, "_look").agg(F.count(F.lit(1)).alias("_forms")).filter("_forms > 1").drop("_forms")
     varied = contents.join(looks, [*by, "_look"], "left_semi")
@@ -147,7 +150,7 @@ def consistent_forms(df: DataFrame, id_col: str, text_col: str, by: list[str]) -
     the hash of the skeleton. NULL has the form NULL; every row of the input is kept, repeated rows too.
     """
     text = F.col(text_col)
-    rows = df.select(*by, F.col(id_col), text.alias("_text"), F.sha2(skeleton_column(text, df.sparkSession), 256).alias("look"))
+    rows = cut(df.select(*by, F.col(id_col), text.alias("_text"), F.sha2(skeleton_column(text, df.sparkSession), 256).alias("look")))
     odd = F.length(F.regexp_replace("_text", r"[\x00-\x7F]", ""))
     best = rows.groupBy(*by, "look").agg(F.min(F.struct(odd.alias("odd"), F.col("_text").alias("form"))).alias("_best"))
     same = F.lit(True)
