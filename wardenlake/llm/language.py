@@ -71,12 +71,17 @@ NAMES = {name: line.split()[0] for line in LANGUAGES.strip().splitlines() for na
 
 _PIECE = re.compile(r".+?(?:[.!?…]+[\"'”»)\]]*(?=\s)|[。！？]+|$)", re.M)
 _LATIN_RUN = r"[^\s、-ヿ一-鿿]*"
-_NOT_WORDS = re.compile(rf"\S+ ?[\[(] ?(?:at|arroba|arobase) ?[\])] ?\S+(?: ?[\[(](?:dot|punto|point|punkt)[\])] ?\S+)*|https?://\S+|www\.\S+|<[^<>\s]*/?>|{_LATIN_RUN}[\d_@#\\|=<>{{}}\[\]^~`]{_LATIN_RUN}|[•*→]+")
+_SPELT_AT = re.compile(r"[\[(] ?(?:at|arroba|arobase) ?[\])]")
+_SPELT_ADDRESS = re.compile(r"\S+ ?[\[(] ?(?:at|arroba|arobase) ?[\])] ?\S+(?: ?[\[(](?:dot|punto|point|punkt)[\])] ?\S+)*")
+_NOT_WORDS = re.compile(rf"https?://\S+|www\.\S+|<[^<>\s]*/?>|{_LATIN_RUN}[\d_@#\\|=<>{{}}\[\]^~`]{_LATIN_RUN}|[•*→]+")
 # Abbreviations before names and numbers.
 _SHORT = re.compile(r"(?:^|[\s(¿])(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Mme|Mlle|Dr|Dra|Sr|Sra|Prof|Hr|Fr|St|Str|Apt|Tel|tel|Tél|tél|No|no|Nr|nr|n|ca|z\. ?B|bzw)\.$")
 _WORD = re.compile(r"[^\W\d_ぁ-ヿ一-鿿]{2,}|[ぁ-ヿ一-鿿]{2}")
 #: Capitalised words that don't begin the piece: names in most languages; German does without its nouns, in fitting and scoring alike.
 _NAMES = re.compile(r"(?<=[\w,;:)»”\"'’.-] )[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*\.?")
+_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0xE0080) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_OTHER_ALPHABET = re.compile("[Ͱ-֏]")
+_LATIN_LETTER = re.compile("[A-Za-z]")
 #: A line of names only, below a greeting.
 _SIGNATURE = re.compile(r"\s*[A-ZÀ-Þ][^\s\d]*(?:,? [A-ZÀ-Þ][^\s\d]*)+\s*")
 _CODE = re.compile(r"\bSELECT\b.*\bFROM\b|\b(?:INSERT INTO|DELETE FROM|UPDATE \w+ SET|CREATE TABLE)\b|^\s*[\[{].*[\]}]\s*$|^\s*(?:for|while|if|def|class|import|from|return)\b.*[:(=]\s*\S*$|^\s*\w+\(.*\)\s*;?\s*$|[{}]\s*$|\);\s*$|=>|::|\+=|&&|\|\|", re.S)
@@ -110,19 +115,22 @@ class Script:
 
     def alphabet(self, text: str) -> str:
         """The text composed, in one width and one alphabet, without invisible characters."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFKC", text)
-            text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        if text.isascii():
+            return text
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+        if _OTHER_ALPHABET.search(text):
             latin, other = sum(map(self.only_latin.__contains__, text)), sum(map(self.only_other.__contains__, text))
-            if any("Ͱ" <= c <= "֏" for c in text) and latin >= other:
+            if latin >= other:
                 text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(self.table))
-            elif other and any(c.isascii() and c.isalpha() for c in text):
+            elif _LATIN_LETTER.search(text):
                 text = re.sub(r"\w*[A-Za-z]\w*", lambda m: m[0].translate(self.cyrillic) if any(c >= "Ѐ" for c in m[0]) else m[0], text)
         return text
 
     def plain(self, text: str) -> str:
         """The piece in lower case and one alphabet, without names, figures and code words."""
         text = self.alphabet(text)
+        if _SPELT_AT.search(text):
+            text = _SPELT_ADDRESS.sub(" ", text)
         text = _NOT_WORDS.sub(" ", text)
         if not text.isupper():
             text = _NAMES.sub(" ", text)
@@ -399,7 +407,8 @@ def segments_column(text: Column, spark: SparkSession, fitted: tuple[Model, Scri
                 got += segments_of(values[i : i + 1000], model, script)
             yield pd.Series(got, dtype=object)
 
-    return run(text)
+    # not to be run again, or before a repartition, for a filter on its result
+    return run.asNondeterministic()(text)
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, fitted: tuple[Model, Script]) -> DataFrame:
