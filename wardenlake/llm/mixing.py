@@ -44,11 +44,11 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
         both = both.withColumn("_total", F.coalesce(room, F.lit(0.0)))
     else:
         both = both.withColumn("_total", F.lit(float(total)))
-    return both.withColumn("planned", F.floor(F.least(most, F.coalesce("target_share", F.lit(0.0)) * F.col("_total"))).cast("bigint")).drop("_total")
+    return both.withColumn("planned", F.floor(F.least(most, F.coalesce("target_share", F.lit(0.0)) * F.col("_total")) + F.lit(1e-6)).cast("bigint")).drop("_total")
 
 
 def _scaled(weighed: DataFrame, planned: DataFrame) -> DataFrame:
-    """(source, scale): the factor by which weights become expected copies, so that capped copies give the planned tokens.
+    """(source, scale): the factor by which weights become expected copies, so that capped copies give the planned tokens; NULL if all are capped.
 
     Weights are summed in steps of a few per cent, of which there are few; where the largest are capped, the others take what is left.
     """
@@ -58,7 +58,7 @@ def _scaled(weighed: DataFrame, planned: DataFrame) -> DataFrame:
     same_or_less = Window.partitionBy("source").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
     tried = steps.join(planned.select("source", "planned", "max_repeats"), "source").withColumns({"_capped": F.coalesce(F.sum("_tokens").over(larger), F.lit(0)), "_rest": F.sum("_weighed").over(same_or_less)})
     scale = (F.col("planned") - F.col("max_repeats") * F.col("_capped")) / F.col("_rest")
-    fits = (scale * F.col("_top") <= F.col("max_repeats") * (1 + 1e-9)) & (scale >= 0)
+    fits = (scale * F.col("_top") <= F.col("max_repeats") * WEIGHT_STEP) & (scale >= 0)
     return tried.withColumn("_scale", scale).groupBy("source").agg(F.max_by("_scale", F.when(fits, F.col("_step"))).alias("scale"))
 
 
@@ -98,7 +98,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     planned = cut(plan(sizes, targets, total))
     weighed = sizes.withColumn("_weight", F.pow(F.col("tokens").cast("double"), F.lit(LENGTH_POWER)))
     per_source = planned.join(_scaled(weighed, planned), "source").select("source", "planned", "max_repeats", "scale").filter("planned > 0")
-    copies = F.least(F.col("max_repeats").cast("double"), F.coalesce("scale", F.lit(0.0)) * F.col("_weight"))
+    copies = F.least(F.col("max_repeats").cast("double"), F.coalesce("scale", F.lit(float("inf"))) * F.col("_weight"))
     expected = weighed.join(F.broadcast(per_source), "source").withColumn("_copies", copies)
     expected = expected.withColumn("_whole", F.floor(F.col("_copies") + F.lit(1e-9))).withColumn("_p", F.greatest(F.lit(0.0), F.col("_copies") - F.col("_whole")))
     expected = cut(expected.select("id", "source", "tokens", "planned", "max_repeats", "_whole", "_p"))
