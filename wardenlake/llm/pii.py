@@ -79,7 +79,7 @@ _DE_TAIL = rf"(?:(?:, ?|\n)(?:\d{{5}} (?-i:[A-ZÄÖÜ])[\w'’-]+|(?-i:[A-ZÄÖ
 _FR_TAIL = r"(?:(?:, ?|\n)(?:\d{5} )(?-i:[A-ZÀ-Þ])[\w'’-]+| à (?-i:[A-ZÀ-Þ])[\w'’-]+)?"
 _ES_TAIL = rf"(?:, \d+\.º ?\w?)?(?:(?:, ?|\n)(?:\d{{5}} (?-i:[A-ZÀ-Þ])[\w'’-]+|(?-i:[A-ZÀ-Þ])[\w'’-]+{_CITY_END}))?"
 ADDRESSES = [
-    re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-z]?,? (?P<words>(?:[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’.-]* ){{1,3}}?)(?:{_EN_STREET})\b\.?(?![\w'’-]){_EN_TAIL}", re.I),
+    re.compile(rf"(?<![\w.,/-])\d{{1,5}}[a-z]?,? (?P<words>(?:St\. )?(?:[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’-]* ){{1,3}}?)(?:{_EN_STREET})\b\.?(?![\w'’-]){_EN_TAIL}", re.I),
     re.compile(rf"(?<![\w-])(?-i:(?:An|Am|Auf|Im|In|Zum|Zur|Bei)(?: der| dem| den)? |an der )?(?P<words>[A-Za-zÄÖÜäöüß][A-Za-zÄÖÜäöüß-]{{2,}}(?:{_DE_STREET}))\s+\d{{1,4}} ?[a-z]?(?![\w]){_DE_TAIL}", re.I),
     re.compile(rf"(?<![\w-])(?:(?:An|Am|Auf|Im|In|Zum|Zur)(?: der| dem| den)? )?(?P<words>[A-ZÄÖÜ][a-zäöüß]+(?:[bdfgklmnprstz]ring|hof|markt|graben|wall|berg|tor))\s+\d{{1,4}} ?[a-z]?(?![\w])(?i:{_DE_TAIL})"),
     re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?: ?(?:bis|ter|quater))?,? (?:{_FR_STREET}) (?:de la |de l['’]|du |des |de |d['’]|la |le |les )?(?P<words>[^\W\d_][\w'’-]+(?: (?-i:[A-ZÀ-Þ])[\w'’-]+)*){_FR_TAIL}", re.I),
