@@ -28,6 +28,7 @@ HEAD_WORDS = 50_000
 LEAST_SPREAD = 0.03
 FEATURES = ("coverage", "sentence", "word")
 
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+")
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LINK = re.compile(r"\(?\b(?:https?://|www\.)\S*[^\s.,;:!?]|\(v\d[\d.]*\)")
 _BULLET = re.compile(r"^(?:[*•‣◦▪–—-]|\d+[.)])\s+")
@@ -40,7 +41,8 @@ _PAYLOAD = re.compile(r"^\s*[\[{|<]|^\s+at \S+\(|^\S+,\S*,\S*|\w+=\S+ \w+=\S+|^\
 
 def fold(text: str) -> str:
     """In lower case, without accents and invisible characters."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    text = text.casefold()
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def running_sentences(text: str) -> list[str]:
@@ -51,13 +53,13 @@ def running_sentences(text: str) -> list[str]:
             continue
         line = _BULLET.sub("", " ".join(line.split()))
         tokens = line.split()
-        plain = sum(bool(_PLAIN_TOKEN.fullmatch(t)) for t in tokens)
+        plain = sum(1 for t in tokens if t.isalpha() or _PLAIN_TOKEN.fullmatch(t))
         if plain >= 2 and plain >= 0.6 * len(tokens):
             out += [s for s in _SENTENCES.split(line) if len(_WORD.findall(s)) >= 2]
     return out
 
 
-PREPARED = "struct<lang:string,sentences:bigint,letters:bigint,words:array<struct<word:string,n:int>>>"
+PREPARED = "struct<lang:string,sentences:bigint,letters:bigint,words:array<string>,counts:array<int>>"
 
 
 def _prepared(texts: list, fitted: tuple, languages: list[str] | None) -> list[dict | None]:
@@ -78,7 +80,7 @@ def _prepared(texts: list, fitted: tuple, languages: list[str] | None) -> list[d
             out.append(None)
             continue
         letters = sum(len(w) * n for w, n in words.items())
-        out.append({"lang": lang, "sentences": len(s), "letters": letters, "words": [{"word": w, "n": n} for w, n in words.items()]})
+        out.append({"lang": lang, "sentences": len(s), "letters": letters, "words": list(words), "counts": list(words.values())})
     return out
 
 
@@ -94,10 +96,11 @@ def prepared_column(text: Column, spark: SparkSession, fitted: tuple, lang: Colu
             for k in range(0, len(texts), 200):
                 given = None if unknown else [x if isinstance(x, str) else None for x in langs[k : k + 200]]
                 got += _prepared(list(texts[k : k + 200]), known, given)
-            none = {"lang": None, "sentences": None, "letters": None, "words": None}
+            none = {"lang": None, "sentences": None, "letters": None, "words": None, "counts": None}
             yield pd.DataFrame([g or none for g in got], columns=list(none), dtype=object)
 
-    return run(text, text if unknown else lang)
+    # not to be run again, or before a repartition, for a filter on its result
+    return run.asNondeterministic()(text, text if unknown else lang)
 
 
 def word_ranks(words: DataFrame) -> DataFrame:
@@ -154,10 +157,10 @@ def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted
     graded = samples.select(F.col("grade").cast("bigint").alias("grade"), F.col("text").alias("_text"), F.lower("lang").alias("_lang")).filter("_text IS NOT NULL AND grade IS NOT NULL")
     graded = graded.select("grade", prepared_column(F.col("_text"), spark, fitted, F.col("_lang")).alias("p")).filter("p.words IS NOT NULL")
     graded = cut(graded.select("grade", "p.*").withColumn("_row", F.monotonically_increasing_id()))
-    words, sample_words = (x.select("_row", "lang", F.inline("words")) for x in (rows, graded))
+    words, sample_words = (x.select("_row", "lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))) for x in (rows, graded))
     ranks = cut(word_ranks(words))
-    profiles = cut(_profiles(_features(graded.drop("words"), sample_words, ranks, share)))
-    documents = _features(rows.drop("words"), words, ranks, share)
+    profiles = cut(_profiles(_features(graded.drop("words", "counts"), sample_words, ranks, share)))
+    documents = _features(rows.drop("words", "counts"), words, ranks, share)
     spreads = [f"{f}_sd" for f in FEATURES]
     own = profiles.filter("lang IS NOT NULL")
     overall = profiles.filter("lang IS NULL").select(F.struct("profiles", *spreads).alias("_all"))
