@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardenlake.llm import language, pairs
+from wardenlake.llm import pairs
 from wardenlake.llm.queries import _labelled
 from wardenlake.sources.tables import table
 
@@ -22,7 +22,8 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def known(spark):
-    return language.fit(spark, _labelled(spark, SF)), pairs.fit_endings(table(spark, SF, "evals"), "seq", "output", "expected")
+    evals = table(spark, SF, "evals")
+    return pairs.adapted(spark, _labelled(spark, SF), evals, "seq", "input", "expected"), pairs.fit_endings(evals, "seq", "output", "expected")
 
 
 @pytest.mark.parametrize(("prompt", "response", "want"), CASES)
@@ -37,4 +38,6 @@ def test_rows(spark, known):
     assert sorted(map(str, got.collect())) == sorted(["Row(seq=1, defect='empty')"] * 2 + ["Row(seq=None, defect='empty')"])
     assert pairs.find_defects(df.limit(0), "seq", "input", "output", *known).count() == 0
     none = spark.createDataFrame([], "seq bigint, input string, output string, expected string")
+    model, _ = pairs.adapted(spark, [("the run stopped", "en")], none, "seq", "input", "expected")
+    assert model.languages == ["en"]
     assert pairs.fit_endings(none, "seq", "output", "expected").bits(["x"]).shape == (1,)

@@ -121,7 +121,8 @@ def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     evals = table(spark, d, "evals").select("seq", "input", "output", "expected")
     endings = pairs.fit_endings(evals, "seq", "output", "expected")
-    return pairs.find_defects(spread(evals), "seq", "input", "output", language.fit(spark, _labelled(spark, d)), endings)
+    fitted = pairs.adapted(spark, _labelled(spark, d), evals, "seq", "input", "expected")
+    return pairs.find_defects(spread(evals), "seq", "input", "output", fitted, endings)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
