@@ -16,7 +16,6 @@ from wardenlake.plans.lineage import cut
 INITIAL, LOWEST, HIGHEST, THRESHOLD = 0.5, 0.0, 1.0, 0.6
 #: Steps, or runs of steps, that one task folds for an agent.
 FAN = 1000
-_RUN = "struct<lo:double,hi:double,d:double>"
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
