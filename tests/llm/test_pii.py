@@ -48,7 +48,18 @@ def test_texts(spark):
 
 
 def test_collisions_are_resolved(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate_entity", lambda key, kind, entity, gender, attempt: entity if attempt == 0 else f"s{(hash((entity, attempt)) if False else int(entity) * (attempt == 1) + attempt * 100) % 37 if attempt < 3 else entity + 'x'}")
+    def crowded(key, kind, entity, gender, attempt):
+        """Itself, then one of few, then its own."""
+        return entity if attempt == 0 else f"s{int(entity) % 7}" if attempt < 3 else f"{entity}x"
+
+    monkeypatch.setattr(pii, "surrogate_entity", crowded)
     found = spark.createDataFrame([("id_number", str(i), "", str(i)) for i in range(40)], "kind string, entity string, gender string, found string")
     got = pii.entities_of(found, b"k").collect()
     assert len({r.surrogate for r in got}) == 40 and not {r.surrogate for r in got} & {r.entity for r in got} and len({r.tag for r in got}) == 40
+
+
+def test_given_names_are_learned(spark):
+    rows = [(f"It was sent by Ottokar {i}. {f}.",) for i, f in (("K", "Lindner"), ("L", "Maurer"), ("M", "Novak"))] + [("Said by Rarely K. Seen.",), (None,), ("",)]
+    names = pii.given_names(spark.createDataFrame(rows, "text string"), "text")
+    assert "ottokar" in names and "rarely" not in names and names["anna"] == "f"
+    assert [x[2:4] for x in pii.find("we met ottokar lindner and Ottokar Hus", {}, names)] == [("name", "ottokar lindner"), ("name", "ottokar hus")]

@@ -23,6 +23,9 @@ from wardenlake.llm import confusables
 from wardenlake.plans.lineage import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: Different family names before which an unlisted word must stand to count as a given name, and how many such words are kept.
+LEARN_FAMILIES, LEARN_NAMES = 3, 20_000
+_SHOWN = r"(?<=[a-zß-ÿ] )[A-ZÀ-Þ][a-zß-ÿ]{2,} [A-Z]\. [A-ZÀ-Þ][a-zß-ÿ]{2,}"
 #: Rounds of giving colliding surrogates another try.
 COLLISION_ROUNDS = 12
 
@@ -57,7 +60,6 @@ STARTERS = set(
 _FIRST = {n.lower(): g for names, g in ((FEMALE, "f"), (MALE, "m")) for n in names.split()}
 _FIRST |= {"".join(c for c in unicodedata.normalize("NFD", n) if not unicodedata.combining(c)): g for n, g in _FIRST.items()}
 
-_W = r"[^\W\d_]"
 _AT = r"(?: ?@ ?| ?[(\[{<] ?(?:at|a|arroba|arobase|chiocciola) ?[)\]}>] ?)"
 _AT_WORD = r" (?:at|arroba|arobase|chiocciola) "
 _DOT_WORD = r"(?: ?[(\[{] ?(?:dot|punto|point|punkt|punt|ponto) ?[)\]}] ?| (?:dot|punto|point|punkt|punt|ponto) )"
@@ -231,7 +233,7 @@ def _is_family(word: str) -> bool:
     return len(word) > 1 and word.lower() not in STARTERS and word.lower().partition("-")[0] not in STARTERS
 
 
-def _names(text: str, spans: _Spans) -> None:
+def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
     for m in _TITLED.finditer(text):
         title, word = m[1], m[2]
         first = word.rpartition(" ")[2] or word
@@ -242,23 +244,23 @@ def _names(text: str, spans: _Spans) -> None:
         start, end = m.start(2), m.end(2)
         for (a, b), rx in zip(_NAME_CASES, _GIVEN_FAMILY, strict=True):
             more = rx.match(text, start)
-            if more and more[1].lower() in _FIRST and _is_family(more[2]):
+            if more and more[1].lower() in given and _is_family(more[2]):
                 end = more.end()
                 break
         if text[end : end + 1] == "-" and text[end + 1 : end + 2].isdigit():
             continue
         spans.add(start, end, "name")
-    if any(t in _FIRST for t in _TOKENS.findall(text.lower())):
+    if any(t in given for t in _TOKENS.findall(text.lower())):
         for rx in _FAMILY_GIVEN:
             for m in rx.finditer(text):
                 whole = text[: m.start()].rstrip(" \"'")[-1:] in ("", "|", "=", ":", "\n", "-") and text[m.end() : m.end() + 1] in ("", "|", ";", '"', "\n")
-                if (m[1][0].isupper() or whole) and m[2].lower() in _FIRST and m[1].lower() not in _FIRST and _is_family(m[1]) and len(m[1]) > 2:
+                if (m[1][0].isupper() or whole) and m[2].lower() in given and m[1].lower() not in given and _is_family(m[1]) and len(m[1]) > 2:
                     spans.add(m.start(), m.end(), "name")
         for rx in _GIVEN_FAMILY:
             at = 0
             while m := rx.search(text, at):
                 at = m.end(1)
-                if m[1].lower() in _FIRST and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
+                if m[1].lower() in given and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
                     if spans.add(m.start(), m.end(), "name"):
                         at = m.end()
     for m in _INITIAL.finditer(text):
@@ -276,8 +278,8 @@ def _names(text: str, spans: _Spans) -> None:
             spans.add(m.start(1) + m[1].index(value) + skip, m.start(1) + m[1].index(value) + len(value), "name")
 
 
-def find(text: str, table: dict[int, str]) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, entity, gender) of the occurrences in a text, by position.
+def find(text: str, table: dict[int, str], given: dict[str, str] = _FIRST) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, entity, gender) of the occurrences in a text, by position; ``given`` are the known given names and their gender.
 
     ``entity`` is the canonical writing that all ways of writing one address, number or name share.
     """
@@ -293,7 +295,7 @@ def find(text: str, table: dict[int, str]) -> list[tuple[int, int, str, str, str
                 if not (_NO_STREET & set(words)) and words[-1] not in _NO_COMPOUND:
                     spans.add(m.start(), m.end(), "address")
         _numbers(plain, spans)
-    _names(plain, spans)
+    _names(plain, spans, given)
     out = []
     for a, b, kind in sorted(spans.found):
         entity, gender = _entity(plain[a:b], kind, plain[max(0, a - 12) : a])
@@ -320,6 +322,19 @@ def _entity(found: str, kind: str, before: str) -> tuple[str, str]:
     return " ".join(w for i, w in enumerate(words) if i in (0, len(words) - 1) or len(w.rstrip(".")) > 1), gender or _FIRST.get(words[0], "")
 
 
+def given_names(df: DataFrame, text_col: str) -> dict[str, str]:
+    """The listed given names, and those that the corpus shows.
+
+    A capitalised word inside a sentence, before an initial and a family name, is a given name if it stands so before ``LEARN_FAMILIES`` different family names at
+    least. The most frequent ``LEARN_NAMES`` of them come to the driver.
+    """
+    shown = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_SHOWN), F.lit(0))).alias("_shown")
+    parts = df.select(shown).select(F.lower(F.element_at(F.split("_shown", " "), 1)).alias("name"), F.element_at(F.split("_shown", " "), -1).alias("family"))
+    counted = parts.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEARN_FAMILIES)
+    learned = counted.orderBy(F.desc("n"), "name").limit(LEARN_NAMES).collect()
+    return {r["name"]: "" for r in learned if r["name"] not in STARTERS} | _FIRST
+
+
 OCCURRENCE = "array<struct<start_pos:bigint,length:bigint,kind:string,entity:string,gender:string,found:string>>"
 
 
@@ -328,15 +343,15 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, by: list[str]) -> Dat
 
     NULL and empty texts have none; repeated rows have theirs each. Other columns are ignored.
     """
-    table = df.sparkSession.sparkContext.broadcast(confusables.prototypes(df.sparkSession))
+    table = df.sparkSession.sparkContext.broadcast((confusables.prototypes(df.sparkSession), given_names(df, text_col)))
 
     @F.pandas_udf(OCCURRENCE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = table.value
+        known, given = table.value
         for texts in batches:
             yield pd.Series(
                 [
-                    [{"start_pos": a + 1, "length": b - a, "kind": kind, "entity": e, "gender": g, "found": t[a:b]} for a, b, kind, e, g in find(t, known)] if t else []
+                    [{"start_pos": a + 1, "length": b - a, "kind": kind, "entity": e, "gender": g, "found": t[a:b]} for a, b, kind, e, g in find(t, known, given)] if t else []
                     for t in texts
                 ],
                 dtype=object,
