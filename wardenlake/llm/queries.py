@@ -60,6 +60,12 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.replaced_texts(_private_texts(spark, d), "seq", "text", ["tbl"], SURROGATE_KEY).withColumnRenamed("id", "seq")
 
 
+def _percentiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The percentiles to nine places, as the engines' exponentials differ in the last bit."""
+    out = quantiles.percentiles(sketches, keys, PROBS, REL_ERR)
+    return out.withColumns({c: F.round(c, 9) for c in PROBS})
+
+
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each agent for every day and week of ``ts`` and of ``ingest_day``, and for all time; each span is made by adding
     the sketches of the spans in it."""
@@ -71,28 +77,28 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
         if day_of == "ts":
             spans["all"] = quantiles.merge(week.withColumn("since", F.lit(None).cast("date")), keys)
         for name, sketches in spans.items():
-            parts.append(quantiles.percentiles(sketches, keys, PROBS, REL_ERR).withColumns({"span": F.lit(name), "day_of": F.lit(day_of)}))
+            parts.append(_percentiles(sketches, keys).withColumns({"span": F.lit(name), "day_of": F.lit(day_of)}))
     return reduce(DataFrame.unionByName, parts)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of both numbers of each agent over all days."""
     keys = ["agent_id"]
-    return quantiles.percentiles(quantiles.sketch(table(spark, d, "perf"), keys, PERF_VALUES, REL_ERR), keys, PROBS, REL_ERR)
+    return _percentiles(quantiles.sketch(table(spark, d, "perf"), keys, PERF_VALUES, REL_ERR), keys)
 
 
 def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """The same of each agent and day of ``ts``."""
     keys = ["agent_id", "day"]
     perf = table(spark, d, "perf").withColumn("day", F.to_date("ts"))
-    return quantiles.percentiles(quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR), keys, PROBS, REL_ERR)
+    return _percentiles(quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR), keys)
 
 
 def p3_merged_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of single ingest days, combined to weeks."""
     daily = quantiles.sketch(table(spark, d, "perf"), ["agent_id", "ingest_day"], PERF_VALUES, REL_ERR)
     weekly = quantiles.merge(daily.withColumn("week", F.to_date(F.date_trunc("week", "ingest_day"))), ["agent_id", "week"])
-    return quantiles.percentiles(weekly, ["agent_id", "week"], PROBS, REL_ERR)
+    return _percentiles(weekly, ["agent_id", "week"])
 
 
 def _two_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +171,7 @@ def _percentile_sql(keys: dict[str, str]) -> str:
         ELSE CAST(sign(v) AS INT) * (CAST(ceil(ln(abs(v)) / {lg}) AS INT) + {quantiles.OFFSET}) END"""
     picks = ",\n".join(f"min(CASE WHEN bucket IS NOT NULL AND upto >= greatest(1, ceil({p} * total)) THEN bucket END) AS b_{c}" for c, p in PROBS.items())
     values = ",\n".join(
-        f"CASE WHEN b_{c} = 0 THEN 0.0 ELSE sign(b_{c}) * exp((abs(b_{c}) - {quantiles.OFFSET}) * {lg} + ln(2 / (exp({lg}) + 1))) END AS {c}" for c in PROBS
+        f"round(CASE WHEN b_{c} = 0 THEN 0.0 ELSE sign(b_{c}) * exp((abs(b_{c}) - {quantiles.OFFSET}) * {lg} + ln(2 / (exp({lg}) + 1))) END, 9) AS {c}" for c in PROBS
     )
     return f"""
     WITH long AS (
