@@ -25,6 +25,7 @@ from wardenlake.plans.lineage import cut
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Different family names before which an unlisted word must stand to count as a given name, and how many such words are kept.
 LEARN_FAMILIES, LEARN_NAMES = 3, 20_000
+LEARN_SHARE, LEARN_LOWER = 0.05, 3
 _SHOWN = r"(?<=[a-zß-ÿ] )[A-ZÀ-Þ][a-zß-ÿ]{2,} [A-Z]\. [A-ZÀ-Þ][a-zß-ÿ]{2,}"
 #: Rounds of giving colliding surrogates another try.
 COLLISION_ROUNDS = 12
@@ -326,13 +327,20 @@ def given_names(df: DataFrame, text_col: str) -> dict[str, str]:
     """The listed given names, and those that the corpus shows.
 
     A capitalised word inside a sentence, before an initial and a family name, is a given name if it stands so before ``LEARN_FAMILIES`` different family names at
-    least. The most frequent ``LEARN_NAMES`` of them come to the driver.
+    least and ``LEARN_SHARE`` of those of the most usual name, and if no more than ``LEARN_LOWER`` times as many texts have it as a word in small letters: verbs that
+    begin a sentence are written small elsewhere. The most frequent ``LEARN_NAMES`` candidates come to the driver.
     """
     shown = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_SHOWN), F.lit(0))).alias("_shown")
     parts = df.select(shown).select(F.lower(F.element_at(F.split("_shown", " "), 1)).alias("name"), F.element_at(F.split("_shown", " "), -1).alias("family"))
-    counted = parts.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEARN_FAMILIES)
-    learned = counted.orderBy(F.desc("n"), "name").limit(LEARN_NAMES).collect()
-    return {r["name"]: "" for r in learned if r["name"] not in STARTERS} | _FIRST
+    counted = parts.groupBy("name", "family").agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).filter(F.col("n") >= LEARN_FAMILIES)
+    rows = counted.orderBy(F.desc("n"), "name").limit(LEARN_NAMES).collect()
+    rows = [r for r in rows if r["n"] >= LEARN_SHARE * rows[0]["n"] and r["name"] not in STARTERS and r["name"] not in _FIRST]
+    if rows:
+        words = F.array(*[F.lit(r["name"]) for r in rows])
+        small = df.select(F.explode(F.array_intersect(F.split(F.col(text_col), r"\s+"), words)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
+        lower = {r["name"]: r["texts"] for r in small.collect()}
+        rows = [r for r in rows if lower.get(r["name"], 0) <= LEARN_LOWER * r["c"]]
+    return {r["name"]: "" for r in rows} | _FIRST
 
 
 OCCURRENCE = "array<struct<start_pos:bigint,length:bigint,kind:string,entity:string,gender:string,found:string>>"
