@@ -41,3 +41,15 @@ def test_rows(spark, known):
     model, _ = pairs.adapted(spark, [("the run stopped", "en")], none, "seq", "input", "expected")
     assert model.languages == ["en"]
     assert pairs.fit_endings(none, "seq", "output", "expected").bits(["x"]).shape == (1,)
+
+
+ITALIAN = "Sono stati necessari 31 tentativi. I primi sono falliti perché shelfscan non era raggiungibile in quel momento."
+DUTCH = "Er waren 31 pogingen nodig. De eerste mislukten omdat de dienst op dat moment niet bereikbaar was."
+
+
+@pytest.mark.parametrize(
+    ("prompt", "response", "want"),
+    [("¿Cuántos reintentos necesitó Thistle-11 para la tarea 9065?", ITALIAN, ["language"]), (Q + " Please answer in Italian.", ITALIAN, []), ("Wie viele Versuche brauchte Thistle-11 für Aufgabe 9065?", DUTCH, ["language"]), (Q + " Answer in Dutch.", DUTCH, [])],
+)
+def test_languages_that_prompts_do_not_use(known, prompt, response, want):
+    assert pairs.defects_of([prompt], [response], *known)[0] == want

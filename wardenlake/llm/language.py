@@ -319,11 +319,11 @@ def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER
     return Model.fit(halves[0] + halves[1], order), script
 
 
-def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: float = 0.02, sure_bits: float = 40.0) -> tuple[list[tuple[str, str]], set[str]]:
-    """Texts of another kind with the languages that the model gives them, and the languages that this kind of text is in.
+def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: float = 0.02, sure_bits: float = 40.0) -> list[tuple[str, str]]:
+    """Texts of another kind with the languages that the model gives them.
 
-    A language is in use if it wins at least ``least_share`` of the pieces that are won by ``sure_bits``; the others no longer compete. Fitting
-    once more with these labels takes a model to the wording of texts that nobody labelled.
+    A language is in use if it wins at least ``least_share`` of the pieces that are won by ``sure_bits``; any other has only the pieces that it wins
+    so surely itself. Fitting once more with these labels takes a model to the wording of texts that nobody labelled.
     """
     model, script = fitted
     pieces: dict[str, list[str]] = {}
@@ -334,17 +334,16 @@ def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: f
                 pieces.setdefault(plain, []).append(t[a:b])
     bits = model.bits(list(pieces))
     if not len(bits):
-        return [], set(model.languages)
+        return []
     ranked = np.sort(bits, axis=1)
     sure = ranked[:, 1] - ranked[:, 0] >= sure_bits if bits.shape[1] > 1 else np.ones(len(bits), bool)
     n = np.array([len(x) for x in pieces.values()])
     won = np.bincount(bits.argmin(axis=1)[sure], weights=n[sure], minlength=len(model.languages))
     used = won >= least_share * max(won.sum(), 1)
     if not used.any():
-        return [], set(model.languages)
-    best = np.where(used, bits, np.inf).argmin(axis=1)
-    labels = [(t, model.languages[j]) for j, found in zip(best, pieces.values(), strict=True) for t in found]
-    return labels, {lang for lang, u in zip(model.languages, used, strict=True) if u}
+        return []
+    best = np.where(used | sure[:, None], bits, np.inf).argmin(axis=1)
+    return [(t, model.languages[j]) for j, found in zip(best, pieces.values(), strict=True) for t in found]
 
 
 def _relabelled(pieces: list[tuple[str, str]], model: Model) -> Iterator[tuple[str, str]]:
