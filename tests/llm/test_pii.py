@@ -63,3 +63,26 @@ def test_given_names_are_learned(spark):
     names = pii.given_names(spark.createDataFrame(rows, "text string"), "text")
     assert "ottokar" in names and "rarely" not in names and names["anna"] == "f"
     assert [x[2:4] for x in pii.find("we met ottokar lindner and Ottokar Hus", {}, names)] == [("name", "ottokar lindner"), ("name", "ottokar hus")]
+
+
+def _written(spark, rows):
+    """What is written for (found, kind), read as the first of its text."""
+    found = spark.createDataFrame([(kind, *pii._entity(text, kind, ""), text) for text, kind in rows], "kind string, entity string, gender string, found string")
+    surrogate = {(r.kind, r.entity): r.surrogate for r in pii.entities_of(found, b"k").collect()}
+    return [pii.dressed(r.found, r.kind, surrogate[r.kind, r.entity]) for r in found.collect()]
+
+
+def test_written_surrogates_are_distinct(spark):
+    families = [f"{a}{b}{c}ik".capitalize() for a in pii._SYLLABLES for b in pii._SYLLABLES for c in pii._SYLLABLES[:8]]
+    rows = [(f, "name") for f in families] + [(f"{n} {f} Lane", "address") for n in (3, 7) for f in families[:1200]]
+    got = _written(spark, rows)
+    assert len(set(got)) == len(rows) and not set(got) & {text for text, _ in rows}
+    initials = [f"{c}. Kalholt" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    assert len(set(_written(spark, [(x, "name") for x in initials]))) == len(initials)
+
+
+def test_written_surrogates_agree(spark):
+    full, reverse, initial, close, accent, family = _written(spark, [(x, "name") for x in ("Elena Kalholt", "Kalholt, Elena", "E. Kalholt", "E.Kalholt", "É. Kalholt", "Kalholt")])
+    given, _, name = full.partition(" ")
+    assert reverse == f"{name}, {given}" and initial == close == accent == f"{given[0]}. {name}" and family == name
+    assert given in pii.FEMALE.split()

@@ -3,7 +3,8 @@
 Each text is read in one width and alphabet, with a map back to its own positions. E-mail addresses, street addresses, identity
 numbers, phone numbers and names are found in that order, each leaving out what was found before. Every distinct entity of the corpus then gets one surrogate,
 derived from a key: the same person keeps the same surrogate in every text, two different entities never share one and none is an
-entity of the corpus itself. A surrogate keeps type, gender, script, case and format; the typed placeholder carries the same identity as a short tag.
+entity of the corpus itself, as they are written. Family names have surrogates of their own, and each family's initials are exchanged one for one, so that a title, an initial and
+a full name agree. A surrogate keeps type, gender, script, case and format; the typed placeholder carries the same identity as a short tag.
 """
 
 from __future__ import annotations
@@ -318,8 +319,10 @@ def _entity(found: str, kind: str, before: str) -> tuple[str, str]:
         return re.sub(r"[^\w]+", " ", low).strip(), ""
     title = re.search(r"([^\W\d_]+)\.? $", before)
     gender = TITLES.get(title[1].lower(), "") if title else ""
-    family, comma, given = low.partition(", ")
-    words = (f"{given} {family}" if comma else low).split()
+    family, comma, given = re.sub(r"\.(?=[^\W\d_])", ". ", low).partition(", ")
+    words = (f"{given} {family}" if comma else family).split()
+    if words[0].endswith(".") and len(words[0]) == 2:  # an initial has no accent, as a given name may be written without
+        words[0] = unicodedata.normalize("NFD", words[0])[0] + "."
     return " ".join(w for i, w in enumerate(words) if i in (0, len(words) - 1) or len(w.rstrip(".")) > 1), gender or _FIRST.get(words[0], "")
 
 
@@ -387,8 +390,50 @@ _SYLLABLES = "bal cor dem fir gal hol jan kes lom mar nev pol quor rin sal tor u
 _ENDINGS = "bach berg dale ford hurst land mont ridge son ton vale wood".split()
 
 
+_PARTICLES = set("von van de del della da di ten ter der den".split())
+_BY_LETTER = {g: {c: [n.lower() for n in names.split() if n[0].lower() == c] for c in "abcdefghijklmnopqrstuvwxyz"} for g, names in (("f", FEMALE), ("m", MALE), ("", FEMALE + MALE))}
+#: Letters that given names of both genders begin with, and the others; an initial's surrogate is of the same group.
+_LETTERS = ["".join(c for c in _BY_LETTER[""] if bool(_BY_LETTER["f"][c] and _BY_LETTER["m"][c]) is common) for common in (True, False)]
+
+
+def _parted(entity: str) -> tuple[str, str]:
+    """The given and the family name of a canonical name; a single word is a family name."""
+    words = entity.split()
+    at = len(words) - 1
+    while at > 0 and words[at - 1] in _PARTICLES:
+        at -= 1
+    return " ".join(words[:at]), " ".join(words[at:])
+
+
+def _initial_for(key: bytes, family: str, given: str) -> str:
+    """The letter that stands for a given name's first one, by an exchange of letters that is the family's own."""
+    first = unicodedata.normalize("NFD", given)[0]
+    for group in _LETTERS:
+        if first in group:
+            s, letters = _Stream(key, "initial", family), list(group)
+            for i in range(len(letters) - 1, 0, -1):
+                j = s.pick(i + 1)
+                letters[i], letters[j] = letters[j], letters[i]
+            return letters[group.index(first)]
+    return first
+
+
+def _surrogate_given(s: _Stream, key: bytes, entity: str, gender: str, attempt: int) -> str:
+    """A given name with the family's letter for the initial, a double one if that has been tried; an initial for an initial, nothing for a family name."""
+    given, family = _parted(entity)
+    if not given:
+        return ""
+    letter = _initial_for(key, family, given)
+    if len(given) == 2 and given.endswith("."):
+        return letter + "."
+    pool = _BY_LETTER[gender].get(letter) or [letter + x[1:] + {"f": "a", "m": "o"}.get(gender, "e") for x in _SYLLABLES]
+    more = (FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE).lower().split()
+    return "-".join([pool[s.pick(len(pool))]] + [more[s.pick(len(more))] for _ in range(attempt // 3)])
+
+
 def surrogate_entity(key: bytes, kind: str, entity: str, gender: str, attempt: int) -> str:
-    """The canonical surrogate of a canonical entity: digits stay digits, letters letters; names keep their gender."""
+    """The canonical surrogate of a canonical entity: digits stay digits, letters letters; names keep their gender. The one of a name is its
+    given name's; ``family`` is a kind of its own. Each second further attempt makes invented words longer, as short ones are few."""
     s = _Stream(key, kind, entity, str(attempt))
     if kind == "email":
         return f"{_SYLLABLES[s.pick(20)]}{_SYLLABLES[s.pick(20)]}.{_ENDINGS[s.pick(12)]}{s.pick(10**6):06d}@mail.example"
@@ -397,10 +442,23 @@ def surrogate_entity(key: bytes, kind: str, entity: str, gender: str, attempt: i
         return entity[:keep] + "".join(str(s.pick(10)) if c.isdigit() else c for c in entity[keep:])
     if kind == "id_number":
         return "".join(str(s.pick(10)) if c.isdigit() else chr(97 + s.pick(26)) if c.isalpha() else c for c in entity)
-    if kind == "address":
-        return f"{1 + s.pick(9999)} {_SYLLABLES[s.pick(20)]}{_SYLLABLES[s.pick(20)]}{_ENDINGS[s.pick(12)]}"
-    names = (FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE).split()
-    return f"{names[s.pick(len(names))].lower()} {_SYLLABLES[s.pick(20)]}{_SYLLABLES[s.pick(20)]}{_SYLLABLES[s.pick(20)]}{_ENDINGS[s.pick(12)]}"
+    word = "".join(_SYLLABLES[s.pick(20)] for _ in range((2 if kind == "address" else 3) + attempt // 2)) + _ENDINGS[s.pick(12)] if kind in ("address", "family") else ""
+    if kind == "address":  # with as many digits as it will be written with
+        digits = re.search(r"\d+", entity)
+        return "".join(str(1 + s.pick(9) if i == 0 else s.pick(10)) for i in range(len(digits[0]) if digits else 1)) + " " + word
+    if kind == "family":
+        return word
+    return _surrogate_given(s, key, entity, gender, attempt)
+
+
+def real_forms(kind: str, entity: str) -> list[str]:
+    """What a surrogate may not be, as it would be written like this entity."""
+    if kind != "address":
+        return [entity]
+    digits = re.search(r"\d+", entity)
+    words = {w for x in entity.split() for w in (x, re.sub(rf"({_DE_STREET}|ring|hof|markt|graben|wall|berg|tor)$", "", x))}
+    return [f"{digits[0] if digits else 1} {w}" for w in sorted(words)]
+
 
 
 def dressed(found: str, kind: str, surrogate: str) -> str:
@@ -424,8 +482,6 @@ def dressed(found: str, kind: str, surrogate: str) -> str:
     if kind == "address":
         number, _, street = surrogate.partition(" ")
         digits = re.search(r"\d+", found)
-        size = len(digits[0]) if digits else 1
-        number = number[:size].rjust(size, "1")
         m = re.search(rf"(?i)\b({_EN_STREET}|{_FR_STREET}|{_ES_STREET})\b|({_DE_STREET}|ring|hof|markt|graben|wall|berg|tor)(?=\s+\d)", found)
         kind_of = m[0] if m else ""
         name = street.capitalize() if not found.islower() else street
@@ -438,48 +494,65 @@ def dressed(found: str, kind: str, surrogate: str) -> str:
         else:
             out = f"{kind_of} {name} {number}".strip()
         return out.upper() if found.isupper() else out
-    given, _, family = surrogate.partition(" ")
+    given, _, family = surrogate.rpartition(" ")
     if found.isupper():
         style = str.upper
     elif found.islower():
         style = str.lower
     else:
         style = str.capitalize
-    given, family = style(given), style(family)
-    if ", " in found:
-        return f"{family}, {given}"
-    initial = re.match(r"[^\W\d_]\. ?", found)
-    if initial:
-        return f"{given[0]}. {family}"
-    return f"{given} {family}" if " " in found else family
+    given, family = "-".join(style(x) for x in given.split("-")), style(family)
+    if not given:
+        return family
+    return f"{family}, {given}" if ", " in found else f"{given} {family}"
 
 
-def entities_of(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate, tag): a surrogate for each distinct entity, distinct from all others and from all entities.
-
-    Colliding and taken surrogates are derived again with the next attempt, until none is left; only entities take part, each once.
-    """
+def _settle(known: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate) of (kind, entity, gender, family); ``family`` is the surrogate that a name's family name has already."""
 
     @F.pandas_udf("string")
     def derive(kinds: pd.Series, entities: pd.Series, genders: pd.Series, attempts: pd.Series) -> pd.Series:
         return pd.Series([surrogate_entity(key, k, e, g or "", int(n)) for k, e, g, n in zip(kinds, entities, genders, attempts, strict=True)], dtype=object)
 
-    known = cut(found.groupBy("kind", "entity").agg(F.max("gender").alias("gender")))
+    @F.pandas_udf("array<string>")
+    def forms(kinds: pd.Series, entities: pd.Series) -> pd.Series:
+        return pd.Series([real_forms(k, e) for k, e in zip(kinds, entities, strict=True)], dtype=object)
+
+    real = cut(known.select("kind", F.explode(forms("kind", "entity")).alias("surrogate")).distinct().withColumn("_taken", F.lit(True)))
     todo, settled = known.withColumn("attempt", F.lit(0)), None
     for _ in range(COLLISION_ROUNDS):
-        made = cut(todo.withColumn("surrogate", derive("kind", "entity", "gender", "attempt")).withColumn("_old", F.lit(False)))
+        surrogate = F.trim(F.concat_ws(" ", derive("kind", "entity", "gender", "attempt"), "family"))
+        made = cut(todo.withColumn("surrogate", surrogate).withColumn("_old", F.lit(False)))
         everything = made if settled is None else made.unionByName(settled.withColumn("_old", F.lit(True)))
         first = everything.groupBy("kind", "surrogate").agg(F.min(F.struct(~F.col("_old"), F.col("entity"))).getField("entity").alias("_first"))
-        real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("_taken"))
         judged = made.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         judged = cut(judged.withColumn("_good", (F.col("entity") == F.col("_first")) & F.col("_taken").isNull()))
-        good = judged.filter("_good").select("kind", "entity", "gender", "attempt", "surrogate")
+        good = judged.filter("_good").select("kind", "entity", "gender", "family", "attempt", "surrogate")
         settled = good if settled is None else settled.unionByName(good)
-        todo = judged.filter("NOT _good").select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt"))
+        todo = judged.filter("NOT _good").select("kind", "entity", "gender", "family", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"surrogates still collide after {COLLISION_ROUNDS} attempts")
+            return settled.select("kind", "entity", "surrogate")
+    raise RuntimeError(f"surrogates still collide after {COLLISION_ROUNDS} attempts")
+
+
+def entities_of(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate, tag): a surrogate for each distinct entity, distinct from all others and from all entities.
+
+    Family names are settled first, with all that aren't names, then names with their family's surrogate. Colliding and taken surrogates are derived again with
+    the next attempt, until none is left; only entities take part, each once.
+    """
+
+    @F.pandas_udf("string")
+    def family_of(entities: pd.Series) -> pd.Series:
+        return pd.Series([_parted(e)[1] for e in entities], dtype=object)
+
+    known = cut(found.groupBy("kind", "entity").agg(F.max("gender").alias("gender")))
+    none = F.lit(None).cast("string")
+    names = cut(known.filter("kind = 'name'").withColumn("_family", family_of("entity")))
+    families = names.select(F.lit("family").alias("kind"), F.col("_family").alias("entity"), F.lit("").alias("gender")).distinct()
+    others = cut(_settle(known.filter("kind <> 'name'").unionByName(families).withColumn("family", none), key))
+    with_family = names.join(others.filter("kind = 'family'").select(F.col("entity").alias("_family"), F.col("surrogate").alias("family")), "_family")
+    settled = others.filter("kind <> 'family'").unionByName(_settle(cut(with_family.select("kind", "entity", "gender", "family")), key))
     tag = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key.hex()), "kind", "entity"), 256), 1, 8)
     return settled.select("kind", "entity", "surrogate", tag.alias("tag"))
 
