@@ -86,3 +86,18 @@ def test_written_surrogates_agree(spark):
     given, _, name = full.partition(" ")
     assert reverse == f"{name}, {given}" and initial == close == accent == f"{given[0]}. {name}" and family == name
     assert given in pii.FEMALE.split()
+
+
+def test_rare_given_names_are_learned(spark):
+    families = [f"{a}{b}ik".capitalize() for a in pii._SYLLABLES for b in pii._SYLLABLES[:5]]
+    rows = [(f"It was sent by Ottokar {f[0]}. {f}.",) for f in families]
+    rows += [(f"It was sent by {g} K. {f}.",) for g in ("Rurik", "Łukasz", "Jörg-Uwe") for f in families[:3]]
+    names = pii.given_names(spark.createDataFrame(rows, "text string"), "text")
+    assert {"ottokar", "rurik", "łukasz", "jörg-uwe"} <= set(names)
+
+
+def test_double_and_foreign_names_are_found(table):
+    given = pii._FIRST | {"łukasz": ""}
+    got = pii.find("Anne-Marie Dupont and Karl-Heinz Weber met Łukasz Kowalski. So did Weber, Karl-Heinz and Ł. Żukowski over an anna-lytic report.", table, given)
+    assert [x[3] for x in got] == ["anne-marie dupont", "karl-heinz weber", "łukasz kowalski", "karl-heinz weber", "ł. żukowski"]
+    assert [x[4] for x in got[:2]] == ["f", "m"]

@@ -24,10 +24,9 @@ from wardenlake.llm import confusables
 from wardenlake.plans.lineage import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Different family names before which an unlisted word must stand to count as a given name, and how many such words are kept.
-LEARN_FAMILIES, LEARN_NAMES = 3, 20_000
-LEARN_SHARE, LEARN_LOWER = 0.05, 3
-_SHOWN = r"(?<=[a-zß-ÿ] )[A-ZÀ-Þ][a-zß-ÿ]{2,} [A-Z]\. [A-ZÀ-Þ][a-zß-ÿ]{2,}"
+#: Different family names before which an unlisted word must stand to count as a given name, and how many times as many texts may have it in small letters.
+LEARN_FAMILIES, LEARN_LOWER = 3, 3
+_SHOWN = r"(?<=\p{Ll} )\p{Lu}\p{Ll}{2,}(?:-\p{Lu}\p{Ll}+)? \p{Lu}\. \p{Lu}\p{Ll}{2,}"
 #: Rounds of giving colliding surrogates another try.
 COLLISION_ROUNDS = 12
 
@@ -119,17 +118,14 @@ PHONES = [
 _STOP = re.compile(r"[\n;|]|\",|(?<=[a-zß-ÿ\d]{2})[.?!] ")
 _LAST_WORD = re.compile(r"([^\W\d_][\w]*)[\s:=\"'#.\[(nº°-]*$")
 _FAMILY = r"(?:(?:von|van|de|del|della|da|di|ten|ter) )?{0}{1}+(?:[-'’]{0}{1}+)*"
-_NAME_CASES = [
-    (r"[A-ZÀ-Þ]", r"[a-zà-ÿß-ž]"),
-    (r"[A-ZÀ-Þ]", r"[A-ZÀ-Þ]"),
-    (r"[a-zà-ÿ]", r"[a-zà-ÿß-ž]"),
-]
+_UPPER, _LOWER = (f"[{''.join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == kind)}]" for kind in ("Lu", "Ll"))
+_NAME_CASES = [(_UPPER, _LOWER), (_UPPER, _UPPER), (_LOWER, _LOWER)]
 _GIVEN_FAMILY = [re.compile(rf"(?<![\w@.-])({a}{b}+(?:-{a}{b}+)?) (?:{a}\.? )?({_FAMILY.format(a, b)})(?![\w@])") for a, b in _NAME_CASES]
-_FAMILY_GIVEN = [re.compile(rf"(?<![\w@.-])({a}{b}+(?:[-'’]{a}{b}+)*), ({a}{b}+)(?: {a}\.)?(?![\w@-])") for a, b in _NAME_CASES]
-_INITIAL = re.compile(r"(?<![\w@.-])[A-ZÀ-Þ]\. ?(?:[A-ZÀ-Þ]\. ?)?([A-ZÀ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-Þ][^\W\d_]+)*)(?![\w@]|-\d)")
+_FAMILY_GIVEN = [re.compile(rf"(?<![\w@.-])({a}{b}+(?:[-'’]{a}{b}+)*), ({a}{b}+(?:-{a}{b}+)?)(?: {a}\.)?(?![\w@-])") for a, b in _NAME_CASES]
+_INITIAL = re.compile(rf"(?<![\w@.-]){_UPPER}\. ?(?:{_UPPER}\. ?)?({_UPPER}[^\W\d_]+(?:[-'’]{_UPPER}[^\W\d_]+)*)(?![\w@]|-\d)")
 _TITLED = re.compile(rf"(?<![\w@.-])({'|'.join(sorted(TITLES, key=len, reverse=True))})(?:\.|\b) ?(?:(?:Dr|Prof)\.? )?((?:[^\W\d_]\. ?)?[^\W\d_]{{2,}}(?:[-'’][^\W\d_]+)*)(?![\w@]|-\d)", re.I)
 _NAMED_FIELD = re.compile(r"(?:^|[\n;{,|]) ?-? ?\"?(?:name|owner|contact|user_name|full_name|assignee)\"? ?[:=] ?\"?([^\"\n;|{}=:@]+)", re.I)
-_TOKENS = re.compile(r"[^\W\d_]+")
+_TOKENS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 
 
 def legible(text: str, table: dict[int, str]) -> tuple[str, list[int] | None]:
@@ -149,7 +145,7 @@ def legible(text: str, table: dict[int, str]) -> tuple[str, list[int] | None]:
                 out[-1] = joined
             continue
         to = table.get(ord(c))
-        if to is None or (len(to) == 1 and not to.isascii()):
+        if to is None or (len(to) == 1 and not to.isascii()) or (len(to) > 1 and any(map(unicodedata.combining, to))):  # a struck letter is one of its own
             out.append(c)
             at.append(i)
         else:
@@ -235,6 +231,13 @@ def _is_family(word: str) -> bool:
     return len(word) > 1 and word.lower() not in STARTERS and word.lower().partition("-")[0] not in STARTERS
 
 
+def _is_given(word: str, given: dict[str, str]) -> bool:
+    """Whether it is a known given name; of a double one the first part must be known, in small letters both, as compounds are written alike."""
+    low = word.lower()
+    first, _, second = low.partition("-")
+    return low in given or (bool(second) and first in given and (word != low or second in given))
+
+
 def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
     for m in _TITLED.finditer(text):
         title, word = m[1], m[2]
@@ -246,23 +249,23 @@ def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
         start, end = m.start(2), m.end(2)
         for (a, b), rx in zip(_NAME_CASES, _GIVEN_FAMILY, strict=True):
             more = rx.match(text, start)
-            if more and more[1].lower() in given and _is_family(more[2]):
+            if more and _is_given(more[1], given) and _is_family(more[2]):
                 end = more.end()
                 break
         if text[end : end + 1] == "-" and text[end + 1 : end + 2].isdigit():
             continue
         spans.add(start, end, "name")
-    if any(t in given for t in _TOKENS.findall(text.lower())):
+    if any(t in given or t.partition("-")[0] in given for t in _TOKENS.findall(text.lower())):
         for rx in _FAMILY_GIVEN:
             for m in rx.finditer(text):
                 whole = text[: m.start()].rstrip(" \"'")[-1:] in ("", "|", "=", ":", "\n", "-") and text[m.end() : m.end() + 1] in ("", "|", ";", '"', "\n")
-                if (m[1][0].isupper() or whole) and m[2].lower() in given and m[1].lower() not in given and _is_family(m[1]) and len(m[1]) > 2:
+                if (m[1][0].isupper() or whole) and _is_given(m[2], given) and m[1].lower() not in given and _is_family(m[1]) and len(m[1]) > 2:
                     spans.add(m.start(), m.end(), "name")
         for rx in _GIVEN_FAMILY:
             at = 0
             while m := rx.search(text, at):
                 at = m.end(1)
-                if m[1].lower() in given and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
+                if _is_given(m[1], given) and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
                     if spans.add(m.start(), m.end(), "name"):
                         at = m.end()
     for m in _INITIAL.finditer(text):
@@ -323,24 +326,24 @@ def _entity(found: str, kind: str, before: str) -> tuple[str, str]:
     words = (f"{given} {family}" if comma else family).split()
     if words[0].endswith(".") and len(words[0]) == 2:  # an initial has no accent, as a given name may be written without
         words[0] = unicodedata.normalize("NFD", words[0])[0] + "."
-    return " ".join(w for i, w in enumerate(words) if i in (0, len(words) - 1) or len(w.rstrip(".")) > 1), gender or _FIRST.get(words[0], "")
+    return " ".join(w for i, w in enumerate(words) if i in (0, len(words) - 1) or len(w.rstrip(".")) > 1), gender or _FIRST.get(words[0].partition("-")[0], "")
 
 
 def given_names(df: DataFrame, text_col: str) -> dict[str, str]:
     """The listed given names, and those that the corpus shows.
 
     A capitalised word inside a sentence, before an initial and a family name, is a given name if it stands so before ``LEARN_FAMILIES`` different family names at
-    least and ``LEARN_SHARE`` of those of the most usual name, and if no more than ``LEARN_LOWER`` times as many texts have it as a word in small letters: verbs that
-    begin a sentence are written small elsewhere. The most frequent ``LEARN_NAMES`` candidates come to the driver.
+    least, and if no more than ``LEARN_LOWER`` times as many texts have it as a word in small letters: verbs that begin a sentence are written small elsewhere. Each
+    word is judged by itself, however usual others are. The words that stand so before families enough come to the driver.
     """
     shown = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_SHOWN), F.lit(0))).alias("_shown")
     parts = df.select(shown).select(F.lower(F.element_at(F.split("_shown", " "), 1)).alias("name"), F.element_at(F.split("_shown", " "), -1).alias("family"))
     counted = parts.groupBy("name", "family").agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).filter(F.col("n") >= LEARN_FAMILIES)
-    rows = counted.orderBy(F.desc("n"), "name").limit(LEARN_NAMES).collect()
-    rows = [r for r in rows if r["n"] >= LEARN_SHARE * rows[0]["n"] and r["name"] not in STARTERS and r["name"] not in _FIRST]
+    rows = [r for r in counted.collect() if r["name"] not in STARTERS and r["name"] not in _FIRST]
     if rows:
-        words = F.array(*[F.lit(r["name"]) for r in rows])
-        small = df.select(F.explode(F.array_intersect(F.split(F.col(text_col), r"\s+"), words)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
+        names = F.broadcast(df.sparkSession.createDataFrame([(r["name"],) for r in rows], "name string"))
+        words = df.select(F.explode(F.array_distinct(F.split(F.col(text_col), r"\s+"))).alias("name"))
+        small = words.join(names, "name").groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
         lower = {r["name"]: r["texts"] for r in small.collect()}
         rows = [r for r in rows if lower.get(r["name"], 0) <= LEARN_LOWER * r["c"]]
     return {r["name"]: "" for r in rows} | _FIRST
