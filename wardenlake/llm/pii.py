@@ -1,48 +1,40 @@
 """Personal information in free text: found, and replaced by keyed, type-consistent surrogates.
 
 Each text is read in one width and alphabet, with a map back to its own positions. E-mail addresses, street addresses, identity
-numbers, phone numbers and names are found in that order, each leaving out what was found before. Every distinct entity of the corpus then gets one surrogate,
-derived from a key: the same person keeps the same surrogate in every text, two different entities never share one and none is an
-entity of the corpus itself, as they are written. Family names have surrogates of their own, and each family's initials are exchanged one for one, so that a title, an initial and
-a full name agree. A surrogate keeps type, gender, script, case and format; the typed placeholder carries the same identity as a short tag.
+numbers, phone numbers and names are found in that order, each leaving out what was found before. What is found in a text depends on this text alone. In the same
+pass every occurrence gets its surrogate and a typed placeholder (``surrogates``), so texts are rewritten where the scan puts them and nothing is shuffled.
+Within a text, an initial, a title or a family name alone takes the identity of the one full name it can stand for, and a national number that of
+the one international number with the same digits.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wardenlake.llm import confusables
-from wardenlake.plans.lineage import cut
+from wardenlake.llm import confusables, surrogates
+from wardenlake.llm.surrogates import Surrogates, fold
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Different family names before which an unlisted word must stand to count as a given name, and how many times as many texts may have it in small letters.
-LEARN_FAMILIES, LEARN_LOWER = 3, 3
-_SHOWN = r"(?<=\p{Ll} )\p{Lu}\p{Ll}{2,}(?:-\p{Lu}\p{Ll}+)? \p{Lu}\. \p{Lu}\p{Ll}{2,}"
-#: Rounds of giving colliding surrogates another try.
-COLLISION_ROUNDS = 12
 
-# Given names, by the gender they are mostly given to.
+# Usual given names, by the gender they are mostly given to. They add to what a text itself shows, for names without capitals above all.
 FEMALE = """
-Alice Amélie Ana Andrea Anja Anna Anne Antonia Astrid Aurélie Barbara Beatriz Bianca Birgit Camille Carla Carmen Carolina Caroline Catherine Cécile Charlotte
-Chiara Chloé Christina Claire Claudia Clara Cristina Dilek Elena Elif Elisabeth Elizabeth Emily Emma Eva Fatima Fenna Francesca Frida Gabriela Giulia Greta Hana Hanna Hannah
-Helena Ilka Ingrid Inès Irene Isabel Jana Jennifer Jessica Johanna Jolanta Julia Karin Katarzyna Katharina Kateryna Laura Lena Lucía Lucie Luise Magdalena Maren Margaret Maria María Marie Marta
-Mary Mathilde Mireille Monika Nadia Natalia Nina Nora Nuria Olga Olivia Paloma Patricia Petra Pilar Rosalind Ruth Sabine Sara Sarah Sofia Sophie Soraya Susan Svetlana Tabea Teresa Ursula
-Valentina Vera Wanda Yasmin Zofia Zoé
+Alice Amélie Ana Andrea Anja Anne Anna Antonia Astrid Aurélie Barbara Beatriz Bianca Birgit Camille Carla Carmen Carolina Caroline Catherine Cécile Charlotte
+Chiara Chloé Christina Claire Claudia Clara Cristina Elena Elif Elisabeth Elizabeth Emily Emma Eva Fatima Francesca Frida Gabriela Giulia Greta Hanna Hannah
+Helena Ingrid Inès Irene Isabel Jana Jennifer Jessica Johanna Julia Karin Katarzyna Katharina Kateryna Laura Lena Lucía Lucie Luise Magdalena Margaret Maria María Marie Marta
+Mary Mathilde Monika Nadia Natalia Nina Nora Nuria Olga Olivia Patricia Petra Pilar Ruth Sabine Sara Sarah Sofia Sophie Susan Svetlana Teresa Ursula
+Valentina Vera Yasmin Zofia Zoé
 """
 MALE = """
-Adam Alejandro Alexander Ali Andreas Andrew Antoine Anton Antonio Bernd Carlos Caspar Charles Christian Daniel David Diego Dieter Edwin Emil Erik Fabian Felix Fernando Florian François
-Frank Friedrich George Giovanni Gregor Guillaume Günter Hans Heinrich Henri Hugo Igor Ivan Ivo Jacques Jakob James Jan Javier Johann John Jonas Jorge José Joseph Juan Jürgen Karl Klaus Kwame Leopold
-Lorenzo Louis Luca Lucas Luis Manuel Marco Mario Martin Mateusz Matthias Michael Miguel Mohamed Nikolai Nicolas Olivier Osman Ottavio Otto Pablo Paolo Patrick Paul Pedro Peter Philippe Pierre Piet Piotr Quentin
-Rafael Ramón Richard Robert Roberto Sebastian Sergio Stefan Stellan Stephen Thomas Tomasz Ulrich Valentín Viktor Walter Wilhelm William Xaver Yusuf
+Adam Alejandro Alexander Ali Andreas Andrew Antoine Anton Antonio Bernd Carlos Charles Christian Daniel David Diego Dieter Emil Erik Fabian Felix Fernando Florian François
+Frank Friedrich George Giovanni Guillaume Günter Hans Heinrich Henri Hugo Igor Ivan Jacques Jakob James Jan Javier Johann John Jonas Jorge José Joseph Juan Jürgen Karl Klaus
+Lorenzo Louis Luca Lucas Luis Manuel Marco Mario Martin Mateusz Matthias Michael Miguel Mohamed Nikolai Nicolas Olivier Otto Pablo Paolo Patrick Paul Pedro Peter Philippe Pierre Piotr
+Rafael Ramón Richard Robert Roberto Sebastian Sergio Stefan Stephen Thomas Tomasz Ulrich Viktor Walter Wilhelm William Yusuf
 """
 # Titles before family names, by gender.
 TITLES = {"mr": "m", "herr": "m", "sr": "m", "señor": "m", "monsieur": "m", "don": "m", "signor": "m", "ms": "f", "mrs": "f", "miss": "f", "frau": "f", "sra": "f", "srta": "f", "señora": "f", "mme": "f", "madame": "f", "mlle": "f", "doña": "f", "dra": "f", "dr": "", "prof": "", "professor": "", "doctor": ""}
@@ -56,10 +48,11 @@ THINGS = set(
 STARTERS = set(
     """the there then this that these those it its we you they he she i if in on at as and but or no not please could can why what who when where how let after before nobody
     der die das es ein eine wir ich sie er und aber wenn nach bitte kannst warum was wer le la les il elle nous vous je un une et mais si après pourquoi que qui el los las
+    perché perche dlaczego почему waarom porque kann call sir madam amigos viele meine liebe lieber dear hello hallo bonjour hola
     ella nosotros yo y pero si después por qué quién o a is was has have asked asks said says will would from for with to of by via am auf an im von hat ist war steht und oder est sont avait a validé respondió es del de du des au aux en""".split()
 )
 _FIRST = {n.lower(): g for names, g in ((FEMALE, "f"), (MALE, "m")) for n in names.split()}
-_FIRST |= {"".join(c for c in unicodedata.normalize("NFD", n) if not unicodedata.combining(c)): g for n, g in _FIRST.items()}
+_FIRST |= {fold(n): g for n, g in _FIRST.items()}
 
 _AT = r"(?: ?@ ?| ?[(\[{<] ?(?:at|a|arroba|arobase|chiocciola) ?[)\]}>] ?)"
 _AT_WORD = r" (?:at|arroba|arobase|chiocciola) "
@@ -113,29 +106,120 @@ PHONES = [
     re.compile(r"(?<![\w.,/+-])0[1-9](?:[ .-]?\d{2}){4}(?![\w]|[-./]\d)"),
     re.compile(r"(?<![\w.,/+-])(?<!\d )0\d{2,4}[ /-]{1,3}\d{3,8}(?:[ -]\d{1,5})?(?![\w]|[-./]\d)"),
     re.compile(r"(?<![\w.,/+-])(?<!\d )[5-9]\d{2}([ .-])\d{3}\1\d{3}(?![\w]|[-./ ]\d)"),
-    re.compile(r"(?<![\w.,/+-])(?:020[378]\d{7}|030\d{7,9})(?![\w]|[-./]\d)"),
+    # a trunk prefix and one of the area codes of two digits: British, and German
+    re.compile(r"(?<![\w.,/+-])0(?:2[03489]|30|40|69|89)\d{7,9}(?![\w]|[-./]\d)"),
 ]
+
+# What may stand before a person's name, in several languages. Small letters are believed only behind the first four.
+_NAMING = r"\b(?:name|nom|nombre|nome|naam) (?:is|ist|est|es|è|é)|\bich hei(?:ß|ss)e|\bik heet|m['’]appelle|\b(?:me llamo|mi chiamo|me chamo|nazywam się)|меня зовут"
+_OF = r"\b(?:badge|mobile|phone|desk|card|number|e-?mail|handy|ausweis|nummer|tarjeta|número|numero|móvil|portable|numéro|carte|nombre|nom|name|carné|telefon|téléphone|teléfono) (?:of|von|de|di)"
+_BY = r"\b(?:approved|reviewed|forwarded|signed|written|requested|reported|confirmed|checked|opened|prepared|weitergeleitet|geprüft|freigegeben|genehmigt|unterschrieben|geschrieben|transféré|validé|approuvé|signé|relu|écrit|reenviado|aprobado|firmado|revisado|escrito|inoltrato|approvato|firmato|revisto|aprovado) (?:by|von|par|por|da)"
+_CALL = r"\b(?:call|phone|ring|ruf(?:en sie)?|rappelez|appelez|llam[ae]n?(?: a)?|chiam[ai]|bel|zadzwoń do|позвоните)(?: bitte| please| back)?"
+_ANY_BEFORE = (
+    r"\b(?:by|par|por|von|przez|ask|tell|contact|notify|thank|frag(?:en sie)?|kontaktieren sie|contactez|demandez à|prévenez|(?:avis[ae]n?|pregunt[ae]n?|escrib[ae]n?) a|спросите|(?:spoke|speak|talk|talked|met) (?:with|to)|met|inhaber(?:in)?|owner|contact|manager"
+    r"|customer|cliente?|kund(?:e|in)|autor(?:e|in)?|auteur|author|belongs to|gehört|appartient à|pertenece a|(?:ya )?respondió|i am|ich bin|je suis|soy|this is|sono|ik ben|jestem|sou)"
+)
+_BEFORE = re.compile(rf"(?:{_NAMING}|{_OF}|{_BY}|{_CALL}|{_ANY_BEFORE})\s+$", re.I)
+# What may follow the name of someone who says or does something.
+_AFTER = re.compile(
+    r"\s+(?:asked|said|says|wrote|told|reported|answered|replied|confirmed|thinks|wants|hat (?:gesagt|geschrieben|gefragt)|sagte?|schrieb|fragte|meint|(?:l['’])?a (?:validé|dit|écrit|demandé|répondu|confirmé|envoyé|signé|lu)"
+    r"|dijo|dice|escribió|preguntó|pidió|ha (?:dicho|escrito|detto|scritto|chiesto)|disse|сказал|написал)\w*\b",
+    re.I,
+)
+_ASKED = re.compile(r"(?:^|[.?!…»\"')\n])\s*(?:Is|Has|Did|Does|Was|Hat|Ist|War|Kann)\s+$")
+# Closings of letters.
+_CLOSING = r"(?:regards|wishes|cheers|thanks|thank you|best|sincerely|yours|grü(?:ß|ss)en?|gru(?:ß|ss)|dank|cordialement|bien à vous|saludos?|atentamente|gracias|saluti|cumprimentos|groet(?:en)?|pozdrawiam|уважением)"
+_SIGNED = re.compile(rf"{_CLOSING}[,.!]?\s*\n\s*$", re.I)
+_APPOSED = re.compile(rf"(?<=[^\W\d_A-Z]{{3}}), $")
+_CELL = re.compile(r"(?:^|[|;\t])\s*$")
+_CELL_END = re.compile(r"\s*(?:$|[|;\t])")
+# Words of quantity and kind that stand in small letters where a name might.
+_NOT_PERSONS = set(
+    """both two three some any all each every many most another other same new old next last first second third senior junior our your my his her their its me him them us people team teams group staff
+    users members hand default mistake accident email mail phone letter zwei drei alle viele einige andere mehrere unser euer ihr mein dein jemand niemand deux trois tous plusieurs quelques autres notre votre
+    leur mon ton son dos tres todos varios algunos otros otro nuestro vuestro su mi tu alguien nadie nobody somebody someone anyone everyone again back now today tomorrow later soon""".split()
+)
+
 _STOP = re.compile(r"[\n;|]|\",|(?<=[a-zß-ÿ\d]{2})[.?!] ")
 _LAST_WORD = re.compile(r"([^\W\d_][\w]*)[\s:=\"'#.\[(nº°-]*$")
 _FAMILY = r"(?:(?:von|van|de|del|della|da|di|ten|ter) )?{0}{1}+(?:[-'’]{0}{1}+)*"
-_UPPER, _LOWER = (f"[{''.join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == kind)}]" for kind in ("Lu", "Ll"))
+_UPPER, _LOWER = (f"[{''.join(c for c in map(chr, range(0x2000)) if unicodedata.category(c) == kind)}]" for kind in ("Lu", "Ll"))
 _NAME_CASES = [(_UPPER, _LOWER), (_UPPER, _UPPER), (_LOWER, _LOWER)]
 _GIVEN_FAMILY = [re.compile(rf"(?<![\w@.-])({a}{b}+(?:-{a}{b}+)?) (?:{a}\.? )?({_FAMILY.format(a, b)})(?![\w@])") for a, b in _NAME_CASES]
 _FAMILY_GIVEN = [re.compile(rf"(?<![\w@.-])({a}{b}+(?:[-'’]{a}{b}+)*), ({a}{b}+(?:-{a}{b}+)?)(?: {a}\.)?(?![\w@-])") for a, b in _NAME_CASES]
+#: Two capitalised words, whether in capitals only, and whether the family name is first.
+_TWO_CAPITALS = [
+    (re.compile(rf"(?<![\w@.-])(?=(?P<all>(?P<one>{a}{b}+(?:-{a}{b}+)?) (?:{_UPPER}\.? )?(?P<two>{_FAMILY.format(a, b)}))(?![\w@]|-\d))"), a == b, False)
+    for a, b in _NAME_CASES[:2]
+] + [(re.compile(rf"(?<![\w@.-])(?=(?P<all>(?P<one>{_UPPER}{_LOWER}+(?:[-'’]{_UPPER}{_LOWER}+)*), (?P<two>{_UPPER}{_LOWER}+(?:-{_UPPER}{_LOWER}+)?)(?: {_UPPER}\.)?)(?![\w@]|-\d))"), False, True)]
+_SMALL_PAIR = rf"({_LOWER}{{3,}}(?:-{_LOWER}+)?) (?:{_LOWER}\. )?({_LOWER}{{3,}}(?:[-'’]{_LOWER}+)*)(?![\w@-])"
+_SMALL = [
+    re.compile(rf"(?i:{_NAMING})\s+{_SMALL_PAIR}"),
+    re.compile(rf"(?i:{_OF}|{_BY}|\b(?:belongs to|gehört|appartient à|pertenece a))\s+{_SMALL_PAIR}(?=\s*(?:[.,?!;:(\n]|$)| [A-Z])"),
+    re.compile(rf"(?i:{_CALL})\s+{_SMALL_PAIR}(?=\s+(?:unter|an|al|au|on|at|op|pod)\b)"),
+    re.compile(rf"(?i:{_CLOSING})[,.!]?\s*\n\s*{_SMALL_PAIR}(?=[ .]*(?:\n|$))"),
+]
 _INITIAL = re.compile(rf"(?<![\w@.-]){_UPPER}\. ?(?:{_UPPER}\. ?)?({_UPPER}[^\W\d_]+(?:[-'’]{_UPPER}[^\W\d_]+)*)(?![\w@]|-\d)")
 _TITLED = re.compile(rf"(?<![\w@.-])({'|'.join(sorted(TITLES, key=len, reverse=True))})(?:\.|\b) ?(?:(?:Dr|Prof)\.? )?((?:[^\W\d_]\. ?)?[^\W\d_]{{2,}}(?:[-'’][^\W\d_]+)*)(?![\w@]|-\d)", re.I)
 _NAMED_FIELD = re.compile(r"(?:^|[\n;{,|]) ?-? ?\"?(?:name|owner|contact|user_name|full_name|assignee)\"? ?[:=] ?\"?([^\"\n;|{}=:@]+)", re.I)
 _TOKENS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+#: Russian names: a patronymic shows a person, and so does a family name's usual ending behind a capitalised word within a sentence.
+_PATRONYMIC = re.compile(r"(?<!\w)[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:ович|евич|ич|овна|евна|ична)(?: [А-ЯЁ][а-яё]+)?(?!\w)|(?<!\w)[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+(?:ович|евич|овна|евна)(?!\w)")
+_RUSSIAN = re.compile(r"(?<=[а-яё,] )[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]{2,}(?:ов|ева?|ёв|ова|ин|ина|ский|ская|ского|енко|чук|юк)(?:а|у|ым|ой)?(?!\w)")
+#: A Japanese name before a title of respect; the excluded words end in the same sign.
+_RESPECT = re.compile(r"(?<![一-龥々ァ-ヶー])((?!お?客|皆|奥|神|王|仕|同|模|有|多|異|一様|各|相|何|誰|先生)(?:[一-龥々]{1,5}|[ァ-ヶー]{2,12}))(?:さん|様|氏|先生|殿)")
+_INTRODUCED = re.compile(r"(?:名前は|私は)([一-龥々]{2,6}|[ァ-ヶー・]{3,16})(?=です|と申|といい)")
+
+_MAYBE_EMAIL = re.compile(r"@|[(\[{<] ?(?:at|a|arroba|arobase|chiocciola) ?[)\]}>]| (?:at|arroba|arobase|chiocciola) \S[^\n]{0,120}?(?:dot|punto|point|punkt|punt|ponto)[)\]} ]", re.I)
+_MAYBE_NUMBER = re.compile(r"\d(?:[ .()/\-]{0,3}[A-Za-z]?\d){5}")
+_BEFORE_NUMBER = re.compile(r"([^\W\d_]{2})\.?\s+\d")
+# The last two letters of German streets.
+_STREET_ENDS = set("ße se tr eg tz ee er mm ig eg ad de ng of kt en ll rg or".split())
+_MAYBE_ES = re.compile(rf"(?<![\w-])(?:{_ES_STREET})", re.I)
+_MAYBE_FR = re.compile(rf" (?:{_FR_STREET}) ", re.I)
+_MAYBE_EN = re.compile(rf" (?:{_EN_STREET})\b", re.I)
+
+
+def _maybe_compound(text: str) -> bool:
+    return not _STREET_ENDS.isdisjoint(x.lower() for x in _BEFORE_NUMBER.findall(text))
+
+
+_ADDRESS_TESTS = [_MAYBE_EN.search, _maybe_compound, _maybe_compound, _MAYBE_FR.search, _MAYBE_ES.search]
+#: Words without which none of the patterns for names in small letters can match.
+_SMALL_HINTS = set(
+    """name nom nombre nome naam heiße heisse heet appelle llamo chiamo chamo nazywam зовут badge mobile phone desk card number mail email handy ausweis nummer tarjeta número numero móvil portable numéro carte
+    carné telefon téléphone teléfono by von par por da belongs gehört appartient pertenece call ring ruf rufen rappelez appelez llama llame llaman llamen chiama chiami bel zadzwoń позвоните
+    regards wishes cheers thanks you best sincerely yours grüße grüßen grüsse gruss gruß dank cordialement vous saludo saludos atentamente gracias saluti cumprimentos groet groeten pozdrawiam уважением e-mail""".split()
+)
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+_LATIN = re.compile("[A-Za-z]")
+_WHOLE_WORD = re.compile(r"[^\W\d_]+")
+
 
+class Letters:
+    """The look-alikes that are read as plain letters, prepared for many texts."""
 
-def legible(text: str, table: dict[int, str]) -> tuple[str, list[int] | None]:
+    def __init__(self, table: dict[int, str]) -> None:
+        self.to = {}
+        for c, to in table.items():
+            struck = (len(to) == 1 and not to.isascii()) or (len(to) > 1 and any(map(unicodedata.combining, to)))  # a struck letter is one of its own
+            if c >= 0x80 and not struck:
+                self.to[chr(c)] = to
+        self.odd = frozenset(self.to) | {c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c)}
+
+
+def legible(text: str, letters: Letters) -> tuple[str, list[int] | None]:
     """The text in one width, alphabet and kind of blank, and for each of its characters the position in the original (None: the same)."""
-    if text.isascii():
+    if text.isascii() or letters.odd.isdisjoint(text):
         return text, None
     out: list[str] = []
     at: list[int] = []
+    own: frozenset[int] = frozenset()
+    if _CYRILLIC.search(text) and any(_CYRILLIC.match(c) and c not in letters.to for c in text):
+        # a text with letters that are Cyrillic only: words without a Latin letter are in that alphabet
+        own = frozenset(i for m in _WHOLE_WORD.finditer(text) if not _LATIN.search(m[0]) for i in range(*m.span()))
     for i, c in enumerate(text):
-        if c < "\x80":
+        if c < "\x80" or i in own:
             out.append(c)
             at.append(i)
             continue
@@ -144,14 +228,9 @@ def legible(text: str, table: dict[int, str]) -> tuple[str, list[int] | None]:
             if len(joined) == 1:
                 out[-1] = joined
             continue
-        to = table.get(ord(c))
-        if to is None or (len(to) == 1 and not to.isascii()) or (len(to) > 1 and any(map(unicodedata.combining, to))):  # a struck letter is one of its own
-            out.append(c)
+        for x in letters.to.get(c, c):
+            out.append(x)
             at.append(i)
-        else:
-            for x in to:
-                out.append(x)
-                at.append(i)
     at.append(len(text))
     return "".join(out), at
 
@@ -179,6 +258,18 @@ class _Spans:
         return True
 
 
+def _planned(digits: str) -> str:
+    """What a bare number in a field of its own is by the public numbering plans; '' if none fits or several do."""
+    n, first = len(digits), digits[0]
+    if n == 9:  # from 5 on a Spanish telephone number, but from 9 on an American taxpayer's
+        return "phone" if first in "5678" else "id_number"
+    if n == 10:
+        return "phone" if first != "1" else ""
+    if n == 11:  # with 1 in front an American telephone number if the area's code can be one, else a German tax number
+        return "phone" if first == "1" and digits[1] >= "2" and digits[4] >= "2" else "id_number"
+    return "id_number" if n in (13, 15) and first in "12" and 1 <= int(digits[3:5]) <= 12 else ""
+
+
 def _numbers(text: str, spans: _Spans) -> None:
     for m in _INTERNATIONAL.finditer(text):
         digits = re.sub(r"\D", "", m[0].replace("(0)", ""))
@@ -218,17 +309,13 @@ def _numbers(text: str, spans: _Spans) -> None:
             spans.add(m.start(), m.end(), "id_number")
         elif _near(_PHONE_CUE, text, m.start()) and len(digits) <= 12:
             spans.add(m.start(), m.end(), "phone")
-        elif field and "|" in text:
-            if len(digits) == 9:
-                spans.add(m.start(), m.end(), "id_number" if digits[0] == "9" else "phone")
-            elif len(digits) == 10:
-                spans.add(m.start(), m.end(), "phone")
-            elif len(digits) == 11 or (len(digits) == 15 and digits[0] in "12"):
-                spans.add(m.start(), m.end(), "id_number")
+        elif field and "|" in text and _planned(digits):
+            spans.add(m.start(), m.end(), _planned(digits))
 
 
 def _is_family(word: str) -> bool:
-    return len(word) > 1 and word.lower() not in STARTERS and word.lower().partition("-")[0] not in STARTERS
+    low = word.lower()
+    return len(word) > 1 and low not in STARTERS and low.partition("-")[0] not in STARTERS
 
 
 def _is_given(word: str, given: dict[str, str]) -> bool:
@@ -238,8 +325,43 @@ def _is_given(word: str, given: dict[str, str]) -> bool:
     return low in given or (bool(second) and first in given and (word != low or second in given))
 
 
+def _shown(text: str, start: int, end: int, loud: bool = False, turned: bool = False) -> bool:
+    """Whether what stands around two capitalised words shows that they name a person; ``loud``: in capitals only, ``turned``: with the family name first."""
+    before, after = text[max(0, start - 48) : start], text[end : end + 24]
+    if _BEFORE.search(before) or _SIGNED.search(before):
+        return True
+    if _CELL.search(before) and _CELL_END.match(after) and not (start == 0 and end == len(text)):
+        return True
+    if loud and not after[1:2].islower():  # in a text that is all in capitals
+        return bool(_APPOSED.search(before)) and bool(re.match(r"[.!?](?:\s|$)|\s*$", after))
+    if _ASKED.search(before) and re.match(r" [a-zß-ÿ]", after):
+        return True
+    if _AFTER.match(after):
+        return not turned or bool(re.search(r"(?:^|[.?!\n])\s*$", before))
+    if turned:
+        return False
+    return bool(_APPOSED.search(before)) and bool(re.match(r"[.!?]?(?:\s|$)", after)) and not re.match(r" [a-zß-ÿ]", after)
+
+
+def _unlisted(text: str, spans: _Spans, hinted: bool) -> None:
+    """Names whose given name is in no list, by what stands around them."""
+    for rx, loud, turned in _TWO_CAPITALS:
+        for m in rx.finditer(text):
+            first, second = m["one"].lower(), m["two"].lower()
+            if {first, second} & (STARTERS | _NOT_PERSONS) or first in TITLES or second in TITLES or not _is_family(second) or len(second) < 3:
+                continue
+            if _shown(text, m.start(), m.end("all"), loud, turned):
+                spans.add(m.start(), m.end("all"), "name")
+    for rx in _SMALL if hinted else ():
+        for m in rx.finditer(text):
+            words = {w for g in (1, 2) for w in m[g].split("-")}
+            if not words & STARTERS and not words & _NOT_PERSONS and not words & THINGS:
+                spans.add(m.start(1), m.end(2), "name")
+
+
 def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
-    for m in _TITLED.finditer(text):
+    words = set(_TOKENS.findall(text.lower()))
+    for m in _TITLED.finditer(text) if not words.isdisjoint(TITLES) else ():
         title, word = m[1], m[2]
         first = word.rpartition(" ")[2] or word
         if title.lower() == "don" and title != "Don":
@@ -247,360 +369,240 @@ def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
         if not (first[0].isupper() or title.islower()) or not _is_family(first):
             continue
         start, end = m.start(2), m.end(2)
-        for (a, b), rx in zip(_NAME_CASES, _GIVEN_FAMILY, strict=True):
+        for rx in _GIVEN_FAMILY:
             more = rx.match(text, start)
-            if more and _is_given(more[1], given) and _is_family(more[2]):
+            # German writes any noun with a capital, so that two capitalised words behind Herr or Frau need not be one name
+            if more and _is_family(more[2]) and (_is_given(more[1], given) or (more[2][0].isupper() and (title.lower() not in ("herr", "frau") or _shown(text, m.start(), more.end())))):
                 end = more.end()
                 break
         if text[end : end + 1] == "-" and text[end + 1 : end + 2].isdigit():
             continue
         spans.add(start, end, "name")
-    if any(t in given or t.partition("-")[0] in given for t in _TOKENS.findall(text.lower())):
-        for rx in _FAMILY_GIVEN:
-            for m in rx.finditer(text):
-                whole = text[: m.start()].rstrip(" \"'")[-1:] in ("", "|", "=", ":", "\n", "-") and text[m.end() : m.end() + 1] in ("", "|", ";", '"', "\n")
-                if (m[1][0].isupper() or whole) and _is_given(m[2], given) and m[1].lower() not in given and _is_family(m[1]) and len(m[1]) > 2:
-                    spans.add(m.start(), m.end(), "name")
-        for rx in _GIVEN_FAMILY:
-            at = 0
-            while m := rx.search(text, at):
-                at = m.end(1)
-                if _is_given(m[1], given) and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
+    listed = {w for w in words if w in given or ("-" in w and w.partition("-")[0] in given)}
+    if listed:
+        known = [t for t in _TOKENS.finditer(text) if t[0].lower() in listed]
+        if ", " in text:
+            for rx in _FAMILY_GIVEN:
+                for m in rx.finditer(text):
+                    whole = text[: m.start()].rstrip(" \"'")[-1:] in ("", "|", "=", ":", "\n", "-") and text[m.end() : m.end() + 1] in ("", "|", ";", '"', "\n")
+                    if (m[1][0].isupper() or whole) and _is_given(m[2], given) and m[1].lower() not in given and _is_family(m[1]) and len(m[1]) > 2:
+                        spans.add(m.start(), m.end(), "name")
+        upto = 0
+        for t in known:
+            if t.start() < upto:
+                continue
+            for rx in _GIVEN_FAMILY:
+                m = rx.match(text, t.start())
+                if m and _is_given(m[1], given) and _is_family(m[2]) and len(m[2]) > 2 and not text[m.end() : m.end() + 2].lstrip("-").isdigit():
                     if spans.add(m.start(), m.end(), "name"):
-                        at = m.end()
-    for m in _INITIAL.finditer(text):
-        if _is_family(m[1]) and len(m[1]) > 2:
-            spans.add(m.start(), m.end(), "name")
+                        upto = m.end()
+                    break
     for m in _NAMED_FIELD.finditer(text):
         value = m[1].strip()
-        words = value.replace(",", " ").split()
-        if 2 <= len(words) <= 5 and not any(c.isdigit() for c in value):
+        parts = value.replace(",", " ").split()
+        if 2 <= len(parts) <= 5 and not any(c.isdigit() for c in value):
             skip = 0
-            while words and words[0].rstrip(".").lower() in TITLES:
-                skip = value.index(words[0]) + len(words[0])
+            while parts and parts[0].rstrip(".").lower() in TITLES:
+                skip = value.index(parts[0]) + len(parts[0])
                 skip += len(value[skip:]) - len(value[skip:].lstrip())
-                words = words[1:]
+                parts = parts[1:]
             spans.add(m.start(1) + m[1].index(value) + skip, m.start(1) + m[1].index(value) + len(value), "name")
+    _unlisted(text, spans, not _SMALL_HINTS.isdisjoint(words))
+    if "." in text:
+        for m in _INITIAL.finditer(text):
+            if _is_family(m[1]) and len(m[1]) > 2:
+                spans.add(m.start(), m.end(), "name")
+    if text.isascii():
+        return
+    for rx in (_PATRONYMIC, _RUSSIAN) if _CYRILLIC.search(text) else ():
+        for m in rx.finditer(text):
+            if m[0].split()[0].lower() not in STARTERS:
+                spans.add(m.start(), m.end(), "name")
+    for rx, signs in ((_RESPECT, ("さん", "様", "氏", "先生", "殿")), (_INTRODUCED, ("名前は", "私は"))):
+        for m in rx.finditer(text) if any(x in text for x in signs) else ():
+            spans.add(m.start(1), m.end(1), "name")
 
 
-def find(text: str, table: dict[int, str], given: dict[str, str] = _FIRST) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, entity, gender) of the occurrences in a text, by position; ``given`` are the known given names and their gender.
-
-    ``entity`` is the canonical writing that all ways of writing one address, number or name share.
-    """
-    plain, at = legible(text, table)
+def _spans_of(plain: str, given: dict[str, str]) -> list[tuple[int, int, str]]:
     spans = _Spans()
-    if "@" in plain or " a" in plain.lower() or "(a" in plain or "[a" in plain:
+    if _MAYBE_EMAIL.search(plain):
         for m in EMAIL.finditer(plain):
             spans.add(m.start(), m.end(), "email")
-    if any(c.isdigit() for c in plain):
-        for rx in ADDRESSES:
+    if _ANY_DIGIT.search(plain):
+        for test, rx in zip(_ADDRESS_TESTS, ADDRESSES, strict=True):
+            if not test(plain):
+                continue
             for m in rx.finditer(plain):
                 words = m["words"].lower().split()
                 if not (_NO_STREET & set(words)) and words[-1] not in _NO_COMPOUND:
                     spans.add(m.start(), m.end(), "address")
-        _numbers(plain, spans)
+        if _MAYBE_NUMBER.search(plain):
+            _numbers(plain, spans)
     _names(plain, spans, given)
-    out = []
-    for a, b, kind in sorted(spans.found):
-        entity, gender = _entity(plain[a:b], kind, plain[max(0, a - 12) : a])
-        out.append((a if at is None else at[a], b if at is None else at[b - 1] + 1, kind, entity, gender))
-    return out
+    return sorted(spans.found)
+
 
+_ANY_DIGIT = re.compile(r"\d")
 
-def _entity(found: str, kind: str, before: str) -> tuple[str, str]:
-    low = " ".join(found.casefold().split())
+
+def canonical(plain: str, kind: str) -> str:
+    """The entity that all ways of writing one address, number or name share."""
     if kind == "email":
-        low = re.sub(rf"{_AT}|{_AT_WORD}", "@", low, count=1)
-        return re.sub(_DOT_WORD, ".", low).replace(" ", ""), ""
+        low = re.sub(rf"{_AT}|{_AT_WORD}", "@", " ".join(plain.lower().split()), count=1)
+        return fold(re.sub(_DOT_WORD, ".", low).replace(" ", ""))
     if kind == "phone":
-        digits = re.sub(r"\D", "", low.replace("(0)", ""))
-        return ("+" + digits[2:] if digits.startswith("00") and "+" not in low else "+" * ("+" in low) + digits), ""
+        code, number, _ = surrogates.national(plain)
+        return f"+{code} {number}" if code else number
     if kind == "id_number":
-        return re.sub(r"[\W_]", "", low), ""
+        return re.sub(r"[\W_]", "", fold(plain))
     if kind == "address":
-        return re.sub(r"[^\w]+", " ", low).strip(), ""
+        return re.sub(r"[^\w]+", " ", fold(plain)).strip()
+    return "|".join(surrogates.name_key(plain))
+
+
+def _gender(plain: str, before: str) -> str:
     title = re.search(r"([^\W\d_]+)\.? $", before)
-    gender = TITLES.get(title[1].lower(), "") if title else ""
-    family, comma, given = re.sub(r"\.(?=[^\W\d_])", ". ", low).partition(", ")
-    words = (f"{given} {family}" if comma else family).split()
-    if words[0].endswith(".") and len(words[0]) == 2:  # an initial has no accent, as a given name may be written without
-        words[0] = unicodedata.normalize("NFD", words[0])[0] + "."
-    return " ".join(w for i, w in enumerate(words) if i in (0, len(words) - 1) or len(w.rstrip(".")) > 1), gender or _FIRST.get(words[0].partition("-")[0], "")
+    return (TITLES.get(title[1].lower(), "") if title else "") or _FIRST.get(surrogates.name_key(plain)[0].partition(" ")[0].partition("-")[0], "")
 
 
-def given_names(df: DataFrame, text_col: str) -> dict[str, str]:
-    """The listed given names, and those that the corpus shows.
+def find(text: str, letters: Letters, given: dict[str, str] = _FIRST) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, end, kind, entity, gender, plain) of the occurrences in a text, by position; ``given`` are listed given names and their gender.
 
-    A capitalised word inside a sentence, before an initial and a family name, is a given name if it stands so before ``LEARN_FAMILIES`` different family names at
-    least, and if no more than ``LEARN_LOWER`` times as many texts have it as a word in small letters: verbs that begin a sentence are written small elsewhere. Each
-    word is judged by itself, however usual others are. The words that stand so before families enough come to the driver.
+    ``entity`` is the identity within this text, ``plain`` the occurrence in legible letters.
     """
-    shown = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_SHOWN), F.lit(0))).alias("_shown")
-    parts = df.select(shown).select(F.lower(F.element_at(F.split("_shown", " "), 1)).alias("name"), F.element_at(F.split("_shown", " "), -1).alias("family"))
-    counted = parts.groupBy("name", "family").agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).filter(F.col("n") >= LEARN_FAMILIES)
-    rows = [r for r in counted.collect() if r["name"] not in STARTERS and r["name"] not in _FIRST]
-    if rows:
-        names = F.broadcast(df.sparkSession.createDataFrame([(r["name"],) for r in rows], "name string"))
-        words = df.select(F.explode(F.array_distinct(F.split(F.col(text_col), r"\s+"))).alias("name"))
-        small = words.join(names, "name").groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
-        lower = {r["name"]: r["texts"] for r in small.collect()}
-        rows = [r for r in rows if lower.get(r["name"], 0) <= LEARN_LOWER * r["c"]]
-    return {r["name"]: "" for r in rows} | _FIRST
+    plain, at = legible(text, letters)
+    out = []
+    for a, b, kind in _spans_of(plain, given):
+        gender = _gender(plain[a:b], plain[max(0, a - 12) : a]) if kind == "name" else ""
+        out.append((a if at is None else at[a], b if at is None else at[b - 1] + 1, kind, canonical(plain[a:b], kind), gender, plain[a:b]))
+    return _one_identity(out)
+
+
+def _one_identity(found: list) -> list:
+    """Parts of names and national numbers take the identity of the only full name or international number in the text that they can stand for."""
+    names = {(e, g) for _, _, kind, e, g, _ in found if kind == "name"}
+    abroad = {e for _, _, kind, e, _, _ in found if kind == "phone" and e.startswith("+")}
+    if len(names) < 2 and not abroad:
+        return found
+    out = []
+    for a, b, kind, entity, gender, plain in found:
+        if kind == "name":
+            given, _, family = entity.partition("|")
+            if len(given) <= 1:
+                full = {e for e, g in names if e.partition("|")[2] == family and len(e.partition("|")[0]) > 1 and e.startswith(given) and not (g and gender and g != gender)}
+                if len(full) == 1:
+                    entity = full.pop()
+        elif kind == "phone" and not entity.startswith("+"):
+            full = {e for e in abroad if e.partition(" ")[2] == entity}
+            if len(full) == 1:
+                entity = full.pop()
+        out.append((a, b, kind, entity, gender, plain))
+    return out
 
 
-OCCURRENCE = "array<struct<start_pos:bigint,length:bigint,kind:string,entity:string,gender:string,found:string>>"
+# Words of an address that tell what it is and not where.
+_ADDRESS_WORDS = set(
+    """street st road rd lane ln way drive dr terrace ter close cl avenue ave court ct place pl square sq row crescent cres boulevard blvd gardens gdns grove mews walk parade highway hwy parkway pkwy circle
+    straße strasse str gasse weg platz allee ufer damm steig stieg chaussee pfad promenade rue av bd bld quai impasse chemin route sentier ruelle faubourg esplanade cite villa residence calle avda avenida
+    paseo plaza pza camino carretera ctra ronda travesia callejon glorieta rambla cuesta apt flat unit suite bis quater no num am an auf im in zum zur bei der dem den de la le les du des del las los el""".split()
+)
+_COMPOUND = re.compile(r"(?<=..)(?:straße|strasse|str|gasse|weg|platz|allee|ufer|damm|steig|stieg|chaussee|pfad|promenade|ring|hof|markt|graben|wall|berg|tor)$")
 
 
-def occurrences(df: DataFrame, id_col: str, text_col: str, by: list[str]) -> DataFrame:
-    """(by..., id, start_pos, length, kind, entity, gender, found): one row for each occurrence, positions in code points from 1.
+def _compound(word: str) -> int:
+    m = _COMPOUND.search(word)
+    return len(m[0]) if m else 0
 
-    NULL and empty texts have none; repeated rows have theirs each. Other columns are ignored.
-    """
-    table = df.sparkSession.sparkContext.broadcast((confusables.prototypes(df.sparkSession), given_names(df, text_col)))
 
-    @F.pandas_udf(OCCURRENCE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, given = table.value
-        for texts in batches:
-            yield pd.Series(
-                [
-                    [{"start_pos": a + 1, "length": b - a, "kind": kind, "entity": e, "gender": g, "found": t[a:b]} for a, b, kind, e, g in find(t, known, given)] if t else []
-                    for t in texts
-                ],
-                dtype=object,
-            )
-
-    return df.select(*by, F.col(id_col).alias("_id"), F.inline(run(F.col(text_col)))).select(*by, F.col("_id").alias("id"), "start_pos", "length", "kind", "entity", "gender", "found")
-
-
-class _Stream:
-    """Bytes that a key and an entity determine."""
-
-    def __init__(self, key: bytes, *parts: str) -> None:
-        self.key, self.seed, self.n, self.left = key, "\x1f".join(parts).encode(), 0, b""
-
-    def pick(self, n: int) -> int:
-        if len(self.left) < 4:
-            self.left += hmac.new(self.key, self.seed + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
-            self.n += 1
-        value, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
-        return value % n
-
-
-# Parts of invented family and street names.
-_SYLLABLES = "bal cor dem fir gal hol jan kes lom mar nev pol quor rin sal tor ulm ven wes zan".split()
-_ENDINGS = "bach berg dale ford hurst land mont ridge son ton vale wood".split()
-
-
-_PARTICLES = set("von van de del della da di ten ter der den".split())
-_BY_LETTER = {g: {c: [n.lower() for n in names.split() if n[0].lower() == c] for c in "abcdefghijklmnopqrstuvwxyz"} for g, names in (("f", FEMALE), ("m", MALE), ("", FEMALE + MALE))}
-#: Letters that given names of both genders begin with, and the others; an initial's surrogate is of the same group.
-_LETTERS = ["".join(c for c in _BY_LETTER[""] if bool(_BY_LETTER["f"][c] and _BY_LETTER["m"][c]) is common) for common in (True, False)]
-
-
-def _parted(entity: str) -> tuple[str, str]:
-    """The given and the family name of a canonical name; a single word is a family name."""
-    words = entity.split()
-    at = len(words) - 1
-    while at > 0 and words[at - 1] in _PARTICLES:
-        at -= 1
-    return " ".join(words[:at]), " ".join(words[at:])
-
-
-def _initial_for(key: bytes, family: str, given: str) -> str:
-    """The letter that stands for a given name's first one, by an exchange of letters that is the family's own."""
-    first = unicodedata.normalize("NFD", given)[0]
-    for group in _LETTERS:
-        if first in group:
-            s, letters = _Stream(key, "initial", family), list(group)
-            for i in range(len(letters) - 1, 0, -1):
-                j = s.pick(i + 1)
-                letters[i], letters[j] = letters[j], letters[i]
-            return letters[group.index(first)]
-    return first
-
-
-def _surrogate_given(s: _Stream, key: bytes, entity: str, gender: str, attempt: int) -> str:
-    """A given name with the family's letter for the initial, a double one if that has been tried; an initial for an initial, nothing for a family name."""
-    given, family = _parted(entity)
-    if not given:
-        return ""
-    letter = _initial_for(key, family, given)
-    if len(given) == 2 and given.endswith("."):
-        return letter + "."
-    pool = _BY_LETTER[gender].get(letter) or [letter + x[1:] + {"f": "a", "m": "o"}.get(gender, "e") for x in _SYLLABLES]
-    more = (FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE).lower().split()
-    return "-".join([pool[s.pick(len(pool))]] + [more[s.pick(len(more))] for _ in range(attempt // 3)])
-
-
-def surrogate_entity(key: bytes, kind: str, entity: str, gender: str, attempt: int) -> str:
-    """The canonical surrogate of a canonical entity: digits stay digits, letters letters; names keep their gender. The one of a name is its
-    given name's; ``family`` is a kind of its own. Each second further attempt makes invented words longer, as short ones are few."""
-    s = _Stream(key, kind, entity, str(attempt))
-    if kind == "email":
-        return f"{_SYLLABLES[s.pick(20)]}{_SYLLABLES[s.pick(20)]}.{_ENDINGS[s.pick(12)]}{s.pick(10**6):06d}@mail.example"
+def written(s: Surrogates, kind: str, plain: str, original: str) -> str:
+    """The surrogate of an occurrence, written as it is: in its script, width, case, order and separators.
+
+    ``plain`` is the occurrence in legible letters, ``original`` the characters it was read from, one for each.
+    """
     if kind == "phone":
-        keep = min(len(entity), 4 if entity.startswith("+") else 2)
-        return entity[:keep] + "".join(str(s.pick(10)) if c.isdigit() else c for c in entity[keep:])
+        return surrogates.phone_surrogate(s, plain, original)
     if kind == "id_number":
-        return "".join(str(s.pick(10)) if c.isdigit() else chr(97 + s.pick(26)) if c.isalpha() else c for c in entity)
-    word = "".join(_SYLLABLES[s.pick(20)] for _ in range((2 if kind == "address" else 3) + attempt // 2)) + _ENDINGS[s.pick(12)] if kind in ("address", "family") else ""
-    if kind == "address":  # with as many digits as it will be written with
-        digits = re.search(r"\d+", entity)
-        return "".join(str(1 + s.pick(9) if i == 0 else s.pick(10)) for i in range(len(digits[0]) if digits else 1)) + " " + word
-    if kind == "family":
-        return word
-    return _surrogate_given(s, key, entity, gender, attempt)
+        return surrogates.id_surrogate(s, plain, original)
+    if kind == "name":
+        return surrogates.name_surrogate(s, plain, original, _FIRST.get(surrogates.name_key(plain)[0].partition(" ")[0].partition("-")[0], ""))
+    if kind == "address":
+        return surrogates.words_surrogate(s, plain, original, "address", _ADDRESS_WORDS.__contains__, _compound)
+    spared = [m.span() for m in (re.search(rf"{_AT}|{_AT_WORD}", plain, re.I),) if m]
+    spared += [m.span() for m in re.finditer(_DOT_WORD, plain, re.I)]
+    last = re.search(r"[^\W\d_]+$", plain)
+    spared += [last.span()] if last else []
+    return surrogates.words_surrogate(s, plain, original, "email", lambda _: False, spared=spared)
+
+
+def marks_of(text: str, letters: Letters, s: Surrogates, given: dict[str, str] = _FIRST) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, placeholder, surrogate) of the occurrences in a text."""
+    found = find(text, letters, given)
+    if not found:
+        return []
+    at = legible(text, letters)[1]
+    places = {p: i for i, p in reversed(list(enumerate(at)))} if at else None
+    out = []
+    for a, b, kind, entity, _, plain in found:
+        if places is None:
+            original = text[a:b]
+        else:
+            first = places[a]
+            original = "".join(text[at[first + k]] for k in range(len(plain)))
+        out.append((a, b, kind, f"[{kind.upper()}:{s.tag(kind, entity)}]", written(s, kind, plain, original)))
+    return out
 
 
-def real_forms(kind: str, entity: str) -> list[str]:
-    """What a surrogate may not be, as it would be written like this entity."""
-    if kind != "address":
-        return [entity]
-    digits = re.search(r"\d+", entity)
-    words = {w for x in entity.split() for w in (x, re.sub(rf"({_DE_STREET}|ring|hof|markt|graben|wall|berg|tor)$", "", x))}
-    return [f"{digits[0] if digits else 1} {w}" for w in sorted(words)]
+MARK = "struct<start_pos:bigint,length:bigint,kind:string,placeholder:string,surrogate:string>"
 
 
+def _run(df: DataFrame, text: Column, key: bytes, kind: str, each) -> Column:
+    """A Python column over a text column; ``each`` gets a text and its marks. Key and tables reach the workers as broadcast values."""
+    shared = df.sparkSession.sparkContext.broadcast((key, confusables.prototypes(df.sparkSession)))
 
-def dressed(found: str, kind: str, surrogate: str) -> str:
-    """The surrogate in the writing of an occurrence: its separators, its case, its order, its initials."""
-    if kind == "email":
-        local, _, domain = surrogate.partition("@")
-        at = re.search(rf"{_AT}|{_AT_WORD}", found, re.I)
-        dot = re.search(_DOT_WORD, found, re.I)
-        out = local + (at[0] if at else "@") + domain.replace(".", dot[0] if dot else ".")
-        return out.upper() if found.isupper() else out
-    if kind in ("phone", "id_number"):
-        rest = iter(c for c in surrogate if c.isalnum())
-        folded = [c for c in surrogate if c.isalnum()]
-        sizes = sum(c.isalnum() for c in found)
-        if sizes != len(folded):  # written with a trunk prefix or with 00 for the plus
-            lead = "00" if surrogate.startswith("+") and found.startswith("00") else "0" * (sizes - len(folded))
-            rest = iter((lead + "".join(folded)) if "(0)" not in found else "".join(folded))
-            found = found.replace("(0)", "\x00")
-        out = "".join((next(rest, "0").upper() if c.isupper() else next(rest, "0")) if c.isalnum() else c for c in found)
-        return out.replace("\x00", "(0)")
-    if kind == "address":
-        number, _, street = surrogate.partition(" ")
-        digits = re.search(r"\d+", found)
-        m = re.search(rf"(?i)\b({_EN_STREET}|{_FR_STREET}|{_ES_STREET})\b|({_DE_STREET}|ring|hof|markt|graben|wall|berg|tor)(?=\s+\d)", found)
-        kind_of = m[0] if m else ""
-        name = street.capitalize() if not found.islower() else street
-        if m and m[2]:
-            out = f"{name}{kind_of} {number}"
-        elif digits and digits.start() == 0 and m and m.start() < len(digits[0]) + 8 and re.fullmatch(rf"(?i){_FR_STREET}", kind_of):
-            out = f"{number} {kind_of} {name}"
-        elif digits and digits.start() == 0:
-            out = f"{number} {name} {kind_of}".strip()
-        else:
-            out = f"{kind_of} {name} {number}".strip()
-        return out.upper() if found.isupper() else out
-    given, _, family = surrogate.rpartition(" ")
-    if found.isupper():
-        style = str.upper
-    elif found.islower():
-        style = str.lower
-    else:
-        style = str.capitalize
-    given, family = "-".join(style(x) for x in given.split("-")), style(family)
-    if not given:
-        return family
-    return f"{family}, {given}" if ", " in found else f"{given} {family}"
-
-
-def _settle(known: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate) of (kind, entity, gender, family); ``family`` is the surrogate that a name's family name has already."""
-
-    @F.pandas_udf("string")
-    def derive(kinds: pd.Series, entities: pd.Series, genders: pd.Series, attempts: pd.Series) -> pd.Series:
-        return pd.Series([surrogate_entity(key, k, e, g or "", int(n)) for k, e, g, n in zip(kinds, entities, genders, attempts, strict=True)], dtype=object)
-
-    @F.pandas_udf("array<string>")
-    def forms(kinds: pd.Series, entities: pd.Series) -> pd.Series:
-        return pd.Series([real_forms(k, e) for k, e in zip(kinds, entities, strict=True)], dtype=object)
-
-    real = cut(known.select("kind", F.explode(forms("kind", "entity")).alias("surrogate")).distinct().withColumn("_taken", F.lit(True)))
-    todo, settled = known.withColumn("attempt", F.lit(0)), None
-    for _ in range(COLLISION_ROUNDS):
-        surrogate = F.trim(F.concat_ws(" ", derive("kind", "entity", "gender", "attempt"), "family"))
-        made = cut(todo.withColumn("surrogate", surrogate).withColumn("_old", F.lit(False)))
-        everything = made if settled is None else made.unionByName(settled.withColumn("_old", F.lit(True)))
-        first = everything.groupBy("kind", "surrogate").agg(F.min(F.struct(~F.col("_old"), F.col("entity"))).getField("entity").alias("_first"))
-        judged = made.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        judged = cut(judged.withColumn("_good", (F.col("entity") == F.col("_first")) & F.col("_taken").isNull()))
-        good = judged.filter("_good").select("kind", "entity", "gender", "family", "attempt", "surrogate")
-        settled = good if settled is None else settled.unionByName(good)
-        todo = judged.filter("NOT _good").select("kind", "entity", "gender", "family", (F.col("attempt") + 1).alias("attempt"))
-        if todo.isEmpty():
-            return settled.select("kind", "entity", "surrogate")
-    raise RuntimeError(f"surrogates still collide after {COLLISION_ROUNDS} attempts")
-
-
-def entities_of(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate, tag): a surrogate for each distinct entity, distinct from all others and from all entities.
-
-    Family names are settled first, with all that aren't names, then names with their family's surrogate. Colliding and taken surrogates are derived again with
-    the next attempt, until none is left; only entities take part, each once.
-    """
-
-    @F.pandas_udf("string")
-    def family_of(entities: pd.Series) -> pd.Series:
-        return pd.Series([_parted(e)[1] for e in entities], dtype=object)
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_key, table = shared.value
+        letters, s = Letters(table), Surrogates(own_key)
+        for texts in batches:
+            yield each([(t, marks_of(t, letters, s)) if isinstance(t, str) and t else (t if isinstance(t, str) else None, []) for t in texts])
 
-    known = cut(found.groupBy("kind", "entity").agg(F.max("gender").alias("gender")))
-    none = F.lit(None).cast("string")
-    names = cut(known.filter("kind = 'name'").withColumn("_family", family_of("entity")))
-    families = names.select(F.lit("family").alias("kind"), F.col("_family").alias("entity"), F.lit("").alias("gender")).distinct()
-    others = cut(_settle(known.filter("kind <> 'name'").unionByName(families).withColumn("family", none), key))
-    with_family = names.join(others.filter("kind = 'family'").select(F.col("entity").alias("_family"), F.col("surrogate").alias("family")), "_family")
-    settled = others.filter("kind <> 'family'").unionByName(_settle(cut(with_family.select("kind", "entity", "gender", "family")), key))
-    tag = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key.hex()), "kind", "entity"), 256), 1, 8)
-    return settled.select("kind", "entity", "surrogate", tag.alias("tag"))
+    # not to be run again, or before a repartition, for a filter on its result
+    return run.asNondeterministic()(text)
 
 
 def with_surrogates(df: DataFrame, id_col: str, text_col: str, by: list[str], key: bytes) -> DataFrame:
-    """(by..., id, start_pos, length, kind, placeholder, surrogate): every occurrence with what replaces it."""
+    """(by..., id, start_pos, length, kind, placeholder, surrogate): every occurrence with what replaces it, positions in code points from 1.
+
+    NULL and empty texts have none; repeated rows have theirs each; rows with equal ids and different texts keep their own. Other columns are ignored.
+    """
+
+    def each(rows: list) -> pd.Series:
+        return pd.Series([[{"start_pos": a + 1, "length": b - a, "kind": kind, "placeholder": p, "surrogate": x} for a, b, kind, p, x in marks] for _, marks in rows], dtype=object)
 
-    @F.pandas_udf("string")
-    def dress(found: pd.Series, kinds: pd.Series, surrogates: pd.Series) -> pd.Series:
-        return pd.Series([dressed(f, k, s) for f, k, s in zip(found, kinds, surrogates, strict=True)], dtype=object)
+    marks = _run(df, F.col(text_col), key, f"array<{MARK}>", each)
+    return df.select(*by, F.col(id_col).alias("_id"), F.inline(marks)).select(*by, F.col("_id").alias("id"), "start_pos", "length", "kind", "placeholder", "surrogate")
 
-    found = cut(occurrences(df, id_col, text_col, by))
-    replaced = found.join(entities_of(found, key), ["kind", "entity"])
-    placeholder = F.concat(F.lit("["), F.upper("kind"), F.lit(":"), "tag", F.lit("]"))
-    return replaced.select(*by, "id", "start_pos", "length", "kind", placeholder.alias("placeholder"), dress("found", "kind", "surrogate").alias("surrogate"))
+
+def rewritten(text: str | None, marks: list) -> tuple[str | None, str | None]:
+    """The text with placeholders, and with surrogates."""
+    if not marks:
+        return text, text
+    redacted, replaced, at = [], [], 0
+    for a, b, _, placeholder, surrogate in marks:
+        redacted += [text[at:a], placeholder]
+        replaced += [text[at:a], surrogate]
+        at = b
+    return "".join(redacted) + text[at:], "".join(replaced) + text[at:]
 
 
 def replaced_texts(df: DataFrame, id_col: str, text_col: str, by: list[str], key: bytes) -> DataFrame:
     """(by..., id, redacted, surrogate): the texts with typed placeholders, and with surrogates; all else unchanged.
 
-    Every row is kept, repeated ids too if their rows are equal; texts without an occurrence come out as they are, NULL as NULL.
+    Every row is kept, in the pass that finds; texts without an occurrence come out as they are, NULL as NULL. Other columns are ignored.
     """
-    marks = with_surrogates(df, id_col, text_col, by, key)
-    spans = marks.groupBy(*by, "id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start_pos", "length", "placeholder", "surrogate")))).alias("_spans"))
-    rows = df.select(*by, F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    same = F.lit(True)
-    for c in (*by, "id"):
-        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    joined = rows.alias("r").join(spans.alias("s"), same, "left").select(*[f"r.{c}" for c in by], "r.id", "r._text", "s._spans")
-
-    @F.pandas_udf(T.StructType([T.StructField("redacted", T.StringType()), T.StructField("surrogate", T.StringType())]))
-    def rewrite(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, marks in zip(texts, spans, strict=True):
-            if t is None or marks is None:
-                out.append((t, t))
-                continue
-            parts: tuple[list[str], list[str]] = ([], [])
-            at = 0
-            for m in marks:
-                for p, field in zip(parts, ("placeholder", "surrogate"), strict=True):
-                    p += [t[at : m["start_pos"] - 1], m[field]]
-                at = m["start_pos"] - 1 + m["length"]
-            out.append(("".join(parts[0]) + t[at:], "".join(parts[1]) + t[at:]))
-        return pd.DataFrame(out, columns=["redacted", "surrogate"])
 
-    return joined.select(*by, "id", rewrite("_text", "_spans").alias("_out")).select(*by, "id", "_out.redacted", "_out.surrogate")
+    def each(rows: list) -> pd.DataFrame:
+        return pd.DataFrame([rewritten(t, marks) for t, marks in rows], columns=["redacted", "surrogate"], dtype=object)
 
+    out = _run(df, F.col(text_col), key, "struct<redacted:string,surrogate:string>", each)
+    return df.select(*by, F.col(id_col).alias("id"), out.alias("_out")).select(*by, "id", "_out.redacted", "_out.surrogate")
