@@ -152,12 +152,14 @@ _TWO_CAPITALS = [
     (re.compile(rf"(?<![\w@.-])(?=(?P<all>(?P<one>{a}{b}+(?:-{a}{b}+)?) (?:{_UPPER}\.? )?(?P<two>{_FAMILY.format(a, b)}))(?![\w@]|-\d))"), a == b, False)
     for a, b in _NAME_CASES[:2]
 ] + [(re.compile(rf"(?<![\w@.-])(?=(?P<all>(?P<one>{_UPPER}{_LOWER}+(?:[-'’]{_UPPER}{_LOWER}+)*), (?P<two>{_UPPER}{_LOWER}+(?:-{_UPPER}{_LOWER}+)?)(?: {_UPPER}\.)?)(?![\w@]|-\d))"), False, True)]
+_CAPITALS = re.compile(rf"(?<![\w@.-]){_UPPER}[\w'’-]+(?:,? (?:{_UPPER}\.? )?(?:(?:von|van|de|del|della|da|di|ten|ter) )?{_UPPER}[\w'’-]+)+")
 _SMALL_PAIR = rf"({_LOWER}{{3,}}(?:-{_LOWER}+)?) (?:{_LOWER}\. )?({_LOWER}{{3,}}(?:[-'’]{_LOWER}+)*)(?![\w@-])"
+# matched in the text in small letters, so that the search can start from the cues' first letters; the two words must be small in the text itself
 _SMALL = [
-    re.compile(rf"(?i:{_NAMING})\s+{_SMALL_PAIR}"),
-    re.compile(rf"(?i:{_OF}|{_BY}|\b(?:belongs to|gehört|appartient à|pertenece a))\s+{_SMALL_PAIR}(?=\s*(?:[.,?!;:(\n]|$)| [A-Z])"),
-    re.compile(rf"(?i:{_CALL})\s+{_SMALL_PAIR}(?=\s+(?:unter|an|al|au|on|at|op|pod)\b)"),
-    re.compile(rf"(?i:{_CLOSING})[,.!]?\s*\n\s*{_SMALL_PAIR}(?=[ .]*(?:\n|$))"),
+    re.compile(rf"(?:{_NAMING})\s+{_SMALL_PAIR}".replace(r"\b", "")),
+    re.compile(rf"(?:{_OF}|{_BY}|(?:belongs to|gehört|appartient à|pertenece a))\s+{_SMALL_PAIR}(?=\s*(?:[.,?!;:(\n]|$)| (?P<capital>\w))".replace(r"\b", "")),
+    re.compile(rf"(?:{_CALL})\s+{_SMALL_PAIR}(?=\s+(?:unter|an|al|au|on|at|op|pod)\b)".replace(r"\b(?:call", "(?:call")),
+    re.compile(rf"{_CLOSING}[,.!]?\s*\n\s*{_SMALL_PAIR}(?=[ .]*(?:\n|$))"),
 ]
 _INITIAL = re.compile(rf"(?<![\w@.-]){_UPPER}\. ?(?:{_UPPER}\. ?)?({_UPPER}[^\W\d_]+(?:[-'’]{_UPPER}[^\W\d_]+)*)(?![\w@]|-\d)")
 _TITLED = re.compile(rf"(?<![\w@.-])({'|'.join(sorted(TITLES, key=len, reverse=True))})(?:\.|\b) ?(?:(?:Dr|Prof)\.? )?((?:[^\W\d_]\. ?)?[^\W\d_]{{2,}}(?:[-'’][^\W\d_]+)*)(?![\w@]|-\d)", re.I)
@@ -172,25 +174,43 @@ _INTRODUCED = re.compile(r"(?:名前は|私は)([一-龥々]{2,6}|[ァ-ヶー・
 
 _MAYBE_EMAIL = re.compile(r"@|[(\[{<] ?(?:at|a|arroba|arobase|chiocciola) ?[)\]}>]| (?:at|arroba|arobase|chiocciola) \S[^\n]{0,120}?(?:dot|punto|point|punkt|punt|ponto)[)\]} ]", re.I)
 _MAYBE_NUMBER = re.compile(r"\d(?:[ .()/\-]{0,3}[A-Za-z]?\d){5}")
-_BEFORE_NUMBER = re.compile(r"([^\W\d_]{2})\.?\s+\d")
-# The last two letters of German streets.
-_STREET_ENDS = set("ße se tr eg tz ee er mm ig eg ad de ng of kt en ll rg or".split())
-_MAYBE_ES = re.compile(rf"(?<![\w-])(?:{_ES_STREET})", re.I)
-_MAYBE_FR = re.compile(rf" (?:{_FR_STREET}) ", re.I)
-_MAYBE_EN = re.compile(rf" (?:{_EN_STREET})\b", re.I)
-
-
-def _maybe_compound(text: str) -> bool:
-    return not _STREET_ENDS.isdisjoint(x.lower() for x in _BEFORE_NUMBER.findall(text))
-
-
-_ADDRESS_TESTS = [_MAYBE_EN.search, _maybe_compound, _maybe_compound, _MAYBE_FR.search, _MAYBE_ES.search]
-#: Words without which none of the patterns for names in small letters can match.
-_SMALL_HINTS = set(
-    """name nom nombre nome naam heiße heisse heet appelle llamo chiamo chamo nazywam зовут badge mobile phone desk card number mail email handy ausweis nummer tarjeta número numero móvil portable numéro carte
-    carné telefon téléphone teléfono by von par por da belongs gehört appartient pertenece call ring ruf rufen rappelez appelez llama llame llaman llamen chiama chiami bel zadzwoń позвоните
-    regards wishes cheers thanks you best sincerely yours grüße grüßen grüsse gruss gruß dank cordialement vous saludo saludos atentamente gracias saluti cumprimentos groet groeten pozdrawiam уважением e-mail""".split()
-)
+_COMPOUND_ENDS = tuple("straße strasse str gasse weg platz allee ufer damm steig stieg chaussee pfad promenade ring hof markt graben wall berg tor".split())
+
+
+def _only_words(alternatives: str) -> frozenset[str]:
+    """The words without which a pattern of alternatives can't match."""
+    return frozenset(re.search(r"^[^\W\d_]+", x)[0] for x in alternatives.split("|"))
+
+
+_EN_WORDS, _FR_WORDS, _ES_WORDS = (_only_words(x) for x in (_EN_STREET, _FR_STREET, _ES_STREET))
+
+
+def _address_patterns(words: set[str]) -> Iterator[re.Pattern]:
+    """The patterns that can match in a text of these words."""
+    if not words.isdisjoint(_EN_WORDS):
+        yield ADDRESSES[0]
+    if any(w.endswith(_COMPOUND_ENDS) for w in words):
+        yield from ADDRESSES[1:3]
+    if not words.isdisjoint(_FR_WORDS):
+        yield ADDRESSES[3]
+    if not words.isdisjoint(_ES_WORDS):
+        yield ADDRESSES[4]
+
+
+#: Words of which each set must have one, or else a pattern for names in small letters can't match.
+_SMALL_WORDS = [
+    [set("name nom nombre nome naam heiße heisse heet appelle llamo chiamo chamo nazywam зовут".split())],
+    [
+        set("of von de di by par por da to gehört à a".split()),
+        set(
+            """badge mobile phone desk card number mail email handy ausweis nummer tarjeta número numero móvil portable numéro carte carné telefon téléphone teléfono name nom nombre belongs gehört appartient
+            pertenece approved reviewed forwarded signed written requested reported confirmed checked opened prepared weitergeleitet geprüft freigegeben genehmigt unterschrieben geschrieben transféré validé
+            approuvé signé relu écrit reenviado aprobado firmado revisado escrito inoltrato approvato firmato revisto aprovado""".split()
+        ),
+    ],
+    [set("call phone ring ruf rufen rappelez appelez llama llame llaman llamen chiama chiami bel zadzwoń позвоните".split()), set("unter an al au on at op pod".split())],
+    [set("regards wishes cheers thanks you best sincerely yours grüße grüßen grüsse grüssen gruss gruß dank cordialement vous saludo saludos atentamente gracias saluti cumprimentos groet groeten pozdrawiam уважением".split())],
+]
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-z]")
 _WHOLE_WORD = re.compile(r"[^\W\d_]+")
@@ -328,7 +348,7 @@ def _is_given(word: str, given: dict[str, str]) -> bool:
 def _shown(text: str, start: int, end: int, loud: bool = False, turned: bool = False) -> bool:
     """Whether what stands around two capitalised words shows that they name a person; ``loud``: in capitals only, ``turned``: with the family name first."""
     before, after = text[max(0, start - 48) : start], text[end : end + 24]
-    if _BEFORE.search(before) or _SIGNED.search(before):
+    if before[-1:] == " " and _BEFORE.search(before) or "\n" in before and _SIGNED.search(before):
         return True
     if _CELL.search(before) and _CELL_END.match(after) and not (start == 0 and end == len(text)):
         return True
@@ -343,24 +363,34 @@ def _shown(text: str, start: int, end: int, loud: bool = False, turned: bool = F
     return bool(_APPOSED.search(before)) and bool(re.match(r"[.!?]?(?:\s|$)", after)) and not re.match(r" [a-zß-ÿ]", after)
 
 
-def _unlisted(text: str, spans: _Spans, hinted: bool) -> None:
-    """Names whose given name is in no list, by what stands around them."""
+def _pairs_in(text: str, start: int, end: int) -> Iterator[tuple[re.Match, bool, bool]]:
     for rx, loud, turned in _TWO_CAPITALS:
-        for m in rx.finditer(text):
+        for m in rx.finditer(text, start):
+            if m.start() >= end:
+                break
+            yield m, loud, turned
+
+
+def _unlisted(text: str, spans: _Spans, words: set[str]) -> None:
+    """Names whose given name is in no list, by what stands around them."""
+    for run in _CAPITALS.finditer(text):
+        for m, loud, turned in _pairs_in(text, run.start(), run.end()):
             first, second = m["one"].lower(), m["two"].lower()
             if {first, second} & (STARTERS | _NOT_PERSONS) or first in TITLES or second in TITLES or not _is_family(second) or len(second) < 3:
                 continue
             if _shown(text, m.start(), m.end("all"), loud, turned):
                 spans.add(m.start(), m.end("all"), "name")
-    for rx in _SMALL if hinted else ():
-        for m in rx.finditer(text):
-            words = {w for g in (1, 2) for w in m[g].split("-")}
-            if not words & STARTERS and not words & _NOT_PERSONS and not words & THINGS:
+    low = text.lower()
+    for rx, hints in zip(_SMALL, _SMALL_WORDS, strict=True) if len(low) == len(text) else ():
+        for m in rx.finditer(low) if not any(words.isdisjoint(h) for h in hints) else ():
+            if not text[m.start(1) : m.end(2)].islower() or (m.groupdict().get("capital") and not text[m.start("capital")].isupper()):
+                continue
+            both = {w for g in (1, 2) for w in m[g].split("-")}
+            if not both & STARTERS and not both & _NOT_PERSONS and not both & THINGS:
                 spans.add(m.start(1), m.end(2), "name")
 
 
-def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
-    words = set(_TOKENS.findall(text.lower()))
+def _names(text: str, spans: _Spans, given: dict[str, str], words: set[str]) -> None:
     for m in _TITLED.finditer(text) if not words.isdisjoint(TITLES) else ():
         title, word = m[1], m[2]
         first = word.rpartition(" ")[2] or word
@@ -378,9 +408,8 @@ def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
         if text[end : end + 1] == "-" and text[end + 1 : end + 2].isdigit():
             continue
         spans.add(start, end, "name")
-    listed = {w for w in words if w in given or ("-" in w and w.partition("-")[0] in given)}
-    if listed:
-        known = [t for t in _TOKENS.finditer(text) if t[0].lower() in listed]
+    if not words.isdisjoint(given) or any("-" in g and g.partition("-")[0] in words for g in given.keys() - _FIRST.keys()):
+        known = [t for t in _TOKENS.finditer(text) if (low := t[0].lower()) in given or ("-" in low and low.partition("-")[0] in given)]
         if ", " in text:
             for rx in _FAMILY_GIVEN:
                 for m in rx.finditer(text):
@@ -407,7 +436,7 @@ def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
                 skip += len(value[skip:]) - len(value[skip:].lstrip())
                 parts = parts[1:]
             spans.add(m.start(1) + m[1].index(value) + skip, m.start(1) + m[1].index(value) + len(value), "name")
-    _unlisted(text, spans, not _SMALL_HINTS.isdisjoint(words))
+    _unlisted(text, spans, words)
     if "." in text:
         for m in _INITIAL.finditer(text):
             if _is_family(m[1]) and len(m[1]) > 2:
@@ -424,21 +453,19 @@ def _names(text: str, spans: _Spans, given: dict[str, str]) -> None:
 
 
 def _spans_of(plain: str, given: dict[str, str]) -> list[tuple[int, int, str]]:
-    spans = _Spans()
+    spans, words = _Spans(), set(_WHOLE_WORD.findall(plain.lower()))
     if _MAYBE_EMAIL.search(plain):
         for m in EMAIL.finditer(plain):
             spans.add(m.start(), m.end(), "email")
     if _ANY_DIGIT.search(plain):
-        for test, rx in zip(_ADDRESS_TESTS, ADDRESSES, strict=True):
-            if not test(plain):
-                continue
+        for rx in _address_patterns(words):
             for m in rx.finditer(plain):
-                words = m["words"].lower().split()
-                if not (_NO_STREET & set(words)) and words[-1] not in _NO_COMPOUND:
+                street = m["words"].lower().split()
+                if not (_NO_STREET & set(street)) and street[-1] not in _NO_COMPOUND:
                     spans.add(m.start(), m.end(), "address")
         if _MAYBE_NUMBER.search(plain):
             _numbers(plain, spans)
-    _names(plain, spans, given)
+    _names(plain, spans, given, words)
     return sorted(spans.found)
 
 
