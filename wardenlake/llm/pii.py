@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from wardenlake.llm import confusables, surrogates
 from wardenlake.llm.surrogates import Surrogates, fold
 
+#: Short texts whose marks a worker keeps, as messages are often repeated; only speed depends on it.
+KNOWN_TEXTS = 50_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Usual given names, by the gender they are mostly given to. They add to what a text itself shows, for names without capitals above all.
@@ -590,8 +592,20 @@ def _run(df: DataFrame, text: Column, key: bytes, kind: str, each) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own_key, table = shared.value
         letters, s = Letters(table), Surrogates(own_key)
+        known: dict[str, list] = {}
+
+        def marks(t: str) -> list:
+            got = known.get(t)
+            if got is None:
+                got = marks_of(t, letters, s)
+                if len(known) >= KNOWN_TEXTS:
+                    known.clear()
+                if len(t) < 1000:
+                    known[t] = got
+            return got
+
         for texts in batches:
-            yield each([(t, marks_of(t, letters, s)) if isinstance(t, str) and t else (t if isinstance(t, str) else None, []) for t in texts])
+            yield each([(t, marks(t)) if isinstance(t, str) and t else (t if isinstance(t, str) else None, []) for t in texts])
 
     # not to be run again, or before a repartition, for a filter on its result
     return run.asNondeterministic()(text)
