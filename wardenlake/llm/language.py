@@ -79,7 +79,8 @@ _SHORT = re.compile(r"(?:^|[\s(¿])(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Mme|Mlle|Dr|Dra|Sr|Sr
 _WORD = re.compile(r"[^\W\d_ぁ-ヿ一-鿿]{2,}|[ぁ-ヿ一-鿿]{2}")
 #: Capitalised words that don't begin the piece: names in most languages; German does without its nouns, in fitting and scoring alike.
 _NAMES = re.compile(r"(?<=[\w,;:)»”\"'’.-] )[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*\.?")
-_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0xE0080) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_INVISIBLE = frozenset(chr(c) for c in range(0x80, 0xE0080) if unicodedata.category(chr(c)) == "Cf")
+_NO_INVISIBLE = {ord(c): None for c in _INVISIBLE}
 _OTHER_ALPHABET = re.compile("[Ͱ-֏]")
 _LATIN_LETTER = re.compile("[A-Za-z]")
 #: A line of names only, below a greeting.
@@ -117,7 +118,9 @@ class Script:
         """The text composed, in one width and one alphabet, without invisible characters."""
         if text.isascii():
             return text
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+        text = unicodedata.normalize("NFKC", text)
+        if not _INVISIBLE.isdisjoint(text):
+            text = text.translate(_NO_INVISIBLE)
         if _OTHER_ALPHABET.search(text):
             latin, other = sum(map(self.only_latin.__contains__, text)), sum(map(self.only_other.__contains__, text))
             if latin >= other:

@@ -158,7 +158,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "level_samples")
     labelled = language.sample_labelled(documents, "doc_id", "text", language.code_column(F.col("lang")), DOCUMENT_ROWS)
     labelled += language.sample_labelled(samples, "sample_id", "text", language.code_column(F.col("lang")), DOCUMENT_ROWS)
-    found = reading.grades(documents, "doc_id", "text", samples, language.fit(spark, labelled))
+    found = reading.grades(documents, "doc_id", "text", samples, reading.fit_votes(spark, labelled))
     return found.select(F.col("id").alias("doc_id"), "grade")
 
 

@@ -1,8 +1,9 @@
 """The reading grade of running text.
 
-For each document the smallest frequency-ranked vocabulary is found that covers a fixed share of its words: the rank, in the word frequencies of
-the whole corpus in its language, below which that share of its words lies. With the length of its sentences and words it is compared, in SQL, with the
-profiles of graded samples. Logs, tables, payloads, dumps and headings are left out line by line; a document without running text has no grade.
+For each document the smallest frequency-ranked vocabulary is found that covers a fixed share of its words, for each of a few shares. The rank where it ends, in the word
+frequencies of the whole corpus in its language, is told as the share of the corpus's own words that lie beyond it: ranks of a small and of a large corpus compare then.
+With the complexity of its sentences it is compared, in SQL, with the profiles of graded samples, by a distance that knows how these numbers vary together within a grade. Logs,
+tables, payloads, dumps and headings are left out line by line; a document without running text has no grade.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import log2
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,23 +24,30 @@ from wardenlake.llm import language
 from wardenlake.plans.lineage import cut
 from wardenlake.sources.tables import spread
 
-#: The share of a document's words that its vocabulary covers.
-SHARE = 0.9
+#: The shares of a document's words that its vocabularies cover.
+SHARES = (0.5, 0.7, 0.9)
 #: The most frequent words, which are broadcast with their ranks; the others are joined by the word, and none of them is frequent.
 HEAD_WORDS = 50_000
-#: Added to the spread of a feature in a language, so that samples which hardly differ don't decide alone.
-LEAST_SPREAD = 0.03
-FEATURES = ("coverage", "sentence", "word")
+#: Added to the covariance within grades: a share of each number's own spread, and a least spread.
+RIDGE, LEAST_SPREAD = 0.3, 0.03
+COVERAGE = tuple(f"coverage_{round(100 * s)}" for s in SHARES)
+FEATURES = (*COVERAGE, "sentence")
 
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+")
+_MARK_SET = frozenset(c for c in map(chr, range(0xAD, 0x10000)) if _MARKS.match(c))
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LINK = re.compile(r"\(?\b(?:https?://|www\.)\S*[^\s.,;:!?]|\(v\d[\d.]*\)")
 _BULLET = re.compile(r"^(?:[*•‣◦▪–—-]|\d+[.)])\s+")
 _HEADING = re.compile(r"^(?:#{1,6}|=+)\s")
-_SENTENCES = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
+_SENTENCES = re.compile(r"[.!?…][\"'”»)\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-_PLAIN_TOKEN = re.compile(r"[\"'“„«(¿¡\[]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\"'”»…\]]*")
-_PAYLOAD = re.compile(r"^\s*[\[{|<]|^\s+at \S+\(|^\S+,\S*,\S*|\w+=\S+ \w+=\S+|^\d{4}-\d\d-\d\d[ T]|^Traceback|^\s*File \"")
+_PLAIN_TOKENS = re.compile(r"(?<!\S)[\"'“„«(¿¡\[]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\"'”»…\]]*(?!\S)")
+#: A line without any of these is one of words; it may still be a list of values.
+_ODD = re.compile(r"[^\w .,;:!?…\"'“”„«»¿¡’-]|[\d_]")
+_VALUES = re.compile(r"\S+,\S*,\S*|Traceback")
+_LETTERS = re.compile(r"\w+")
+_PAYLOAD = re.compile(r"\s*[\[{|<]|\s+at \S+\(|\S+,\S*,\S*|\d{4}-\d\d-\d\d[ T]|Traceback|\s*File \"")
+_FIELDS = re.compile(r"\w+=\S+ \w+=\S+")
 
 
 def fold(text: str) -> str:
@@ -45,106 +56,146 @@ def fold(text: str) -> str:
     return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
-def running_sentences(text: str) -> list[str]:
-    """The sentences of the running text: lines that are mostly words, without headings, list marks and links."""
+_folded = lru_cache(maxsize=100_000)(fold)
+
+
+def running_sentences(text: str) -> list[list[str]]:
+    """The words of the sentences of the running text: of lines that are mostly words, without headings, list marks and links."""
+    if not text.isascii() and not _MARK_SET.isdisjoint(text):
+        text = _MARKS.sub("", text)
+    if "http" in text or "www." in text or "(v" in text:
+        text = _LINK.sub(" ", text)
     out = []
-    for line in _LINES.split(_LINK.sub(" ", text)):
-        if _PAYLOAD.search(line) or _HEADING.match(line.strip()):
-            continue
-        line = _BULLET.sub("", " ".join(line.split()))
-        tokens = line.split()
-        plain = sum(1 for t in tokens if t.isalpha() or _PLAIN_TOKEN.fullmatch(t))
-        if plain >= 2 and plain >= 0.6 * len(tokens):
-            out += [s for s in _SENTENCES.split(line) if len(_WORD.findall(s)) >= 2]
+    for raw in _LINES.split(text):
+        line = " ".join(raw.split())
+        words = _WORD
+        if not _ODD.search(line):
+            if not line or ("," in line or line[0] == "T") and _VALUES.match(line):
+                continue
+            words = _LETTERS
+        else:
+            if _PAYLOAD.match(raw) or _HEADING.match(line) or ("=" in raw and _FIELDS.search(raw)):
+                continue
+            line = _BULLET.sub("", line)
+            plain = len(_PLAIN_TOKENS.findall(line))
+            if plain < 2 or plain < 0.6 * (line.count(" ") + 1):
+                continue
+        out += [w for s in _SENTENCES.split(line) if len(w := words.findall(s)) >= 2]
     return out
 
 
-PREPARED = "struct<lang:string,sentences:bigint,letters:bigint,words:array<string>,counts:array<int>>"
-
-
-def _prepared(texts: list, fitted: tuple, languages: list[str] | None) -> list[dict | None]:
-    model, script = fitted
-    sentences = [running_sentences(script.alphabet(t)) if isinstance(t, str) else [] for t in texts]
-    if languages is None:
-        segments = language.segments_of([" ".join(s) or None for s in sentences], model, script)
-        languages = []
-        for found in segments:
-            won = Counter()
-            for s in found or []:
-                won[s["lang"]] += s["words"]
-            languages.append(won.most_common(1)[0][0] if won else None)
-    out: list[dict | None] = []
-    for s, lang in zip(sentences, languages, strict=True):
-        words = Counter(w for x in s for w in _WORD.findall(fold(x)))
-        if not words:
-            out.append(None)
-            continue
-        letters = sum(len(w) * n for w, n in words.items())
-        out.append({"lang": lang, "sentences": len(s), "letters": letters, "words": list(words), "counts": list(words.values())})
-    return out
+class Votes:
+    """The language of a text by its words: a word speaks for a language as far as labelled texts with it carry that label.
+
+    Labels may be wrong, as long as most texts with a word have the right one.
+    """
+
+    def __init__(self, labelled: list[tuple[str, str]], script: language.Script) -> None:
+        texts: dict[str, Counter] = {}
+        self.languages = sorted({lang for _, lang in labelled})
+        at = {lang: i for i, lang in enumerate(self.languages)}
+        for text, lang in labelled:
+            for w in {_folded(w) for s in running_sentences(script.alphabet(text)) for w in s}:
+                texts.setdefault(w, Counter())[at[lang]] += 1
+        n = len(self.languages)
+        # of labels as frequent as they are, so that a frequent language doesn't win by its size
+        size = Counter(at[lang] for _, lang in labelled)
+        self.bits: dict[str, list[float]] = {}
+        for w, c in texts.items():
+            rates = [(c[i] + 0.1) / (size[i] + 1) for i in range(n)]
+            total = sum(rates)
+            self.bits[w] = [log2(r / total) for r in rates]
+
+    def winner(self, words: Counter) -> str | None:
+        """The language with the most votes; None if no word is known."""
+        total = [0.0] * len(self.languages)
+        for w, n in words.items():
+            for i, b in enumerate(self.bits.get(w, ())):
+                total[i] += n * b
+        return self.languages[total.index(max(total))] if any(total) else None
+
+
+def fit_votes(spark: SparkSession, labelled: list[tuple[str, str]]) -> tuple[Votes, language.Script]:
+    script = language.script_of(spark)
+    return Votes(labelled, script), script
+
+
+PREPARED = "struct<lang:string,sentences:bigint,words:array<string>,counts:array<int>>"
+
+
+def _prepared(text: str | None, given: str | None, votes: Votes, script: language.Script) -> tuple:
+    sentences = running_sentences(script.alphabet(text)) if isinstance(text, str) else []
+    words: Counter = Counter()
+    for w, n in Counter(w for s in sentences for w in s).items():
+        words[_folded(w)] += n
+    if not words:
+        return None, None, None, None
+    return given or votes.winner(words), len(sentences), list(words), list(words.values())
 
 
 def prepared_column(text: Column, spark: SparkSession, fitted: tuple, lang: Column | None = None) -> Column:
-    """Language, sentences, letters and distinct words of the running text; NULL where there is none. A known language may be given."""
+    """Language, sentences and distinct words of the running text; NULL where there is none. A known language may be given."""
     shared, unknown = spark.sparkContext.broadcast(fitted), lang is None
 
     @F.pandas_udf(PREPARED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        votes, script = shared.value
         for texts, langs in batches:
-            got: list = []
-            for k in range(0, len(texts), 200):
-                given = None if unknown else [x if isinstance(x, str) else None for x in langs[k : k + 200]]
-                got += _prepared(list(texts[k : k + 200]), known, given)
-            none = {"lang": None, "sentences": None, "letters": None, "words": None, "counts": None}
-            yield pd.DataFrame([g or none for g in got], columns=list(none), dtype=object)
+            got = [_prepared(t, x if isinstance(x, str) and not unknown else None, votes, script) for t, x in zip(texts, langs, strict=True)]
+            yield pd.DataFrame(got, columns=["lang", "sentences", "words", "counts"], dtype=object)
 
     # not to be run again, or before a repartition, for a filter on its result
     return run.asNondeterministic()(text, text if unknown else lang)
 
 
 def word_ranks(words: DataFrame) -> DataFrame:
-    """(lang, word, rank, freq): how many words of the language are at least as frequent.
+    """(lang, word, rank, freq, beyond): how many words of the language are at least as frequent, and -ln of the share of all its words that aren't more frequent.
 
-    Ranks come from the counts of each frequency, of which there are few, not from an order of the whole vocabulary in one task.
+    Both come from the counts of each frequency, of which there are few, not from an order of the whole vocabulary in one task.
     """
     vocabulary = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("freq")))
-    below = Window.partitionBy("lang").orderBy(F.desc("freq"))
-    ranks = vocabulary.groupBy("lang", "freq").agg(F.count(F.lit(1)).alias("_n")).select("lang", "freq", F.sum("_n").over(below).alias("rank"))
-    return vocabulary.join(ranks, ["lang", "freq"]).select("lang", "word", "rank", "freq")
+    by_freq = vocabulary.groupBy("lang", "freq").agg(F.count(F.lit(1)).alias("_n"))
+    upto, more = (Window.partitionBy("lang").orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, last) for last in (0, -1))
+    mass = F.coalesce(F.sum(F.col("freq") * F.col("_n")).over(more), F.lit(0)) / F.sum(F.col("freq") * F.col("_n")).over(Window.partitionBy("lang"))
+    ranks = by_freq.select("lang", "freq", F.sum("_n").over(upto).alias("rank"), (-F.log(F.greatest(F.lit(1.0) - mass, F.lit(1e-12)))).alias("beyond"))
+    return vocabulary.join(ranks, ["lang", "freq"]).select("lang", "word", "rank", "freq", "beyond")
 
 
-def _features(rows: DataFrame, words: DataFrame, ranks: DataFrame, share: float) -> DataFrame:
-    """Each row of ``rows`` (_row, lang, sentences, letters, ...) with its features."""
-    head = ranks.orderBy(F.desc("freq"), "lang", "word").limit(HEAD_WORDS).select("lang", "word", F.col("rank").alias("_head"))
-    last = ranks.groupBy("lang").agg((F.max("rank") + 1).alias("_last"))
+def _features(rows: DataFrame, words: DataFrame, ranks: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """Each row of ``rows`` (_row, lang, sentences, ...) with its features. A word that the corpus lacks counts as rarer than its rarest."""
+    head = ranks.orderBy(F.desc("freq"), "lang", "word").limit(HEAD_WORDS).select("lang", "word", F.col("beyond").alias("_head"))
+    last = ranks.groupBy("lang").agg((F.max("beyond") + 1).alias("_last"))
     met = words.join(F.broadcast(head), ["lang", "word"], "left")
-    common = met.filter("_head IS NOT NULL").select("_row", "n", F.col("_head").alias("rank"))
-    rare = met.filter("_head IS NULL").join(ranks.select("lang", "word", "rank"), ["lang", "word"], "left").join(F.broadcast(last), "lang", "left")
-    ranked = common.unionByName(rare.select("_row", "n", F.coalesce("rank", "_last", F.lit(1)).alias("rank")))
-    by_row = ranked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("_ranks"), F.sum("n").alias("_words"))
-    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("rank"))
-    covered = F.aggregate(
-        "_ranks",
-        start,
-        lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.coalesce(a["rank"], F.when(a["upto"] + x["n"] >= F.col("_words") * F.lit(share), x["rank"])).alias("rank")),
-        lambda a: a["rank"],
-    )
-    return rows.join(by_row, "_row").withColumns(
-        {"coverage": F.log(covered.cast("double")), "sentence": F.log(F.col("_words") / F.col("sentences")), "word": F.col("letters") / F.col("_words")}
-    )
-
-
-def _profiles(samples: DataFrame) -> DataFrame:
-    """(lang, profiles): for each language, and for NULL over all of them, the mean of each feature by grade and its usual spread."""
+    common = met.filter("_head IS NOT NULL").select("_row", "n", F.col("_head").alias("beyond"))
+    rare = met.filter("_head IS NULL").join(ranks.select("lang", "word", "beyond"), ["lang", "word"], "left").join(F.broadcast(last), "lang", "left")
+    ranked = common.unionByName(rare.select("_row", "n", F.coalesce("beyond", "_last", F.lit(1.0)).alias("beyond")))
+    by_row = ranked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("beyond", "n"))).alias("_ranks"), F.sum("n").alias("_words"))
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), *[F.lit(None).cast("double").alias(c) for c in COVERAGE])
+
+    def step(a: Column, x: Column) -> Column:
+        upto = a["upto"] + x["n"]
+        return F.struct(upto.alias("upto"), *[F.coalesce(a[c], F.when(upto >= F.col("_words") * F.lit(s) - F.lit(1e-9), x["beyond"])).alias(c) for c, s in zip(COVERAGE, shares, strict=True)])
+
+    covered = by_row.select("_row", "_words", F.aggregate("_ranks", start, step).alias("_c"))
+    return rows.join(covered.select("_row", "_words", *[f"_c.{c}" for c in COVERAGE]), "_row").withColumn("sentence", F.log(F.col("_words") / F.col("sentences")))
+
+
+def _profiles(samples: DataFrame) -> tuple[DataFrame, list[list[float]]]:
+    """(lang, profiles), for each language and for NULL over all of them the means of the features by grade; and the inverse of their covariance within language and grade.
+
+    Means and products are summed in SQL; the driver inverts one matrix of the few features.
+    """
     both = samples.select("lang", "grade", *FEATURES).unionByName(samples.select(F.lit(None).cast("string").alias("lang"), "grade", *FEATURES))
-    grades = both.groupBy("lang", "grade").agg(*[F.avg(f).alias(f) for f in FEATURES], *[F.stddev_pop(f).alias(f"{f}_sd") for f in FEATURES])
-    spreads = grades.groupBy("lang").agg(*[(F.avg(f"{f}_sd") + F.lit(LEAST_SPREAD)).alias(f"{f}_sd") for f in FEATURES])
-    means = grades.groupBy("lang").agg(F.collect_list(F.struct("grade", *FEATURES)).alias("profiles"))
-    return means.join(spreads, means.lang.eqNullSafe(spreads.lang)).select(means.lang, "profiles", *[f"{f}_sd" for f in FEATURES])
+    means = both.groupBy("lang", "grade").agg(*[F.avg(f).alias(f) for f in FEATURES])
+    within = Window.partitionBy("lang", "grade")
+    off = samples.select(*[(F.col(f) - F.avg(f).over(within)).alias(f) for f in FEATURES])
+    row = off.agg(*[F.coalesce(F.avg(F.col(f) * F.col(g)), F.lit(0.0)) for f in FEATURES for g in FEATURES]).first()
+    spread_of = np.array(row, dtype=float).reshape(len(FEATURES), len(FEATURES))
+    spread_of += np.diag(RIDGE**2 * np.diag(spread_of) + LEAST_SPREAD**2)
+    return means.groupBy("lang").agg(F.collect_list(F.struct("grade", *FEATURES)).alias("profiles")), np.linalg.inv(spread_of).tolist()
 
 
-def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted: tuple, share: float = SHARE) -> DataFrame:
+def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted: tuple) -> DataFrame:
     """(id, grade): the grade whose profile the features of a document are nearest to, ties to the lower grade.
 
     ``samples`` has lang, grade and text. NULL, empty and blank texts, and texts without a running line, have no row; repeated rows have theirs
@@ -159,16 +210,16 @@ def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted
     graded = cut(graded.select("grade", "p.*").withColumn("_row", F.monotonically_increasing_id()))
     words, sample_words = (x.select("_row", "lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))) for x in (rows, graded))
     ranks = cut(word_ranks(words))
-    profiles = cut(_profiles(_features(graded.drop("words", "counts"), sample_words, ranks, share)))
-    documents = _features(rows.drop("words", "counts"), words, ranks, share)
-    spreads = [f"{f}_sd" for f in FEATURES]
-    own = profiles.filter("lang IS NOT NULL")
-    overall = profiles.filter("lang IS NULL").select(F.struct("profiles", *spreads).alias("_all"))
-    joined = documents.join(F.broadcast(own.select("lang", F.struct("profiles", *spreads).alias("_own"))), "lang", "left").join(F.broadcast(overall))
-    joined = joined.withColumn("_p", F.coalesce("_own", "_all"))
+    profiles, inverse = _profiles(cut(_features(graded.drop("words", "counts"), sample_words, ranks)))
+    profiles = cut(profiles)
+    documents = _features(rows.drop("words", "counts"), words, ranks)
+    overall = profiles.filter("lang IS NULL").select(F.col("profiles").alias("_all"), F.lit(0).alias("_one"))
+    joined = documents.join(F.broadcast(profiles.filter("lang IS NOT NULL").withColumnRenamed("profiles", "_own")), "lang", "left")
+    joined = joined.withColumn("_one", F.lit(0)).join(F.broadcast(overall), "_one")
 
     def away(p: Column) -> Column:
-        return sum((F.pow((F.col(f) - p[f]) / F.col(f"_p.{f}_sd"), 2) for f in FEATURES), F.lit(0.0))
+        off = [F.col(f) - p[f] for f in FEATURES]
+        return sum((F.lit(inverse[i][j]) * off[i] * off[j] for i in range(len(off)) for j in range(len(off))), F.lit(0.0))
 
-    nearest = F.array_min(F.transform("_p.profiles", lambda p: F.struct(away(p).alias("away"), p["grade"].alias("grade"))))
+    nearest = F.array_min(F.transform(F.coalesce("_own", "_all"), lambda p: F.struct(away(p).alias("away"), p["grade"].alias("grade"))))
     return joined.select(F.col("_id").alias("id"), nearest["grade"].alias("grade"))
