@@ -213,13 +213,15 @@ def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted
     profiles, inverse = _profiles(cut(_features(graded.drop("words", "counts"), sample_words, ranks)))
     profiles = cut(profiles)
     documents = _features(rows.drop("words", "counts"), words, ranks)
-    overall = profiles.filter("lang IS NULL").select(F.col("profiles").alias("_all"), F.lit(0).alias("_one"))
+    whole = profiles.filter("lang IS NULL").first()
+    if whole is None:
+        return documents.filter(F.lit(False)).select(F.col("_id").alias("id"), F.lit(None).cast("bigint").alias("grade"))
+    overall = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in p.asDict().items()]) for p in whole["profiles"]])
     joined = documents.join(F.broadcast(profiles.filter("lang IS NOT NULL").withColumnRenamed("profiles", "_own")), "lang", "left")
-    joined = joined.withColumn("_one", F.lit(0)).join(F.broadcast(overall), "_one")
 
     def away(p: Column) -> Column:
         off = [F.col(f) - p[f] for f in FEATURES]
         return sum((F.lit(inverse[i][j]) * off[i] * off[j] for i in range(len(off)) for j in range(len(off))), F.lit(0.0))
 
-    nearest = F.array_min(F.transform(F.coalesce("_own", "_all"), lambda p: F.struct(away(p).alias("away"), p["grade"].alias("grade"))))
+    nearest = F.array_min(F.transform(F.coalesce(F.col("_own"), overall), lambda p: F.struct(away(p).alias("away"), p["grade"].alias("grade"))))
     return joined.select(F.col("_id").alias("id"), nearest["grade"].alias("grade"))
