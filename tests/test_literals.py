@@ -119,13 +119,13 @@ def test_taint(spark):
         ("mark", "d1", None, "s"), ("propagate", "d1", "d2", None), ("propagate", "d1", "d1", None),
         ("mark", "d4", None, "unknown"), ("sanitize", "d1", None, None), ("mark", "d5", None, "t"),
     )
-    facts, live, epochs = taint.replay(log)
+    facts, live, epochs, entries = taint.replay(log)
     now = taint.current_taint(facts, epochs)
     ids = spark.createDataFrame([("d1",), ("d2",), ("d3",), ("d4",), ("d5",), ("test_data",)], "data_id string")
     got = {r.data_id: (r.is_tainted, r.level) for r in taint.levels(now, sources, ids).collect()}
     assert got == {"d1": (False, "untainted"), "d2": (True, "high"), "d3": (False, "untainted"), "d4": (True, "untainted"), "d5": (True, "medium"), "test_data": (False, "untainted")}
     assert [r.seq for r in taint.flow(live).collect()] == [3, 4] and taint.flow(live, "d2").count() == 1
-    stats = dict(rows(taint.stats(now, sources, live)))
+    stats = dict(rows(taint.stats(now, sources, live, entries)))
     assert stats == {"total_sources": 2, "tainted_data": 3, "propagations": 2, "level_high": 1, "level_medium": 1}
 
 

@@ -21,26 +21,52 @@ def test_trust(spark, seed, monkeypatch):
     assert {x.seq: x.score for x in trust.history(ops).collect()} == pytest.approx(walk)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_taint(spark, seed):
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 16), (2, 16), (3, 1), (4, 0)])
+def test_taint(spark, seed, rounds):
+    """With few rounds most of it is followed in order."""
     r = random.Random(seed)
     log, now, passed = [], {}, set()
     for seq in range(1, 150):
         kind = r.choice(["mark", "propagate", "propagate", "propagate", "sanitize"])
         a, b, s = f"d{r.randrange(12)}", f"d{r.randrange(12)}", f"s{r.randrange(5)}"
+        s = None if r.random() < 0.1 else s
         log.append((seq, kind, a, b, s, "op"))
         if kind == "mark":
-            now.setdefault(a, set()).add(s)
+            now.setdefault(a, set()).update({s} - {None})
         elif kind == "sanitize":
             now.pop(a, None)
         elif now.get(a):
             passed.add(seq)
             now.setdefault(b, set()).update(now[a])
-    facts, live, epochs = taint.replay(spark.createDataFrame(log, "seq bigint, kind string, data_id string, to_data_id string, source_id string, operation string"))
+    state = taint.replay(spark.createDataFrame(log, "seq bigint, kind string, data_id string, to_data_id string, source_id string, operation string"), rounds)
     got = {}
-    for x in taint.current_taint(facts, epochs).collect():
+    for x in taint.current_taint(state.facts, state.epochs).collect():
         got.setdefault(x.data_id, set()).add(x.source_id)
-    assert got == {k: v for k, v in now.items() if v} and {x.seq for x in live.collect()} == passed
+    assert got == {k: v for k, v in now.items() if v} and {x.seq for x in state.propagations.collect()} == passed
+    assert sorted(x.data_id for x in state.entries.collect()) == sorted(now)
+
+
+def test_long_chain_of_copies(spark):
+    log = [(0, "mark", "d0", None, "s", "op")] + [(i, "propagate", f"d{i - 1}", f"d{i}", None, "op") for i in range(1, 5001)] + [(9000, "mark", "e", None, "t", "op")]
+    state = taint.replay(spark.createDataFrame(log, "seq bigint, kind string, data_id string, to_data_id string, source_id string, operation string"), 3)
+    assert state.facts.count() == 5002 and state.propagations.count() == 5000
+
+
+def test_namespaces(spark):
+    r = random.Random(5)
+    pairs = [(f"d{r.randrange(300)}", f"d{r.randrange(300)}") for _ in range(200)] + [(f"e{i}", f"e{i + 1}") for i in range(500)] + [("z", "z")]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x.data_id: x.namespace for x in taint.namespaces(spark.createDataFrame(pairs, "data_id string, to_id string")).collect()}
+    assert got == {x: find(x) for x in root}
 
 
 def test_memory(spark):

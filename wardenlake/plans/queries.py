@@ -273,16 +273,17 @@ def metric_stats(spark: SparkSession, d: str) -> DataFrame:
 # --- taint ---------------------------------------------------------------------------------------------------------------------------
 _K = "CAST(props->>'$.k' AS INT)"
 _TAINT_OPS = f"""SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'mark' WHEN 'error' THEN 'sanitize' ELSE 'propagate' END AS kind, user_id || ':' || ({_K} % 8) AS data_id,
-    user_id || ':' || (({_K} // 8) % 8) AS to_data_id, 's' || ({_K} % 5) AS source_id, event_type AS operation FROM events"""
+    user_id || ':' || (({_K} // 8) % 8) AS to_data_id, CASE WHEN {_K} % 7 <> 0 THEN 's' || ({_K} % 5) END AS source_id, event_type AS operation FROM events"""
 _SOURCES = "SELECT * FROM (VALUES ('s0', 'user_input', 'low'), ('s1', 'user_input', 'medium'), ('s2', 'tool', 'high'), ('s3', 'web', 'critical')) v(source_id, source_type, level)"
 _FACTS = f"""ops AS ({_TAINT_OPS}), sources AS ({_SOURCES}),
     touch AS (SELECT seq, kind, 'from' AS role, data_id AS id FROM ops UNION ALL SELECT seq, kind, 'to', to_data_id FROM ops WHERE kind = 'propagate'),
-    epochs AS (SELECT seq, role, id, sum(CASE WHEN kind = 'sanitize' AND role = 'from' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS epoch FROM touch),
+    epochs AS (SELECT seq, kind, role, id, sum(CASE WHEN kind = 'sanitize' AND role = 'from' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS epoch FROM touch),
     edges AS (SELECT o.seq, o.data_id, f.epoch, o.to_data_id, t.epoch AS to_epoch, o.operation FROM ops o JOIN epochs f ON f.seq = o.seq AND f.role = 'from' JOIN epochs t ON t.seq = o.seq AND t.role = 'to' WHERE o.kind = 'propagate'),
-    facts AS (SELECT o.data_id, e.epoch, o.source_id, o.seq AS since FROM ops o JOIN epochs e ON e.seq = o.seq AND e.role = 'from' WHERE o.kind = 'mark'
+    facts AS (SELECT o.data_id, e.epoch, o.source_id, o.seq AS since FROM ops o JOIN epochs e ON e.seq = o.seq AND e.role = 'from' WHERE o.kind = 'mark' AND o.source_id IS NOT NULL
       UNION SELECT g.to_data_id, g.to_epoch, f.source_id, g.seq FROM facts f JOIN edges g ON g.data_id = f.data_id AND g.epoch = f.epoch AND f.since < g.seq),
     last AS (SELECT id AS data_id, max(epoch) AS epoch FROM epochs GROUP BY 1),
     now AS (SELECT DISTINCT data_id, source_id FROM facts JOIN last USING (data_id, epoch)),
+    entries AS (SELECT data_id FROM facts JOIN last USING (data_id, epoch) UNION SELECT e.id FROM epochs e JOIN last l ON l.data_id = e.id AND l.epoch = e.epoch WHERE e.kind = 'mark'),
     live AS (SELECT DISTINCT g.* FROM edges g JOIN facts f ON f.data_id = g.data_id AND f.epoch = g.epoch AND f.since < g.seq)"""
 
 
@@ -293,7 +294,7 @@ def taint_ops(spark: SparkSession, d: str) -> DataFrame:
     user = F.col("user_id").cast("string")
     return table(spark, d, "events").select(
         F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(user, F.lit(":"), (k % 8).cast("string")).alias("data_id"),
-        F.concat(user, F.lit(":"), (F.floor(k / 8).cast("int") % 8).cast("string")).alias("to_data_id"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("source_id"), F.col("event_type").alias("operation"),
+        F.concat(user, F.lit(":"), (F.floor(k / 8).cast("int") % 8).cast("string")).alias("to_data_id"), F.when(k % 7 != 0, F.concat(F.lit("s"), (k % 5).cast("string"))).alias("source_id"), F.col("event_type").alias("operation"),
     )
 
 
@@ -306,26 +307,26 @@ def _taint_sources(spark: SparkSession) -> DataFrame:
     list_extract(['untainted', 'low', 'medium', 'high', 'critical'], coalesce(max(list_position(['untainted', 'low', 'medium', 'high', 'critical'], s.level)), 1)) AS level
     FROM last LEFT JOIN now n USING (data_id) LEFT JOIN sources s ON s.source_id = n.source_id GROUP BY data_id""")
 def taint_levels(spark: SparkSession, d: str) -> DataFrame:
-    facts, _, epochs = taint.replay(taint_ops(spark, d))
-    return taint.levels(taint.current_taint(facts, epochs), _taint_sources(spark), epochs)
+    log = taint.replay(taint_ops(spark, d))
+    return taint.levels(taint.current_taint(log.facts, log.epochs), _taint_sources(spark), log.epochs)
 
 
 @query(f"WITH RECURSIVE {_FACTS} SELECT data_id, source_id, source_type, level FROM now JOIN sources USING (source_id)")
 def taint_sources(spark: SparkSession, d: str) -> DataFrame:
-    facts, _, epochs = taint.replay(taint_ops(spark, d))
-    return taint.taint_sources(taint.current_taint(facts, epochs), _taint_sources(spark))
+    log = taint.replay(taint_ops(spark, d))
+    return taint.taint_sources(taint.current_taint(log.facts, log.epochs), _taint_sources(spark))
 
 
 @query(f"WITH RECURSIVE {_FACTS} SELECT seq, data_id, to_data_id, operation FROM live")
 def taint_flow(spark: SparkSession, d: str) -> DataFrame:
-    return taint.flow(taint.replay(taint_ops(spark, d))[1])
+    return taint.flow(taint.replay(taint_ops(spark, d)).propagations)
 
 
-@query(f"""WITH RECURSIVE {_FACTS} SELECT 'total_sources' AS measure, count(*) AS n FROM sources UNION ALL SELECT 'tainted_data', count(DISTINCT data_id) FROM now
+@query(f"""WITH RECURSIVE {_FACTS} SELECT 'total_sources' AS measure, count(*) AS n FROM sources UNION ALL SELECT 'tainted_data', count(*) FROM entries
     UNION ALL SELECT 'propagations', count(*) FROM live UNION ALL SELECT 'level_' || level, count(*) FROM now JOIN sources USING (source_id) GROUP BY level""")
 def taint_stats(spark: SparkSession, d: str) -> DataFrame:
-    facts, live, epochs = taint.replay(taint_ops(spark, d))
-    return taint.stats(taint.current_taint(facts, epochs), _taint_sources(spark), live)
+    log = taint.replay(taint_ops(spark, d))
+    return taint.stats(taint.current_taint(log.facts, log.epochs), _taint_sources(spark), log.propagations, log.entries)
 
 
 # --- memory --------------------------------------------------------------------------------------------------------------------------
