@@ -1,5 +1,6 @@
 """The documented behaviour of each operator on small inputs."""
 
+import json
 import re
 
 import pytest
@@ -98,9 +99,16 @@ def test_policy(spark):
     assert rows(rules.violations(df, severity="high").select("seq", "rule_name")) == [(2, "b")]
     assert rows(rules.violations(df, limit=1).select("rule_name")) == [("b",)]
     seen = []
-    rules.register_handler("block", lambda r: seen.append(r.name))
-    rules.handle(rules.violations(df))
-    assert seen == ["b"] and rules.remove_rule("b") and not rules.remove_rule("b")
+    rules.handle(rules.violations(df))  # no handler, no call
+    rules.register_handler("warn", lambda r: seen.append(("warn", r.name)))
+    rules.register_handler("block", lambda r: seen.append(("block", r.name)))
+    more = df.unionByName(df.withColumn("seq", F.col("seq") + 10))
+    rules.handle(rules.violations(more))
+    assert seen == [("warn", "a"), ("block", "b")] * 2  # once for each violation, by row and then by rule
+    assert [json.loads(r.data)["content"] for r in rules.violations(df, severity="high").collect()] == ["a much longer text"]
+    states = rules.check_state(df.withColumnRenamed("seq", "agent_id"), data=F.lit("d"))
+    assert rows(states.select("agent_id", "violation_type", "data").distinct()) == [(2, "state", "d")]
+    assert rules.remove_rule("b") and not rules.remove_rule("b")
     plain = PolicyEnforcer()
     plain.add_rule("test_rule", "Test rule", "test", "warn", "low")
     assert plain.violations(df).count() == 0 and plain.get_rule("test_rule").name == "test_rule"
@@ -169,6 +177,9 @@ def test_observability(spark):
     got = {r.seq: (r.status, r.end_seq, r.events) for r in observability.traces(df).collect()}
     assert got == {1: ("completed", 7, 2), 3: ("active", None, 0)}
     assert observability.traces(df, status="active").count() == 1 and observability.trace_events(df).count() == 2
+    full = df.withColumns({"metadata": F.concat(F.lit("m"), F.col("seq")), "result": F.concat(F.lit("r"), F.col("seq"))})
+    assert {r.seq: (r.metadata, r.result) for r in observability.traces(full).collect()} == {1: ("m1", "r7"), 3: ("m3", None)}
+    assert sorted(r.metadata for r in observability.trace_events(full).collect()) == ["m2", "m5"] and observability.traces(df).filter("result IS NOT NULL").count() == 0
     points = spark.createDataFrame([("m", 1.0), ("m", 3.0)], "metric_name string, value double")
     assert rows(observability.metric_stats(points)) == [("m", 2, 1.0, 3.0, 2.0)] and observability.metric_stats(points, "x").count() == 0
 
@@ -178,6 +189,8 @@ def test_patches(spark):
     manager.register_patch("p", "one", "fails once", lambda t: calls.append(t) if calls or t == "b" else 1 / 0)
     assert not manager.apply_patch("x", "a") and not manager.apply_patch("p", "a") and not manager.is_applied("p")
     assert manager.apply_patch("p", "b") and manager.apply_patch("p", "other") and calls == ["b"]
+    manager.register_patch("p", "one", "anew", calls.append)
+    assert manager.list_patches("one") == [{"patch_id": "p", "framework": "one", "description": "anew", "applied": True}] and manager.apply_patch("p", "c") and calls == ["b"]
     assert manager.list_patches("one")[0]["applied"] and manager.list_patches("two") == []
     ops = spark.createDataFrame([(1, "apply", "p", None, True), (2, "register", "p", "one", None), (3, "apply", "p", None, False), (4, "apply", "p", None, True)], "seq bigint, kind string, patch_id string, framework string, succeeded boolean")
     assert rows(patches.status(ops).select("patch_id", "framework", "applied_seq", "applied")) == [("p", "one", 4, True)]

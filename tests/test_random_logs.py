@@ -11,14 +11,16 @@ from wardenlake.operators import memory, performance, taint, trust
 def test_trust(spark, seed, monkeypatch):
     monkeypatch.setattr(trust, "FAN", 7)  # many levels
     r = random.Random(seed)
-    log = [(i, r.choice([1, 1, 1, 2, 3]), r.choice([-0.4, -0.1, 0.05, 0.3])) for i in range(1, 600)]
+    log = [(i, r.choice([1, 1, 1, 2, 3]), r.choice([-0.4, -0.1, 0.05, 0.3]), r.choice([None, {"a": 1.0}, {"b": i / 2, "c": 0.0}])) for i in range(1, 600)]
     score, walk = {}, {}
-    for seq, agent, delta in log:
+    for seq, agent, delta, _ in log:
         score[agent] = max(0.0, min(1.0, score.get(agent, 0.5) + delta))
         walk[seq] = score[agent]
-    ops = spark.createDataFrame(log, "seq bigint, agent_id bigint, delta double")
+    ops = spark.createDataFrame(log, "seq bigint, agent_id bigint, delta double, factors map<string,double>")
     assert {x.agent_id: x.score for x in trust.current(ops).collect()} == pytest.approx(score)
     assert {x.seq: x.score for x in trust.history(ops).collect()} == pytest.approx(walk)
+    assert {x.seq: x.factors for x in trust.history(ops).collect()} == {seq: f or {} for seq, _, _, f in log}
+    assert {x.seq: x.factors for x in trust.history(ops.drop("factors")).collect()} == {x[0]: {} for x in log}
 
 
 @pytest.mark.parametrize(("seed", "rounds"), [(1, 16), (2, 16), (3, 1), (4, 0)])
@@ -79,6 +81,47 @@ def test_memory(spark):
     assert a == b and any(h for h, _ in a.values()) and not all(h for h, _ in a.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_memory_of_all_kinds(spark, seed):
+    """Both tiers with eviction, consolidation and NULL keys, against plain lists of dicts."""
+    r = random.Random(seed)
+    kinds = ["store"] * 6 + ["retrieve"] * 5 + ["search"] * 2 + ["consolidate"] + ["clear"] * (seed > 1)
+    log = [(i, r.randrange(2), r.choice(kinds), r.choice(["short", "long"]), r.choice(["a", "b", "c", "d", None]), r.choice([f"v{i}", f"w{i}", None]), r.choice(["v", "w1", "", None, "none"])) for i in range(1, 400)]
+    caps, tiers, want = {"short": 4, "long": 6}, {}, {}
+    for seq, store, kind, tier, key, value, query in log:
+        mine = tiers.setdefault(store, {"short": [], "long": []})
+        seen = (None, None, None)
+        if kind == "store":
+            mine[tier] = [*mine[tier], {"key": key, "value": value, "n": 0, "at": None}]
+            if len(mine[tier]) > caps[tier]:
+                mine[tier] = (sorted(mine[tier], key=lambda x: x["n"]) if tier == "long" else mine[tier])[1:]
+        elif kind == "retrieve":
+            met = [x for x in mine[tier] if key is not None and x["key"] == key]
+            if met:
+                met[-1].update(n=met[-1]["n"] + 1, at=seq)
+            seen = (bool(met), met[-1]["value"] if met else None, None)
+        elif kind == "search":
+            met = [x for x in mine[tier] if query is not None and query in str(x["value"]).lower()][-10:]
+            for x in met:
+                x["n"] += 1
+            seen = (None, None, len(met))
+        elif kind == "consolidate":
+            met = [dict(x) for x in mine["short"] if x["n"] >= 3]
+            mine["long"] = mine["long"] + met
+            seen = (None, None, len(met))
+        else:
+            mine[tier] = []
+        want[seq] = (*seen, len(mine["short"]), len(mine["long"]))
+    ops = spark.createDataFrame(log, "seq bigint, store_id bigint, kind string, tier string, mkey string, value string, query string")
+    assert {x.seq: (x.hit, x.value, x.n, x.short_items, x.long_items) for x in memory.replay(ops, 4, 6).collect()} == want
+    held = {(x.store_id, x.tier, x.position): (x.mkey, x.value, x.access_count, x.last_accessed) for x in memory.items(ops, 4, 6).collect()}
+    assert held == {(s, t, i): (x["key"], x["value"], x["n"], x["at"]) for s, mine in tiers.items() for t, kept in mine.items() for i, x in enumerate(kept, 1)}
+    assert {x.store_id: (x.short_items, x.long_items) for x in memory.tier_sizes(memory.replay(ops, 4, 6), 4, 6).collect()} == {s: (len(m["short"]), len(m["long"])) for s, m in tiers.items()}
+    recalled = {x.seq: (x.hit, x.value) for x in memory.recall_short(ops, 4).collect()}
+    assert recalled == {seq: want[seq][:2] for seq, _, kind, tier, *_ in log if kind == "retrieve" and tier == "short"}
+    assert memory.items(ops.limit(0)).count() == 0 and memory.replay(ops.limit(0)).count() == 0
+
+
 def test_running_stats_across_stretches(spark, monkeypatch):
     import wardenlake.operators.scan as scan
 

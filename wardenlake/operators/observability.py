@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from wardenlake.operators.lastn import last_n
 
 
+def _optional(ops: DataFrame, name: str) -> DataFrame:
+    return ops if name in ops.columns else ops.withColumn(name, F.lit(None).cast("string"))
+
+
 def traces(ops: DataFrame, agent_id: int | None = None, status: str | None = None, limit: int | None = None) -> DataFrame:
-    """(seq, trace_id, agent_id, operation, status, end_seq, events): every started trace of a log (seq, kind, trace_id, agent_id, operation, status, description).
+    """(seq, trace_id, agent_id, operation, status, end_seq, events, metadata, result): every started trace of a log (seq, kind, trace_id, agent_id, operation, status, description).
 
-    Ends and events belong to the first trace of their id, the last end counts, and only those after the start do; others are dropped.
+    The log may have ``metadata``, which a start keeps, and ``result``, which the last end gives. Ends and events belong to the first trace of their id, the last end counts, and only those after the start do; others are dropped.
     """
+    ops = _optional(_optional(ops, "metadata"), "result")
     starts = ops.filter("kind = 'start'")
     first = starts.groupBy("trace_id").agg(F.min("seq").alias("_first"))
     later = ops.filter("kind IN ('end', 'event')").join(first, "trace_id").filter("seq > _first")
     of_first = later.groupBy("trace_id").agg(
-        F.max_by(F.struct("seq", F.coalesce("status", F.lit("completed")).alias("status")), F.when(F.col("kind") == "end", F.col("seq"))).alias("_end"),
+        F.max_by(F.struct("seq", F.coalesce("status", F.lit("completed")).alias("status"), "result"), F.when(F.col("kind") == "end", F.col("seq"))).alias("_end"),
         F.count_if(F.col("kind") == "event").alias("_events"),
     )
     rows = starts.join(first, "trace_id").join(of_first, "trace_id", "left").withColumn("_is", F.col("seq") == F.col("_first"))
@@ -27,14 +32,16 @@ def traces(ops: DataFrame, agent_id: int | None = None, status: str | None = Non
         F.when(ended, F.col("_end.status")).otherwise(F.lit("active")).alias("status"),
         F.when(ended, F.col("_end.seq")).alias("end_seq"),
         F.when(F.col("_is"), F.coalesce("_events", F.lit(0))).otherwise(F.lit(0)).alias("events"),
+        "metadata", F.when(ended, F.col("_end.result")).alias("result"),
     )
     return last_n(out, limit, agent_id=agent_id, status=status)
 
 
 def trace_events(ops: DataFrame) -> DataFrame:
-    """(trace_id, seq, operation, description): the events of each trace, one row each, however many."""
+    """(trace_id, seq, operation, description, metadata): the events of each trace, one row each, however many."""
+    ops = _optional(ops, "metadata")
     first = ops.filter("kind = 'start'").groupBy("trace_id").agg(F.min("seq").alias("_first"))
-    return ops.filter("kind = 'event'").join(first, "trace_id").filter("seq > _first").select("trace_id", "seq", "operation", "description")
+    return ops.filter("kind = 'event'").join(first, "trace_id").filter("seq > _first").select("trace_id", "seq", "operation", "description", "metadata")
 
 
 def logs(rows: DataFrame, level: str | None = None, agent_id: int | None = None, limit: int | None = None) -> DataFrame:

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class PatchManager:
-    """Patches of this process: functions on targets."""
+@dataclass
+class Patch:
+    """A registered change of a target. ``applied`` outlives a new registration under the same id."""
 
-    def __init__(self) -> None:
-        self.patches: dict[str, dict[str, Any]] = {}
-        self.applied: set[str] = set()
+    framework: str
+    description: str
+    change: Callable[[Any], Any]
+    version_requirement: str | None = None
+    applied: bool = False
+
+    def put_on(self, target: Any) -> bool:
+        """Whether it is applied now. It never runs twice; one that raises may be tried again."""
+        if not self.applied:
+            with contextlib.suppress(Exception):
+                self.change(target)
+                self.applied = True
+        return self.applied
+
+
+class PatchManager(dict[str, Patch]):
+    """The patches of this process by their id."""
 
     def register_patch(self, patch_id: str, framework: str, description: str, patch: Callable[[Any], Any], version_requirement: str | None = None) -> None:
-        self.patches[patch_id] = {"framework": framework, "description": description, "patch": patch, "version_requirement": version_requirement}
+        self[patch_id] = Patch(framework, description, patch, version_requirement, self.is_applied(patch_id))
 
     def apply_patch(self, patch_id: str, target: Any) -> bool:
-        """Whether the patch is applied now: False if unknown or if it raises, after which it can be tried again; it never runs twice."""
-        if patch_id not in self.patches:
-            return False
-        if patch_id not in self.applied:
-            try:
-                self.patches[patch_id]["patch"](target)
-            except Exception:  # noqa: BLE001
-                return False
-            self.applied.add(patch_id)
-        return True
+        return patch_id in self and self[patch_id].put_on(target)
 
     def is_applied(self, patch_id: str) -> bool:
-        return patch_id in self.applied
+        return patch_id in self and self[patch_id].applied
 
     def list_patches(self, framework: str | None = None) -> list[dict[str, Any]]:
-        return [
-            {"patch_id": i, "framework": p["framework"], "description": p["description"], "applied": i in self.applied}
-            for i, p in self.patches.items()
-            if not framework or p["framework"] == framework
-        ]
+        wanted = {i: p for i, p in self.items() if framework in (None, "", p.framework)}
+        return [{"patch_id": i, **{f: getattr(p, f) for f in ("framework", "description", "applied")}} for i, p in wanted.items()]
 
 
 def status(ops: DataFrame, framework: str | None = None) -> DataFrame:

@@ -56,22 +56,38 @@ class PolicyEnforcer:
         names = [F.when(self._violated(r), F.lit(r.name)) for r in self.rules.values()]
         return df.withColumn("violated_rules", F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"))
 
-    def violations(self, df: DataFrame, violation_type: str = "message", order: str = "seq", severity: str | None = None, limit: int | None = None) -> DataFrame:
-        """(order, rule_name, violation_type, severity, action): one row for each violated rule of each row."""
+    def violations(self, df: DataFrame, violation_type: str = "message", order: str = "seq", severity: str | None = None, limit: int | None = None, data: Column | None = None) -> DataFrame:
+        """(order, rule_name, violation_type, severity, action, data): one row for each violated rule of each row.
+
+        ``data`` is what violated it, by default the whole row as JSON.
+        """
+        kept = F.to_json(F.struct(*df.columns)) if data is None else data.cast("string")
         one = [
             F.when(self._violated(r), F.struct(F.lit(i).alias("_rule"), F.lit(r.name).alias("rule_name"), F.lit(violation_type).alias("violation_type"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action")))
             for i, r in enumerate(self.rules.values())
         ]
         none = F.array().cast("array<struct<_rule:int,rule_name:string,violation_type:string,severity:string,action:string>>")
-        rows = df.select(order, F.inline(F.array_compact(F.array(*one)) if one else none))
+        rows = df.select(order, kept.alias("data"), F.inline(F.array_compact(F.array(*one)) if one else none))
+        out = [order, "rule_name", "violation_type", "severity", "action", "data"]
         if not limit:
-            return last_n(rows, None, order, severity=severity).drop("_rule")
+            return last_n(rows, None, order, severity=severity).select(*out)
         rows = rows.withColumn("_at", F.col(order) * max(len(one), 1) + F.col("_rule"))
-        return last_n(rows, limit, "_at", severity=severity).drop("_at", "_rule")
-
-    def handle(self, violations: DataFrame) -> None:
-        """Call the handler of each violated rule's action, once for each rule; rules are few, rows are not brought here. Exceptions propagate."""
-        for r in violations.select("rule_name").distinct().orderBy("rule_name").collect():
-            rule = self.rules.get(r["rule_name"])
-            if rule and rule.action in self.handlers:
-                self.handlers[rule.action](rule)
+        return last_n(rows, limit, "_at", severity=severity).select(*out)
+
+    def check_state(self, states: DataFrame, order: str = "agent_id", severity: str | None = None, limit: int | None = None, data: Column | None = None) -> DataFrame:
+        """The violations of states, of the type ``state``."""
+        return self.violations(states, "state", order, severity, limit, data)
+
+    def handle(self, violations: DataFrame, order: str = "seq") -> None:
+        """Call the handler of the rule's action for each violation, in the order of the rows and, within a row, of the rules. Exceptions propagate.
+
+        Handlers are functions of the driver, so the violations that have one come here, by their order and rule only and one partition at a time.
+        """
+        handled = [r.name for r in self.rules.values() if r.action in self.handlers]
+        if not handled:
+            return
+        rows = violations.filter(F.col("rule_name").isin(handled)).select(order, "rule_name")
+        place = F.array_position(F.array(*[F.lit(n) for n in self.rules]), F.col("rule_name"))
+        for r in rows.orderBy(order, place).toLocalIterator():
+            rule = self.rules[r["rule_name"]]
+            self.handlers[rule.action](rule)

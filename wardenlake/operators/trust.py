@@ -15,7 +15,7 @@ from wardenlake.plans.lineage import cut
 
 INITIAL, LOWEST, HIGHEST, THRESHOLD = 0.5, 0.0, 1.0, 0.6
 #: Steps, or runs of steps, that one task folds for an agent.
-FAN = 1000
+FAN = 256
 
 
 def _clamp(x: Column, low: float, high: float) -> Column:
@@ -32,9 +32,11 @@ def _then(run: Column, step: Column) -> Column:
 
 
 def _steps(ops: DataFrame, low: float, high: float) -> DataFrame:
-    """(agent_id, at, run): each operation as a run of one step. A NULL delta is an error."""
+    """(agent_id, at, run, factors): each operation as a run of one step. A NULL delta is an error; ``factors`` are an empty map where the log has none."""
     delta = F.when(F.col("delta").isNotNull(), F.col("delta")).otherwise(F.raise_error(F.lit("delta is NULL")).cast("double"))
-    return ops.select("agent_id", F.col("seq").alias("at"), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), delta.alias("d")).alias("run"))
+    none = F.create_map().cast("map<string,double>")
+    factors = F.coalesce(F.col("factors"), none) if "factors" in ops.columns else none
+    return ops.select("agent_id", F.col("seq").alias("at"), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), delta.alias("d")).alias("run"), factors.alias("factors"))
 
 
 _IDENTITY = (float("-inf"), float("inf"), 0.0)
@@ -73,20 +75,22 @@ def current(ops: DataFrame, initial: float = INITIAL, low: float = LOWEST, high:
 
 
 def history(ops: DataFrame, initial: float = INITIAL, low: float = LOWEST, high: float = HIGHEST) -> DataFrame:
-    """(agent_id, seq, score, confidence): the score after each operation."""
+    """(agent_id, seq, score, confidence, factors): the score after each operation, with the factors (map<string,double>) that it was made with."""
     levels = [cut(x) for x in _levels(ops, low, high)]
     starts = levels[-1].groupBy("agent_id").agg(F.lit(None).cast("bigint").alias("up"), F.lit(float(initial)).alias("start"))
     for depth in range(len(levels) - 1, -1, -1):
         up = F.lit(None).cast("bigint") if depth == len(levels) - 1 else F.floor(F.col("at") / FAN).cast("bigint")
-        runs = levels[depth].withColumn("up", up).groupBy("agent_id", "up").agg(F.array_sort(F.collect_list(F.struct("at", "run"))).alias("_runs"))
+        carried = ("at", "run") if depth else ("at", "run", "factors")
+        # maps have no order, so the elements are compared by their place in the log only
+        ordered = F.array_sort(F.collect_list(F.struct(*carried)), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1))
+        runs = levels[depth].withColumn("up", up).groupBy("agent_id", "up").agg(ordered.alias("_runs"))
         met = runs.alias("r").join(starts.alias("s"), _same("r", "s", ["agent_id", "up"])).select("r.agent_id", "r._runs", "s.start")
         first = F.struct(F.col("start").alias("x"), F.array().cast("array<double>").alias("all"))
         before = F.aggregate("_runs", first, lambda a, r: F.struct(_applied(r["run"], a["x"]).alias("x"), F.array_append(a["all"], a["x"]).alias("all")), lambda a: a["all"])
-        each = met.select("agent_id", F.explode(F.zip_with("_runs", before, lambda r, x: F.struct(r["at"].alias("at"), r["run"].alias("run"), x.alias("start")))).alias("_e"))
-        starts = each.select("agent_id", F.col("_e.at").alias("up"), "_e.start", "_e.run")
+        each = met.select("agent_id", F.explode(F.zip_with("_runs", before, lambda r, x: F.struct(*[r[c].alias(c) for c in carried], x.alias("start")))).alias("_e"))  # noqa: B023
         if depth == 0:
-            return starts.select("agent_id", F.col("up").alias("seq"), _applied(F.col("run"), F.col("start")).alias("score"), F.lit(1.0).alias("confidence"))
-        starts = starts.drop("run")
+            return each.select("agent_id", F.col("_e.at").alias("seq"), _applied(F.col("_e.run"), F.col("_e.start")).alias("score"), F.lit(1.0).alias("confidence"), "_e.factors")
+        starts = each.select("agent_id", F.col("_e.at").alias("up"), "_e.start")
     raise AssertionError
 
 

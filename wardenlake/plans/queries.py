@@ -145,7 +145,7 @@ _CURRENT = f"SELECT user_id AS agent_id, list_reduce(list_prepend(CAST(0.5 AS DO
 
 def trust_ops(spark: SparkSession, d: str) -> DataFrame:
     """Trust operations made of events."""
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("agent_id"), F.expr(_DELTA).alias("delta"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("agent_id"), F.expr(_DELTA).alias("delta"), F.create_map(F.lit("value"), F.col("value")).alias("factors"))
 
 
 @query(f"SELECT agent_id, round(score, 6) AS score FROM ({_CURRENT})")
@@ -153,12 +153,12 @@ def trust_current(spark: SparkSession, d: str) -> DataFrame:
     return trust.current(trust_ops(spark, d)).select("agent_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH RECURSIVE ops AS (SELECT user_id AS agent_id, event_id AS seq, {_DELTA} AS delta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-    walk AS (SELECT agent_id, seq, n, greatest(0.0, least(1.0, 0.5 + delta)) AS score FROM ops WHERE n = 1
-      UNION ALL SELECT o.agent_id, o.seq, o.n, greatest(0.0, least(1.0, w.score + o.delta)) FROM walk w JOIN ops o ON o.agent_id = w.agent_id AND o.n = w.n + 1)
-    SELECT agent_id, seq, round(score, 6) AS score, CAST(1.0 AS DOUBLE) AS confidence FROM walk""")
+@query(f"""WITH RECURSIVE ops AS (SELECT user_id AS agent_id, event_id AS seq, {_DELTA} AS delta, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    walk AS (SELECT agent_id, seq, n, greatest(0.0, least(1.0, 0.5 + delta)) AS score, value FROM ops WHERE n = 1
+      UNION ALL SELECT o.agent_id, o.seq, o.n, greatest(0.0, least(1.0, w.score + o.delta)), o.value FROM walk w JOIN ops o ON o.agent_id = w.agent_id AND o.n = w.n + 1)
+    SELECT agent_id, seq, round(score, 6) AS score, CAST(1.0 AS DOUBLE) AS confidence, CAST(value AS DOUBLE) AS factor_value FROM walk""")
 def trust_history(spark: SparkSession, d: str) -> DataFrame:
-    return trust.history(trust_ops(spark, d)).withColumn("score", F.round("score", 6))
+    return trust.history(trust_ops(spark, d)).select("agent_id", "seq", F.round("score", 6).alias("score"), "confidence", F.col("factors")["value"].alias("factor_value"))
 
 
 @query(f"SELECT agent_id, round(score, 6) AS score FROM ({_CURRENT}) WHERE round(score, 6) >= 0.6")
@@ -221,7 +221,7 @@ def eval_results_last(spark: SparkSession, d: str) -> DataFrame:
 
 # --- traces, logs, series ------------------------------------------------------------------------------------------------------------
 _TRACE_OPS = """SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' ELSE 'event' END AS kind, CAST(user_id AS VARCHAR) AS trace_id,
-    user_id AS agent_id, event_type AS operation, CASE WHEN event_type = 'purchase' THEN CASE WHEN value > 50 THEN 'completed' ELSE 'failed' END END AS status, props AS description FROM events"""
+    user_id AS agent_id, event_type AS operation, CASE WHEN event_type = 'purchase' THEN CASE WHEN value > 50 THEN 'completed' ELSE 'failed' END END AS status, props AS description, props AS metadata, props AS result FROM events"""
 
 
 def trace_ops(spark: SparkSession, d: str) -> DataFrame:
@@ -230,15 +230,15 @@ def trace_ops(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", F.when(F.col("value") > 50, "completed").otherwise("failed"))
     return table(spark, d, "events").select(
         F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").cast("string").alias("trace_id"), F.col("user_id").alias("agent_id"),
-        F.col("event_type").alias("operation"), status.alias("status"), F.col("props").alias("description"),
+        F.col("event_type").alias("operation"), status.alias("status"), *[F.col("props").alias(c) for c in ("description", "metadata", "result")],
     )
 
 
 _TRACES = f"""WITH ops AS ({_TRACE_OPS}), first AS (SELECT trace_id, min(seq) AS f FROM ops WHERE kind = 'start' GROUP BY 1),
-    later AS (SELECT trace_id, max(seq) FILTER (kind = 'end') AS e, arg_max(status, seq) FILTER (kind = 'end') AS s, count(*) FILTER (kind = 'event') AS n
+    later AS (SELECT trace_id, max(seq) FILTER (kind = 'end') AS e, arg_max(status, seq) FILTER (kind = 'end') AS s, arg_max(result, seq) FILTER (kind = 'end') AS r, count(*) FILTER (kind = 'event') AS n
       FROM ops JOIN first USING (trace_id) WHERE kind <> 'start' AND seq > f GROUP BY 1)
     SELECT seq, ops.trace_id, agent_id, operation, CASE WHEN seq = f AND e IS NOT NULL THEN s ELSE 'active' END AS status,
-      CASE WHEN seq = f THEN e END AS end_seq, CASE WHEN seq = f THEN coalesce(n, 0) ELSE 0 END AS events
+      CASE WHEN seq = f THEN e END AS end_seq, CASE WHEN seq = f THEN coalesce(n, 0) ELSE 0 END AS events, metadata, CASE WHEN seq = f THEN r END AS result
     FROM ops JOIN first USING (trace_id) LEFT JOIN later ON later.trace_id = ops.trace_id WHERE kind = 'start'"""
 
 
@@ -253,7 +253,7 @@ def traces_failed_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH ops AS ({_TRACE_OPS}), first AS (SELECT trace_id, min(seq) AS f FROM ops WHERE kind = 'start' GROUP BY 1)
-    SELECT trace_id, seq, operation, description FROM ops JOIN first USING (trace_id) WHERE kind = 'event' AND seq > f""")
+    SELECT trace_id, seq, operation, description, metadata FROM ops JOIN first USING (trace_id) WHERE kind = 'event' AND seq > f""")
 def trace_events(spark: SparkSession, d: str) -> DataFrame:
     return observability.trace_events(trace_ops(spark, d))
 
@@ -355,23 +355,93 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     return memory.search(memory.live_short(table(spark, d, "memory_ops"), CAPACITY), "agent")
 
 
-@query()
+LONG = 50
+_BUMP = "list_transform(cur, lambda x, i: struct_pack(k := x.k, v := x.v, a := x.a + CASE WHEN list_contains(met, i) THEN 1 ELSE 0 END, t := CASE WHEN kind = 'retrieve' AND list_contains(met, i) THEN seq ELSE x.t END))"
+_PUT = "list_append(cur, struct_pack(k := mkey, v := value, a := CAST(0 AS BIGINT), t := CAST(NULL AS BIGINT)))"
+#: Both tiers replayed in SQL, all stores in step: one round of the recursion for each operation of the busiest store.
+_WALK = f"""RECURSIVE o AS (SELECT seq, store_id, kind, CASE WHEN tier = 'long' THEN 'long' ELSE 'short' END AS tier, mkey, value, query, row_number() OVER (PARTITION BY store_id ORDER BY seq) AS i
+      FROM memory_ops WHERE store_id IS NOT NULL),
+    walk AS (
+      SELECT DISTINCT store_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS tier, CAST([] AS STRUCT(k VARCHAR, v VARCHAR, a BIGINT, t BIGINT)[]) AS s,
+        CAST([] AS STRUCT(k VARCHAR, v VARCHAR, a BIGINT, t BIGINT)[]) AS l, CAST(NULL AS BOOLEAN) AS hit, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS n FROM o
+      UNION ALL
+      SELECT store_id, i, seq, kind, tier, CASE WHEN tier = 'short' AND kind <> 'consolidate' THEN next ELSE s END, CASE WHEN kind = 'consolidate' THEN list_concat(l, moved) WHEN tier = 'long' THEN next ELSE l END,
+        CASE WHEN kind = 'retrieve' THEN len(met) > 0 END, CASE WHEN kind = 'retrieve' AND len(met) > 0 THEN cur[met[1]].v END, CASE kind WHEN 'search' THEN len(met) WHEN 'consolidate' THEN len(moved) END
+      FROM (
+        SELECT *, CASE kind WHEN 'clear' THEN list_filter(cur, lambda x: false)
+          WHEN 'store' THEN CASE WHEN len(cur) < CASE tier WHEN 'long' THEN {LONG} ELSE {CAPACITY} END THEN put
+            WHEN tier = 'short' THEN list_slice(put, 2, len(put))
+            ELSE list_slice(list_transform(list_sort(list_transform(put, lambda x, i: struct_pack(a := x.a, i := i))), lambda y: put[y.i]), 2, len(put)) END
+          ELSE {_BUMP} END AS next
+        FROM (
+          SELECT *, {_PUT} AS put, list_filter(s, lambda x: x.a >= {memory.CONSOLIDATE_FROM}) AS moved, CASE kind
+            WHEN 'retrieve' THEN list_slice(list_filter(list_reverse(range(1, len(cur) + 1)), lambda j: coalesce(cur[j].k = mkey, false)), 1, 1)
+            WHEN 'search' THEN list_slice(list_filter(list_reverse(range(1, len(cur) + 1)), lambda j: coalesce(contains(lower(coalesce(cur[j].v, 'None')), lower(query)), false)), 1, 10)
+            ELSE CAST([] AS BIGINT[]) END AS met
+          FROM (SELECT o.*, w.s, w.l, CASE o.tier WHEN 'long' THEN w.l ELSE w.s END AS cur FROM walk w JOIN o ON o.store_id = w.store_id AND o.i = w.i + 1))))"""
+_LAST = "SELECT store_id, arg_max(s, i) AS s, arg_max(l, i) AS l FROM walk GROUP BY store_id"
+
+
+@query(f"WITH {_WALK} SELECT seq, store_id, kind, tier, hit, value, n, len(s) AS short_items, len(l) AS long_items FROM walk WHERE i > 0")
 def memory_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Every operation on both tiers; what the long tier drops depends on all accesses before, which SQL can't express."""
-    return memory.replay(table(spark, d, "memory_ops"), CAPACITY, 50)
+    """Every operation on both tiers."""
+    return memory.replay(table(spark, d, "memory_ops"), CAPACITY, LONG)
+
+
+@query(f"""WITH {_WALK}, ends AS ({_LAST}), x AS (SELECT store_id, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS position FROM ends)
+    SELECT store_id, 'long' AS tier, position, e.k AS mkey, e.v AS value, e.a AS access_count, e.t AS last_accessed FROM x""")
+def memory_eviction(spark: SparkSession, d: str) -> DataFrame:
+    """What the long tiers hold in the end, after all evictions."""
+    return memory.items(table(spark, d, "memory_ops"), CAPACITY, LONG).filter("tier = 'long'")
+
+
+@query(f"WITH {_WALK} SELECT seq, store_id, n, len(l) AS long_items FROM walk WHERE kind = 'consolidate'")
+def memory_consolidate(spark: SparkSession, d: str) -> DataFrame:
+    """How many items each consolidation copies to the long tier."""
+    return memory.replay(table(spark, d, "memory_ops"), CAPACITY, LONG).filter("kind = 'consolidate'").select("seq", "store_id", "n", "long_items")
+
+
+@query(f"WITH {_WALK}, ends AS ({_LAST}) SELECT store_id, len(s) AS short_items, len(l) AS long_items, {CAPACITY} AS short_capacity, {LONG} AS long_capacity FROM ends")
+def memory_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of both tiers in the end."""
+    return memory.tier_sizes(memory.replay(table(spark, d, "memory_ops"), CAPACITY, LONG), CAPACITY, LONG)
 
 
 # --- policy, middleware, patches, adapters -------------------------------------------------------------------------------------------
-@query("SELECT seq, 'no_override' AS rule_name, 'message' AS violation_type, 'high' AS severity, 'block' AS action FROM messages WHERE contains(lower(content), 'override') UNION ALL SELECT seq, 'short', 'message', 'low', 'warn' FROM messages WHERE length(content) > 200")
-def policy_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Conditions in SQL, an extension."""
+_VIOLATIONS = """SELECT seq, 'no_override' AS rule_name, 'message' AS violation_type, 'high' AS severity, 'block' AS action, content AS data FROM messages WHERE contains(lower(content), 'override')
+    UNION ALL SELECT seq, 'short', 'message', 'low', 'warn', content FROM messages WHERE length(content) > 200"""
+
+
+def message_rules() -> PolicyEnforcer:
     rules = PolicyEnforcer(sql_conditions=True)
     rules.add_rule("no_override", "No overriding", "contains(lower(content), 'override')", "block", "high")
     rules.add_rule("short", "Messages are short", "length(content) > 200", "warn", "low")
-    return rules.violations(table(spark, d, "messages"))
+    return rules
+
+
+@query(_VIOLATIONS)
+def policy_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions in SQL, an extension."""
+    return message_rules().violations(table(spark, d, "messages"), data=F.col("content"))
+
+
+@query(f"SELECT * FROM ({_VIOLATIONS}) WHERE severity = 'low' ORDER BY seq DESC LIMIT 20")
+def policy_violations_last(spark: SparkSession, d: str) -> DataFrame:
+    """The last violations of one severity."""
+    return message_rules().violations(table(spark, d, "messages"), severity="low", limit=20, data=F.col("content"))
+
+
+@query("""SELECT agent_id, 'trusted' AS rule_name, 'state' AS violation_type, 'high' AS severity, 'block' AS action, agent_name AS data FROM agent_states WHERE trust_score < 0.4
+    UNION ALL SELECT agent_id, 'clean', 'state', 'medium', 'warn', agent_name FROM agent_states WHERE len(policy_violations) > 0""")
+def policy_state_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over the states of agents."""
+    rules = PolicyEnforcer(sql_conditions=True)
+    rules.add_rule("clean", "No violations so far", "size(policy_violations) > 0")
+    rules.add_rule("trusted", "Agents report some trust", "trust_score < 0.4", "block", "high")
+    return rules.check_state(table(spark, d, "agent_states"), data=F.col("agent_name"))
 
 
-@query("SELECT seq, 'rule' AS rule_name, 'message' AS violation_type, 'medium' AS severity, 'warn' AS action FROM messages WHERE false")
+@query("SELECT seq, 'rule' AS rule_name, 'message' AS violation_type, 'medium' AS severity, 'warn' AS action, content AS data FROM messages WHERE false")
 def policy_faithful_empty(spark: SparkSession, d: str) -> DataFrame:
     """Without the extension no condition is ever met."""
     rules = PolicyEnforcer()
