@@ -23,7 +23,8 @@ CASES = [
 @pytest.fixture(scope="module")
 def known(spark):
     evals = table(spark, SF, "evals")
-    return pairs.adapted(spark, _labelled(spark, SF), evals, "seq", "input", "expected"), pairs.fit_endings(evals, "seq", "output", "expected")
+    sample = pairs.sample_pairs(evals, "seq", "input", "output", "expected")
+    return pairs.adapted(spark, _labelled(spark, SF), sample), pairs.fit_endings(sample)
 
 
 @pytest.mark.parametrize(("prompt", "response", "want"), CASES)
@@ -38,9 +39,10 @@ def test_rows(spark, known):
     assert sorted(map(str, got.collect())) == sorted(["Row(seq=1, defect='empty')"] * 2 + ["Row(seq=None, defect='empty')"])
     assert pairs.find_defects(df.limit(0), "seq", "input", "output", *known).count() == 0
     none = spark.createDataFrame([], "seq bigint, input string, output string, expected string")
-    model, _ = pairs.adapted(spark, [("the run stopped", "en")], none, "seq", "input", "expected")
+    sample = pairs.sample_pairs(none, "seq", "input", "output", "expected")
+    model, _ = pairs.adapted(spark, [("the run stopped", "en")], sample)
     assert model.languages == ["en"]
-    assert pairs.fit_endings(none, "seq", "output", "expected").bits(["x"]).shape == (1,)
+    assert pairs.fit_endings(sample).bits(["x"]).shape == (1,)
 
 
 ITALIAN = "Sono stati necessari 31 tentativi. I primi sono falliti perché shelfscan non era raggiungibile in quel momento."

@@ -28,6 +28,10 @@ FIT_ROWS = 20_000
 FIT_CHARS = 20_000
 #: Rounds of correcting labels.
 LABEL_ROUNDS = 3
+#: Share of capitalised words from which on a piece is a heading, whose capitals show no names.
+HEADING_SHARE = 0.7
+#: Pieces that a worker keeps in plain form; only speed depends on it.
+KNOWN_PIECES = 100_000
 #: Bits that a change of language between two pieces costs.
 SWITCH_BITS = 24.0
 #: Bytes scored at once.
@@ -136,9 +140,28 @@ class Script:
             text = _SPELT_ADDRESS.sub(" ", text)
         text = _NOT_WORDS.sub(" ", text)
         if not text.isupper():
-            text = _NAMES.sub(" ", text)
+            without = _NAMES.sub(" ", text)
+            words = text.split()
+            if len(words) < 4 or len(without.split()) > (1 - HEADING_SHARE) * len(words):
+                text = without
         return " ".join(text.lower().split())
 
+    def words_of(self, piece: str) -> str:
+        """The plain form of a piece, empty for code and where no word of a language is left."""
+        known = self.__dict__.setdefault("_known", {})
+        got = known.get(piece)
+        if got is None:
+            got = "" if is_code(piece) else self.plain(piece)
+            got = got if _WORD.search(got) else ""
+            if len(known) >= KNOWN_PIECES:
+                known.clear()
+            if len(piece) < 500:
+                known[piece] = got
+        return got
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
 
 def is_code(piece: str) -> bool:
     """Whether a piece is code or a payload rather than a sentence."""
@@ -296,57 +319,62 @@ def sample_labelled(df: DataFrame, id_col: str, text_col: str, label: Column, ro
     n = df.filter(label.isNotNull()).count()
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     kept = df.select(F.col(text_col).alias("_text"), label.alias("_label"), chance.alias("_chance")).filter("_label IS NOT NULL AND _text IS NOT NULL")
-    picked = kept.filter((F.col("_chance") < rows / max(n, 1)) & (F.length("_text") <= FIT_CHARS)).select("_text", "_label")
-    return sorted((r["_text"], r["_label"]) for r in picked.limit(2 * rows).collect())
+    picked = kept.filter((F.col("_chance") < rows / max(n, 1)) & (F.length("_text") <= FIT_CHARS))
+    # more than twice as many come only where ids repeat; then those of the smallest hashes stay
+    return sorted((r["_text"], r["_label"]) for r in picked.orderBy("_chance", "_text", "_label").limit(2 * rows).select("_text", "_label").collect())
 
 
-def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER) -> tuple[Model, Script]:
-    """A model from labels that may be wrong and from texts that may mix languages.
+def labelled_pieces(script: Script, labelled: list[tuple[str, str]], order: int = ORDER) -> list[tuple[str, str]]:
+    """(plain piece, language) from labels that may be wrong and from texts that may mix languages.
 
     Pieces first take their text's label. Each half of them is then labelled by the votes of the other half's n-grams, so that no piece votes for
-    itself. Labels without a piece of their own vanish.
+    itself, until no label changes or for ``LABEL_ROUNDS`` rounds. Labels without a piece of their own vanish.
     """
-    script = script_of(spark)
     halves: tuple[list, list] = ([], [])
     for n, (text, lang) in enumerate(labelled):
         for a, b in pieces_of(text):
-            piece = text[a:b]
-            plain = "" if is_code(piece) else script.plain(piece)
-            if _WORD.search(plain):
+            if plain := script.words_of(text[a:b]):
                 halves[(n * 2654435761 >> 7) % 2].append((plain, lang))
     for _ in range(LABEL_ROUNDS):
         if not all(halves):
             break
         models = [Model.votes(h, order) for h in halves]
-        halves = tuple([*_relabelled(h, m)] for h, m in zip(halves, reversed(models), strict=True))
-    return Model.fit(halves[0] + halves[1], order), script
+        before, halves = halves, tuple([*_relabelled(h, m)] for h, m in zip(halves, reversed(models), strict=True))
+        if before == halves:
+            break
+    return halves[0] + halves[1]
+
+
+def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER) -> tuple[Model, Script]:
+    """A model from labels that may be wrong and from texts that may mix languages."""
+    script = script_of(spark)
+    return Model.fit(labelled_pieces(script, labelled, order), order), script
 
 
 def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: float = 0.02, sure_bits: float = 40.0) -> list[tuple[str, str]]:
-    """Texts of another kind with the languages that the model gives them.
+    """The plain pieces of texts of another kind with the languages that the model gives them.
 
     A language is in use if it wins at least ``least_share`` of the pieces that are won by ``sure_bits``; any other has only the pieces that it wins
     so surely itself. Fitting once more with these labels takes a model to the wording of texts that nobody labelled.
     """
     model, script = fitted
-    pieces: dict[str, list[str]] = {}
+    pieces: dict[str, int] = {}
     for t in texts:
         for a, b in pieces_of(t):
-            plain = "" if is_code(t[a:b]) else script.plain(t[a:b])
-            if _WORD.search(plain):
-                pieces.setdefault(plain, []).append(t[a:b])
+            if plain := script.words_of(t[a:b]):
+                pieces[plain] = pieces.get(plain, 0) + 1
     bits = model.bits(list(pieces))
     if not len(bits):
         return []
     ranked = np.sort(bits, axis=1)
     sure = ranked[:, 1] - ranked[:, 0] >= sure_bits if bits.shape[1] > 1 else np.ones(len(bits), bool)
-    n = np.array([len(x) for x in pieces.values()])
+    n = np.array(list(pieces.values()))
     won = np.bincount(bits.argmin(axis=1)[sure], weights=n[sure], minlength=len(model.languages))
     used = won >= least_share * max(won.sum(), 1)
     if not used.any():
         return []
     best = np.where(used | sure[:, None], bits, np.inf).argmin(axis=1)
-    return [(t, model.languages[j]) for j, found in zip(best, pieces.values(), strict=True) for t in found]
+    return [(p, model.languages[j]) for j, (p, times) in zip(best, pieces.items(), strict=True) for _ in range(times)]
 
 
 def _relabelled(pieces: list[tuple[str, str]], model: Model) -> Iterator[tuple[str, str]]:
@@ -385,14 +413,17 @@ def segments_of(texts: list[str | None], model: Model, script: Script) -> list[l
         row = []
         for n, (a, b) in enumerate(found):
             piece = text[a:b]
-            signed = n and _SIGNATURE.fullmatch(piece) and text[found[n - 1][1] - 1] == ","
-            plain = "" if signed or is_code(piece) else script.plain(piece)
-            row.append(plains.setdefault(plain, len(plains)) if plain and _WORD.search(plain) else -1)
+            plain = script.words_of(piece)
+            if plain and n and text[found[n - 1][1] - 1] == "," and _SIGNATURE.fullmatch(piece):
+                plain = ""
+            row.append(plains.setdefault(plain, len(plains)) if plain else -1)
         index.append(row)
     known = list(plains)
     bits = model.bits(known)
     words = [len(_WORD.findall(p)) for p in known]
+    best = bits.argmin(axis=1) if len(known) and model.languages else np.zeros(0, int)
     out: list[list[dict] | None] = []
+    every: list[dict] = []
     for text, found, row in zip(texts, spans, index, strict=True):
         if text is None:
             out.append(None)
@@ -401,25 +432,33 @@ def segments_of(texts: list[str | None], model: Model, script: Script) -> list[l
         if not real or not model.languages:
             out.append([])
             continue
-        own = bits[[row[i] for i in real]]
-        path = _path(own)
+        own = [row[i] for i in real]
+        path = [int(best[own[0]])] * len(own) if len({int(best[j]) for j in own}) == 1 else _path(bits[own])
         segments: list[dict] = []
-        for n, (i, lang) in enumerate(zip(real, path, strict=True)):
-            if segments and segments[-1]["_lang"] == lang:
-                last = segments[-1]
-                last["_end"], last["words"], last["_bits"] = found[i][1], last["words"] + words[row[i]], last["_bits"] + own[n]
+        last = None
+        for i, j, lang in zip(real, own, path, strict=True):
+            if lang == last:
+                segments[-1]["_end"] = found[i][1]
+                segments[-1]["words"] += words[j]
+                segments[-1]["_pieces"].append(j)
             else:
-                segments.append({"_lang": lang, "_start": found[i][0], "_end": found[i][1], "words": words[row[i]], "_bits": own[n]})
-        for s in segments:
-            others = np.delete(s["_bits"], s["_lang"])
-            s["margin"] = float(others.min() - s["_bits"][s["_lang"]]) if len(others) else 99.0
-            s["confidence"] = float(1 / np.exp2(np.clip(s["_bits"][s["_lang"]] - s["_bits"], -60, 60) / 2).sum())
-        out.append(
-            [
-                {"start_pos": s["_start"] + 1, "length": s["_end"] - s["_start"], "lang": model.languages[s["_lang"]], "confidence": s["confidence"], "words": s["words"], "margin": s["margin"]}
-                for s in segments
-            ]
-        )
+                segments.append({"_start": found[i][0], "_end": found[i][1], "words": words[j], "_pieces": [j], "_lang": lang})
+            last = lang
+        out.append(segments)
+        every += segments
+    if every:
+        total = np.array([bits[s["_pieces"]].sum(axis=0) if len(s["_pieces"]) > 1 else bits[s["_pieces"][0]] for s in every])
+        at = np.arange(len(every))
+        won = np.array([s["_lang"] for s in every])
+        own_bits = total[at, won]
+        others = total.copy()
+        others[at, won] = np.inf
+        margin = np.minimum(others.min(axis=1) - own_bits, 1e6) if total.shape[1] > 1 else np.full(len(every), 99.0)
+        confidence = 1 / np.exp2(np.clip(own_bits[:, None] - total, -60, 60) / 2).sum(axis=1)
+        for n, s in enumerate(every):
+            start, end = s.pop("_start"), s.pop("_end")
+            del s["_pieces"], s["_lang"]
+            s.update(start_pos=start + 1, length=end - start, lang=model.languages[won[n]], confidence=float(confidence[n]), margin=float(margin[n]))
     return out
 
 

@@ -126,9 +126,9 @@ def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     evals = table(spark, d, "evals").select("seq", "input", "output", "expected")
-    endings = pairs.fit_endings(evals, "seq", "output", "expected")
-    fitted = pairs.adapted(spark, _labelled(spark, d), evals, "seq", "input", "expected")
-    return pairs.find_defects(spread(evals), "seq", "input", "output", fitted, endings)
+    sample = pairs.sample_pairs(evals, "seq", "input", "output", "expected")
+    fitted = pairs.adapted(spark, _labelled(spark, d), sample)
+    return pairs.find_defects(spread(evals), "seq", "input", "output", fitted, pairs.fit_endings(sample))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
