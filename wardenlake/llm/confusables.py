@@ -27,6 +27,8 @@ JOINER = "‍"
 LAST = 0x1F000
 #: Contents with more rows than this are split over several tasks when pairs are built.
 HOT_ROWS = 20_000
+#: Contents of one look that one task pairs on each side; a look with more is cut into blocks.
+HOT_FORMS = 5_000
 #: So many contents at most have more than HOT_ROWS rows and are split; they are broadcast.
 HOT_CONTENTS = 10_000
 
@@ -118,13 +120,13 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, by: list[str]) ->
     """(by..., a, b), a < b: every two rows whose texts look the same and are different strings.
 
     Pairs are built between *different contents* of one look and then given their rows, so the work is the size of the result;
-    copies of one string never meet. Contents of very many rows are salted on both sides. Rows with equal
+    copies of one string never meet. Contents of very many rows are salted on both sides, looks of very many contents are cut into blocks. Rows with equal
     ids make no pair of their own, NULL texts make none, blank texts are texts like others; an empty table gives no pairs.
     """
     rows = cut(_hashed(df, id_col, text_col, by))
     contents = rows.groupBy(*by, "_look", "_content").agg(F.count(F.lit(1)).alias("_n"))
-    looks = contents.groupBy(*by, "_look").agg(F.count(F.lit(1)).alias("_forms")).filter("_forms > 1").drop("_forms")
-    varied = contents.join(looks, [*by, "_look"], "left_semi")
+    looks = contents.groupBy(*by, "_look").agg(F.count(F.lit(1)).alias("_forms")).filter("_forms > 1")
+    varied = contents.join(looks, [*by, "_look"])
     salts = F.ceil(F.col("_n") / HOT_ROWS).cast("int")
     hot = varied.filter(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n"), "_content").limit(HOT_CONTENTS).select(*by, "_content", salts.alias("_salts"))
     rows = (
@@ -132,11 +134,14 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str, by: list[str]) ->
         .join(F.broadcast(hot), [*by, "_content"], "left")
         .select(*by, "_content", "_id", F.pmod(F.xxhash64("_id"), F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt"))
     )
-    split = varied.join(F.broadcast(hot), [*by, "_content"], "left").select(*by, "_look", "_content", F.coalesce("_salts", F.lit(1)).alias("_salts"))
+    split = varied.join(F.broadcast(hot), [*by, "_content"], "left").select(*by, "_look", "_content", "_forms", F.coalesce("_salts", F.lit(1)).alias("_salts"))
     split = split.select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")).drop("_salts")
-    left = split.select(*by, "_look", F.col("_content").alias("_c1"), F.col("_salt").alias("_s1"))
-    right = split.select(*by, "_look", F.col("_content").alias("_c2"), F.col("_salt").alias("_s2"))
-    pairs = left.join(right, [*by, "_look"]).filter("_c1 < _c2").drop("_look")
+    # a look of very many contents is paired block by block: a content meets each block of the other side once
+    blocks = F.ceil(F.col("_forms") / HOT_FORMS).cast("int")
+    split = split.withColumns({"_own": F.pmod(F.xxhash64("_content", "_salt"), blocks).cast("int"), "_every": F.sequence(F.lit(0), blocks - 1)})
+    left = split.select(*by, "_look", F.col("_content").alias("_c1"), F.col("_salt").alias("_s1"), F.col("_own").alias("_b1"), F.explode("_every").alias("_b2"))
+    right = split.select(*by, "_look", F.col("_content").alias("_c2"), F.col("_salt").alias("_s2"), F.col("_own").alias("_b2"), F.explode("_every").alias("_b1"))
+    pairs = left.join(right, [*by, "_look", "_b1", "_b2"]).filter("_c1 < _c2").drop("_look", "_b1", "_b2")
     one = rows.select(*by, F.col("_content").alias("_c1"), F.col("_salt").alias("_s1"), F.col("_id").alias("_i1"))
     two = rows.select(*by, F.col("_content").alias("_c2"), F.col("_salt").alias("_s2"), F.col("_id").alias("_i2"))
     met = pairs.join(one, [*by, "_c1", "_s1"]).join(two, [*by, "_c2", "_s2"]).filter("_i1 <> _i2")
