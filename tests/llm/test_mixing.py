@@ -47,7 +47,36 @@ def test_longer_documents_are_rarer(made):
 def test_cases(spark, made):
     sizes, targets = made
     assert M.mix(sizes.limit(0), targets).count() == 0 and M.mix(sizes, targets.limit(0)).count() == 0
-    one = spark.createDataFrame([(1, "big", 10), (1, "big", 10), (None, "big", 5)], sizes.schema)
-    assert M.mix(one, targets).count() >= 1
+    one = spark.createDataFrame([(1, "small_one", 10), (1, "small_one", 10), (None, "big", 5)], sizes.schema)
+    twice = M.mix(one, targets)
+    assert [(r.id, r.copies) for r in twice.collect()] == [(1, 4)] and M.expand(twice, one, "id").count() == 4  # one document, at its cap
+    assert [r.source for r in M.plan(M.usable(one), targets).filter("binds").collect()] == ["small_one"]
     everything = M.mix(sizes, targets, total=10**12)  # every source at its cap
     assert everything.filter("source = 'small_one' AND copies <> 4").count() == 0
+
+
+def test_whole_tables(spark):
+    """p7_mix and p7_shares against another tokenizer library and plain sums."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from wardenlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    targets = {r.source: r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    mixed = QUERIES["p7_mix"](spark, sf).collect()
+    assert len({r.doc_id for r in mixed}) == len(mixed) > 0
+    reached = {}
+    for r in mixed:
+        assert r.tokens == len(enc.encode_ordinary(docs[r.doc_id].text)) and 1 <= r.copies <= targets[r.source].max_repeats
+        assert docs[r.doc_id].source.strip().lower().replace(" ", "_").replace("-", "_") == r.source
+        reached[r.source] = reached.get(r.source, 0) + r.tokens * r.copies
+    shares = {r.source: r for r in QUERIES["p7_shares"](spark, sf).collect()}
+    assert shares.keys() == targets.keys() and {s: r.reached for s, r in shares.items() if r.reached} == reached
+    assert sum(r.share for r in shares.values()) == pytest.approx(1, abs=1e-5) and sum(r.binds for r in shares.values()) == 1

@@ -29,7 +29,7 @@ def source_name(c: Column) -> Column:
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, documents, available, planned): the tokens each source is to give.
+    """(source, target_share, max_repeats, documents, available, planned, binds): the tokens each source is to give, and whether its cap bounds the total.
 
     Without a ``total`` it is the largest one that every source with documents can serve within its cap. With one, a source gives at most what its cap
     allows. A target without documents plans 0; a source without a target isn't in the plan. Targets spelled alike are added, with the larger cap.
@@ -39,11 +39,13 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     has = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"))
     both = wanted.join(has, "source", "left").withColumns({"documents": F.coalesce("documents", F.lit(0)), "available": F.coalesce("available", F.lit(0))})
     most = F.col("available") * F.col("max_repeats")
+    reach = F.when((F.col("available") > 0) & (F.col("target_share") > 0), most / F.col("target_share"))
     if total is None:
-        room = F.min(F.when((F.col("available") > 0) & (F.col("target_share") > 0), most / F.col("target_share"))).over(Window.partitionBy())
+        room = F.min(reach).over(Window.partitionBy())
         both = both.withColumn("_total", F.coalesce(room, F.lit(0.0)))
     else:
         both = both.withColumn("_total", F.lit(float(total)))
+    both = both.withColumn("binds", F.coalesce(reach <= F.col("_total"), F.lit(False)))
     return both.withColumn("planned", F.floor(F.least(most, F.coalesce("target_share", F.lit(0.0)) * F.col("_total")) + F.lit(1e-6)).cast("bigint")).drop("_total")
 
 
@@ -88,13 +90,22 @@ def _lowest(ranked: DataFrame, budget: DataFrame) -> DataFrame:
     return taken.unionByName(last)
 
 
+def usable(sizes: DataFrame) -> DataFrame:
+    """(id, source, tokens) of the documents that can be used: with an id, a source in one spelling, and tokens.
+
+    An id names one document: of rows that repeat an id one stays, the one of the smallest source and size, so that the cap holds for the document.
+    """
+    named = sizes.select("id", source_name(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens")).filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
+    return named.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("_one")).select("id", "_one.*")
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
     """(id, source, tokens, copies): how often each document of a planned source is used, for all that are used at all.
 
-    ``sizes`` has id, source and tokens, one row for each document. Documents with a NULL id or source, of a source without target, or without tokens are never
-    used. Repeated ids are documents of their own, with the same random number. The result depends on the seed only, not on the partitioning.
+    ``sizes`` has id, source and tokens (see ``usable``). Documents with a NULL id or source, of a source without target, or without tokens are never
+    used. The result depends on the seed only, not on the partitioning.
     """
-    sizes = cut(sizes.select("id", source_name(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens")).filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0"))
+    sizes = cut(usable(sizes))
     planned = cut(plan(sizes, targets, total))
     weighed = sizes.withColumn("_weight", F.pow(F.col("tokens").cast("double"), F.lit(LENGTH_POWER)))
     per_source = planned.join(_scaled(weighed, planned), "source").select("source", "planned", "max_repeats", "scale").filter("planned > 0")
@@ -112,7 +123,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, available, planned, used, most_copies, reached, share): what the mix holds."""
+    """(source, target_share, max_repeats, documents, available, planned, binds, used, most_copies, reached, share): what the mix holds."""
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("used"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
     both = planned.join(used, "source", "left")
     both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("used", "most_copies", "reached")})
@@ -120,5 +131,5 @@ def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def expand(mixed: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
-    """The documents themselves, each as often as it is used, with the number of the copy."""
-    return df.join(mixed.select(F.col("id").alias(id_col), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), id_col)
+    """The documents themselves, each as often as it is used, with the number of the copy; of rows that repeat an id one is taken."""
+    return df.dropDuplicates([id_col]).join(mixed.select(F.col("id").alias(id_col), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), id_col)

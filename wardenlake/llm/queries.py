@@ -68,17 +68,18 @@ def _percentiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each agent for every day and week of ``ts`` and of ``ingest_day``, and for all time; each span is made by adding
-    the sketches of the spans in it."""
-    perf, keys, parts = table(spark, d, "perf"), ["agent_id", "since"], []
-    for day_of, since in (("ts", F.to_date("ts")), ("ingest_day", F.col("ingest_day"))):
-        day = quantiles.sketch(perf.withColumn("since", since), keys, PERF_VALUES, REL_ERR)
-        week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), keys)
-        spans = {"day": day, "week": week}
-        if day_of == "ts":
-            spans["all"] = quantiles.merge(week.withColumn("since", F.lit(None).cast("date")), keys)
-        for name, sketches in spans.items():
-            parts.append(_percentiles(sketches, keys).withColumns({"span": F.lit(name), "day_of": F.lit(day_of)}))
-    return reduce(DataFrame.unionByName, parts)
+    the sketches of the spans in it.
+
+    Both days of a row are counted in one scan. The daily sketches are brought together by agent once (an agent has as many rows there as days and
+    buckets, however many measurements), and everything after that stays where it is.
+    """
+    keys = ["day_of", "agent_id", "since"]
+    days = F.array(*[F.struct(F.lit(c).alias("day_of"), day.alias("since")) for c, day in (("ts", F.to_date("ts")), ("ingest_day", F.col("ingest_day")))])
+    perf = table(spark, d, "perf").select("agent_id", *PERF_VALUES, F.inline(days))
+    day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR).repartition("day_of", "agent_id")
+    week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), keys)
+    ever = quantiles.merge(week.filter("day_of = 'ts'").withColumn("since", F.lit(None).cast("date")), keys)
+    return reduce(DataFrame.unionByName, (_percentiles(x, keys).withColumn("span", F.lit(name)) for name, x in (("day", day), ("week", week), ("all", ever))))
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -148,9 +149,8 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mix reaches."""
-    sizes, targets = cut(_document_sizes(spark, d)), table(spark, d, "mix_targets")
-    known = sizes.withColumn("source", mixing.source_name(F.col("source"))).filter("id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
-    return mixing.shares(mixing.mix(sizes, targets), mixing.plan(known, targets))
+    sizes, targets = cut(mixing.usable(_document_sizes(spark, d))), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets), mixing.plan(sizes, targets))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
