@@ -73,13 +73,15 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     Both days of a row are counted in one scan. The daily sketches are brought together by agent once (an agent has as many rows there as days and
     buckets, however many measurements), and everything after that stays where it is.
     """
-    keys = ["day_of", "agent_id", "since"]
-    days = F.array(*[F.struct(F.lit(c).alias("day_of"), day.alias("since")) for c, day in (("ts", F.to_date("ts")), ("ingest_day", F.col("ingest_day")))])
+    keys = ["late", "agent_id", "since"]  # late: the day of ingestion, in a narrow column as it is part of every key
+    days = F.array(*[F.struct(F.lit(late).alias("late"), day.alias("since")) for late, day in ((False, F.to_date("ts")), (True, F.col("ingest_day")))])
     perf = table(spark, d, "perf").select("agent_id", *PERF_VALUES, F.inline(days))
-    day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR).repartition("day_of", "agent_id")
+    day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR).repartition("agent_id")
     week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), keys)
-    ever = quantiles.merge(week.filter("day_of = 'ts'").withColumn("since", F.lit(None).cast("date")), keys)
-    return reduce(DataFrame.unionByName, (_percentiles(x, keys).withColumn("span", F.lit(name)) for name, x in (("day", day), ("week", week), ("all", ever))))
+    # both days count every row once, so either has all rows; a filter instead would be a scan of its own
+    ever = quantiles.merge(week.withColumns({"n": F.when(F.col("late"), 0).otherwise(F.col("n")), "late": F.lit(False), "since": F.lit(None).cast("date")}), keys)
+    out = reduce(DataFrame.unionByName, (_percentiles(x, keys).withColumn("span", F.lit(name)) for name, x in (("day", day), ("week", week), ("all", ever))))
+    return out.withColumn("day_of", F.when(F.col("late"), "ingest_day").otherwise("ts")).drop("late")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
