@@ -70,17 +70,23 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each agent for every day and week of ``ts`` and of ``ingest_day``, and for all time; each span is made by adding
     the sketches of the spans in it.
 
-    Both days of a row are counted in one scan. The daily sketches are brought together by agent once (an agent has as many rows there as days and
-    buckets, however many measurements), and everything after that stays where it is.
+    Both days of a row are counted in one scan. The daily sketches are brought together by agent and week once (as many rows as a week has days and
+    buckets, however many measurements), where days and weeks are finished; weeks, of which there are few, are then added for all time.
     """
     keys = ["late", "agent_id", "since"]  # late: the day of ingestion, in a narrow column as it is part of every key
     days = F.array(*[F.struct(F.lit(late).alias("late"), day.alias("since")) for late, day in ((False, F.to_date("ts")), (True, F.col("ingest_day")))])
     perf = table(spark, d, "perf").select("agent_id", *PERF_VALUES, F.inline(days))
-    day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR).repartition("agent_id")
-    week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), keys)
+    day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR)
+    day = day.withColumn("week", F.to_date(F.date_trunc("week", "since"))).repartition("agent_id", "week")
+    week = quantiles.merge(day.drop("since"), ["late", "agent_id", "week"])
     # both days count every row once, so either has all rows; a filter instead would be a scan of its own
-    ever = quantiles.merge(week.withColumns({"n": F.when(F.col("late"), 0).otherwise(F.col("n")), "late": F.lit(False), "since": F.lit(None).cast("date")}), keys)
-    out = reduce(DataFrame.unionByName, (_percentiles(x, keys).withColumn("span", F.lit(name)) for name, x in (("day", day), ("week", week), ("all", ever))))
+    ever = quantiles.merge(week.withColumns({"n": F.when(F.col("late"), 0).otherwise(F.col("n")), "late": F.lit(False), "since": F.lit(None).cast("date")}).drop("week"), keys)
+    spans = {
+        "day": _percentiles(day, [*keys, "week"]).drop("week"),  # the week belongs to the day; naming it keeps the windows where the rows are
+        "week": _percentiles(week, ["late", "agent_id", "week"]).withColumnRenamed("week", "since"),
+        "all": _percentiles(ever, keys),
+    }
+    out = reduce(DataFrame.unionByName, (x.withColumn("span", F.lit(name)) for name, x in spans.items()))
     return out.withColumn("day_of", F.when(F.col("late"), "ingest_day").otherwise("ts")).drop("late")
 
 
