@@ -78,12 +78,13 @@ def p3_spans(spark: SparkSession, d: str) -> DataFrame:
     perf = table(spark, d, "perf").select("agent_id", *PERF_VALUES, F.inline(days))
     day = quantiles.sketch(perf, keys, PERF_VALUES, REL_ERR)
     day = day.withColumn("week", F.to_date(F.date_trunc("week", "since"))).repartition("agent_id", "week")
-    week = quantiles.merge(day.drop("since"), ["late", "agent_id", "week"])
+    # by both columns, though one tells the other, so that days and weeks read one and the same exchange
+    week = quantiles.merge(day.withColumn("since", F.to_date(F.date_trunc("week", "since"))), [*keys, "week"])
     # both days count every row once, so either has all rows; a filter instead would be a scan of its own
     ever = quantiles.merge(week.withColumns({"n": F.when(F.col("late"), 0).otherwise(F.col("n")), "late": F.lit(False), "since": F.lit(None).cast("date")}).drop("week"), keys)
     spans = {
         "day": _percentiles(day, [*keys, "week"]).drop("week"),  # the week belongs to the day; naming it keeps the windows where the rows are
-        "week": _percentiles(week, ["late", "agent_id", "week"]).withColumnRenamed("week", "since"),
+        "week": _percentiles(week, [*keys, "week"]).drop("week"),
         "all": _percentiles(ever, keys),
     }
     out = reduce(DataFrame.unionByName, (x.withColumn("span", F.lit(name)) for name, x in spans.items()))
