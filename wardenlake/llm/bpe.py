@@ -99,8 +99,9 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(vocabulary: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker."""
+def encoder(vocabulary: str | None = None, pattern: str | None = None) -> Encoder:
+    """One encoder for each Python worker. The default vocabulary is found where the worker is, not where the driver is."""
+    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     if (vocabulary, pattern) not in _encoders:
         _encoders[vocabulary, pattern] = Encoder(vocabulary, pattern)
     return _encoders[vocabulary, pattern]
@@ -114,7 +115,6 @@ def default_pattern() -> str:
 
 def ids_column(text: Column, vocabulary: str | None = None, pattern: str | None = None) -> Column:
     """The token ids of a text column: an empty array for NULL and empty text, never NULL."""
-    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -127,7 +127,6 @@ def ids_column(text: Column, vocabulary: str | None = None, pattern: str | None
 
 def count_column(text: Column, vocabulary: str | None = None, pattern: str | None = None) -> Column:
     """The number of tokens of a text column; 0 for NULL and empty text."""
-    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
 
     @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -143,6 +142,6 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(``id_col``, ids): the ids of every row's whole text.
 
     One row for each row, repeated ids included. NULL and empty texts have an empty array. Other columns are ignored.
-    There is no shuffle: rows are encoded where the scan puts them.
+    Rows are encoded where ``df`` has them; the operator itself shuffles nothing.
     """
     return df.select(F.col(id_col), ids_column(F.col(text_col), vocabulary).alias("ids"))
