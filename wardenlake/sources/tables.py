@@ -16,7 +16,8 @@ def spread(df: DataFrame, bytes_per_core: int = SPREAD_BYTES_PER_CORE) -> DataFr
     """Give every core a share of a *small* input before a CPU-bound Python stage.
 
     A table of one row group is one task, whatever the cluster. The estimate of Catalyst decides:
-    beyond ``bytes_per_core`` for each core the scan has splits enough and nothing is shuffled.
+    beyond ``bytes_per_core`` for each core the scan has splits enough and nothing is shuffled. This changes
+    the plan and never the rows; a small input pays one shuffle of its columns for it.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
