@@ -109,11 +109,16 @@ def skeleton_column(text: Column, spark: SparkSession) -> Column:
     return run.asNondeterministic()(text)
 
 
+def _hash(column: str) -> Column:
+    """128 bits of SHA-256: no two texts of any corpus share them, also none that somebody made to."""
+    return F.unhex(F.substring(F.sha2(column, 256), 1, 32))
+
+
 def _hashed(df: DataFrame, id_col: str, text_col: str, by: list[str]) -> DataFrame:
     """(by..., id, look, content): the hashes of skeleton and text; NULL texts look like nothing and are left out."""
     text = F.col(text_col)
     rows = df.select(*by, F.col(id_col).alias("_id"), text.alias("_text"), skeleton_column(text, df.sparkSession).alias("_look")).filter("_text IS NOT NULL")
-    return rows.select(*by, "_id", F.unhex(F.sha2("_look", 256)).alias("_look"), F.unhex(F.sha2("_text", 256)).alias("_content"))
+    return rows.select(*by, "_id", _hash("_look").alias("_look"), _hash("_text").alias("_content"))
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str, by: list[str]) -> DataFrame:
