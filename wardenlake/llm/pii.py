@@ -55,6 +55,7 @@ STARTERS = set(
 )
 _FIRST = {n.lower(): g for names, g in ((FEMALE, "f"), (MALE, "m")) for n in names.split()}
 _FIRST |= {fold(n): g for n, g in _FIRST.items()}
+_FIRST_WORDS, _TITLE_WORDS = frozenset(_FIRST), frozenset(TITLES)
 
 _AT = r"(?: ?@ ?| ?[(\[{<] ?(?:at|a|arroba|arobase|chiocciola) ?[)\]}>] ?)"
 _AT_WORD = r" (?:at|arroba|arobase|chiocciola) "
@@ -213,6 +214,7 @@ _SMALL_WORDS = [
     [set("call phone ring ruf rufen rappelez appelez llama llame llaman llamen chiama chiami bel zadzwoń позвоните".split()), set("unter an al au on at op pod".split())],
     [set("regards wishes cheers thanks you best sincerely yours grüße grüßen grüsse grüssen gruss gruß dank cordialement vous saludo saludos atentamente gracias saluti cumprimentos groet groeten pozdrawiam уважением".split())],
 ]
+_SMALL_HINTS = frozenset().union(*[hints[-1] if len(hints) == 2 and "badge" in hints[-1] else hints[0] for hints in _SMALL_WORDS])
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-z]")
 _WHOLE_WORD = re.compile(r"[^\W\d_]+")
@@ -376,12 +378,16 @@ def _pairs_in(text: str, start: int, end: int) -> Iterator[tuple[re.Match, bool,
 def _unlisted(text: str, spans: _Spans, words: set[str]) -> None:
     """Names whose given name is in no list, by what stands around them."""
     for run in _CAPITALS.finditer(text):
+        if len([w for w in run[0].lower().replace(",", "").split() if w not in STARTERS]) < 2:
+            continue
         for m, loud, turned in _pairs_in(text, run.start(), run.end()):
             first, second = m["one"].lower(), m["two"].lower()
             if {first, second} & (STARTERS | _NOT_PERSONS) or first in TITLES or second in TITLES or not _is_family(second) or len(second) < 3:
                 continue
             if _shown(text, m.start(), m.end("all"), loud, turned):
                 spans.add(m.start(), m.end("all"), "name")
+    if words.isdisjoint(_SMALL_HINTS):
+        return
     low = text.lower()
     for rx, hints in zip(_SMALL, _SMALL_WORDS, strict=True) if len(low) == len(text) else ():
         for m in rx.finditer(low) if not any(words.isdisjoint(h) for h in hints) else ():
@@ -393,7 +399,7 @@ def _unlisted(text: str, spans: _Spans, words: set[str]) -> None:
 
 
 def _names(text: str, spans: _Spans, given: dict[str, str], words: set[str]) -> None:
-    for m in _TITLED.finditer(text) if not words.isdisjoint(TITLES) else ():
+    for m in _TITLED.finditer(text) if not words.isdisjoint(_TITLE_WORDS) else ():
         title, word = m[1], m[2]
         first = word.rpartition(" ")[2] or word
         if title.lower() == "don" and title != "Don":
@@ -410,7 +416,7 @@ def _names(text: str, spans: _Spans, given: dict[str, str], words: set[str]) ->
         if text[end : end + 1] == "-" and text[end + 1 : end + 2].isdigit():
             continue
         spans.add(start, end, "name")
-    if not words.isdisjoint(given) or any("-" in g and g.partition("-")[0] in words for g in given.keys() - _FIRST.keys()):
+    if not words.isdisjoint(_FIRST_WORDS if given is _FIRST else {part for g in given for part in (g, g.partition("-")[0])}):
         known = [t for t in _TOKENS.finditer(text) if (low := t[0].lower()) in given or ("-" in low and low.partition("-")[0] in given)]
         if ", " in text:
             for rx in _FAMILY_GIVEN:
