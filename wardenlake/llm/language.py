@@ -324,17 +324,24 @@ def sample_labelled(df: DataFrame, id_col: str, text_col: str, label: Column, ro
     return sorted((r["_text"], r["_label"]) for r in picked.orderBy("_chance", "_text", "_label").limit(2 * rows).select("_text", "_label").collect())
 
 
-def labelled_pieces(script: Script, labelled: list[tuple[str, str]], order: int = ORDER) -> list[tuple[str, str]]:
-    """(plain piece, language) from labels that may be wrong and from texts that may mix languages.
+Halves = tuple[list[tuple[str, str]], list[tuple[str, str]]]
 
-    Pieces first take their text's label. Each half of them is then labelled by the votes of the other half's n-grams, so that no piece votes for
-    itself, until no label changes or for ``LABEL_ROUNDS`` rounds. Labels without a piece of their own vanish.
+
+def labelled_pieces(script: Script, labelled: list[tuple[str, str]], order: int = ORDER) -> Halves:
+    """Two halves of (plain piece, language) from labels that may be wrong and from texts that may mix languages.
+
+    Pieces first take their text's label, which ``corrected`` then corrects. Labels without a piece of their own vanish.
     """
-    halves: tuple[list, list] = ([], [])
+    halves: Halves = ([], [])
     for n, (text, lang) in enumerate(labelled):
         for a, b in pieces_of(text):
             if plain := script.words_of(text[a:b]):
                 halves[(n * 2654435761 >> 7) % 2].append((plain, lang))
+    return corrected(halves, order)
+
+
+def corrected(halves: Halves, order: int = ORDER) -> Halves:
+    """The halves, each labelled by the votes of the other one's n-grams, so that no piece votes for itself, until no label changes or for ``LABEL_ROUNDS`` rounds."""
     for _ in range(LABEL_ROUNDS):
         if not all(halves):
             break
@@ -342,13 +349,14 @@ def labelled_pieces(script: Script, labelled: list[tuple[str, str]], order: int
         before, halves = halves, tuple([*_relabelled(h, m)] for h, m in zip(halves, reversed(models), strict=True))
         if before == halves:
             break
-    return halves[0] + halves[1]
+    return halves
 
 
 def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER) -> tuple[Model, Script]:
     """A model from labels that may be wrong and from texts that may mix languages."""
     script = script_of(spark)
-    return Model.fit(labelled_pieces(script, labelled, order), order), script
+    one, other = labelled_pieces(script, labelled, order)
+    return Model.fit(one + other, order), script
 
 
 def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: float = 0.02, sure_bits: float = 40.0) -> list[tuple[str, str]]:
