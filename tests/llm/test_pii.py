@@ -134,3 +134,19 @@ def test_double_and_foreign_names_are_found(table):
     got = pii.find("Anne-Marie Dupont and Karl-Heinz Weber met Łukasz Kowalski. So did Weber, Karl-Heinz and Ł. Żukowski over an anna-lytic report.", table, given)
     assert [x[3] for x in got] == ["anne-marie dupont".replace(" ", "|").replace("-", " "), "karl heinz|weber", "łukasz|kowalski", "karl heinz|weber", "ł|zukowski"]
     assert [x[4] for x in got[:2]] == ["f", "m"]
+
+
+def test_letters_of_other_scripts_stay_apart():
+    for texts in (["김민준", "김민서", "박서준", "이도윤"], ["かな", "がな", "はな", "ばな", "ぱな"], ["Райкин", "Раикин"], ["田中", "田口", "龻中", "\u9fff中"], ["حسن", "حسين"], ["Müller", "Möller", "Miller"]):
+        got = _written(texts, "name")
+        assert len(set(got)) == len({pii.canonical(t, "name") for t in texts}) == len(texts) and not set(got) & set(texts)
+    assert pii.canonical("José Peña", "name") == pii.canonical("Jose\u0301 Pena", "name") and len(set(_written(["José Peña", "Jose Pena"], "name"))) == 1
+    assert all("가" <= c <= "힣" for c in _written(["김민준"], "name")[0])
+
+
+def test_odd_texts_do_not_crash(table):
+    s = Surrogates(b"k")
+    for text in ("", " ", "\x00", "Mr. ", "A. ", "- name: ", "Mr. \u0301\u0301", "ﬃ ﬁ Dr. ﬁnn Ǆivko", "+٤٤ ٢٠ ٧٩٤٦ ٠٢١٩", "Call " + "A" * 3000 + " " + "b" * 3000, "x@" * 500, "1" * 5000, "|".join(["Ann Lee"] * 300), "Mr. 𝒜𝓃𝓃𝒶 𝒦alholt", "İbrahim İnce asked", "İ. İnce, ß. ßen"):
+        marks = pii.marks_of(text, table, s)
+        redacted, replaced = pii.rewritten(text, marks)
+        assert isinstance(redacted, str) and isinstance(replaced, str) and all(a < b for a, b, *_ in marks)

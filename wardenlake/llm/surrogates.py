@@ -43,7 +43,7 @@ def _class_of(c: str) -> Sequence[str]:
         if c in sounds:
             return sounds
     if "一" <= c <= "鿿":
-        return _Range(0x4E00, 0x9FA6)
+        return _Range(0x4E00, 0xA000)
     if "가" <= c <= "힣":
         return _Range(0xAC00, 0xD7A4)
     kind, block = unicodedata.category(c), ord(c) & ~0x7F
@@ -68,15 +68,14 @@ class _Range(Sequence[str]):
 
 
 def base(c: str) -> str:
-    """A letter in lower case and without accents."""
-    return unicodedata.normalize("NFD", c.lower())[:1]
+    """A letter in lower case, a Latin or Greek one without accents; in other scripts marks tell letters apart."""
+    low = c.lower()[:1]
+    return unicodedata.normalize("NFD", low)[0] if "\x80" <= low < "\u0400" or "\u1e00" <= low < "\u2000" else low
 
 
 def fold(text: str) -> str:
     """In lower case, without accents and with single blanks: names and streets that differ in these only are the same."""
-    text = text.lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    text = text.lower() if text.isascii() else "".join(base(c) for c in text if not "\u0300" <= c < "\u0370")
     return " ".join(text.split())
 
 
@@ -189,16 +188,16 @@ def _spelt(plain: str, original: str, images: dict[int, str]) -> str:
 
 def _into(images: dict[int, str], start: int, run: str, image: str) -> None:
     """Places the image of a run whose accents may be characters of their own."""
-    at = [start + i for i, c in enumerate(run) if not unicodedata.combining(c)]
+    at = [start + i for i, c in enumerate(run) if not "\u0300" <= c < "\u0370"]
     for n, i in enumerate(at):
         images[i] = image[n] if n < len(at) - 1 else image[n:]
     for i, c in enumerate(run):
-        if unicodedata.combining(c):
+        if "\u0300" <= c < "\u0370":
             images[start + i] = ""
 
 
 def _letters(run: str) -> str:
-    return "".join(base(c) for c in run if not unicodedata.combining(c))
+    return "".join(base(c) for c in run if not "\u0300" <= c < "\u0370")
 
 
 _NAME_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
