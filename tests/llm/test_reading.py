@@ -46,6 +46,15 @@ def test_coverage_decides(spark, fitted, monkeypatch):
     assert with_coverage >= without + 5 and alone >= 70
 
 
+def test_rare_words_are_joined(spark, fitted, monkeypatch):
+    """The same grades, however many words are looked up in place."""
+    samples = table(spark, SF, "level_samples")
+    documents = table(spark, SF, "documents").select("doc_id", "text")
+    want = {r.id: r.grade for r in reading.grades(documents, "doc_id", "text", samples, fitted).collect()}
+    monkeypatch.setattr(reading, "HEAD_WORDS", 40)
+    assert {r.id: r.grade for r in reading.grades(documents, "doc_id", "text", samples, fitted).collect()} == want and len(want) > 800
+
+
 def test_languages_by_votes(spark):
     script = language.script_of(spark)
     labelled = [("The bot reads the note and it works.", "en")] * 8 + [("Der Bot liest die Notiz und es geht.", "de")] * 6 + [("The bot reads it.", "de")] * 2 + [("Der Bot liest.", "en")]
@@ -56,10 +65,10 @@ def test_languages_by_votes(spark):
 def test_cases(spark, fitted):
     samples = table(spark, SF, "level_samples")
     easy = "The bot reads the note. It works well now. We check the keys now."
-    rows = [(1, easy), (2, None), (3, ""), (4, " \n "), (5, "0a1b2c3d4e5f 0a1b2c3d4e5f"), (1, easy), (6, (easy + " ") * 3000), (None, easy)]
+    rows = [(1, easy), (2, None), (3, ""), (4, " \n "), (5, "0a1b2c3d4e5f 0a1b2c3d4e5f"), (1, easy), (6, (easy + " ") * 3000), (None, easy), (7, "Zzqx vvwy qqrt. Xxkj wwzt.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"grade": F.lit(0), "lang": F.lit("x"), "words": F.lit(0), "_row": F.lit(0)})
     got = reading.grades(df, "doc_id", "text", samples, fitted).collect()
-    assert sorted(str(r.id) for r in got) == ["1", "1", "6", "None"] and {r.grade for r in got} == {1}
+    assert sorted(str(r.id) for r in got) == ["1", "1", "6", "7", "None"] and {r.grade for r in got if r.id != 7} == {1} and all(1 <= r.grade <= 5 for r in got)
     assert reading.grades(df.limit(0), "doc_id", "text", samples, fitted).count() == 0
     assert reading.grades(df, "doc_id", "text", samples.limit(0), fitted).count() == 0
 

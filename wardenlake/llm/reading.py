@@ -161,23 +161,63 @@ def word_ranks(words: DataFrame) -> DataFrame:
     return vocabulary.join(ranks, ["lang", "freq"]).select("lang", "word", "rank", "freq", "beyond")
 
 
-def _features(rows: DataFrame, words: DataFrame, ranks: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """Each row of ``rows`` (_row, lang, sentences, ...) with its features. A word that the corpus lacks counts as rarer than its rarest."""
-    head = ranks.orderBy(F.desc("freq"), "lang", "word").limit(HEAD_WORDS).select("lang", "word", F.col("beyond").alias("_head"))
-    last = ranks.groupBy("lang").agg((F.max("beyond") + 1).alias("_last"))
-    met = words.join(F.broadcast(head), ["lang", "word"], "left")
-    common = met.filter("_head IS NOT NULL").select("_row", "n", F.col("_head").alias("beyond"))
-    rare = met.filter("_head IS NULL").join(ranks.select("lang", "word", "beyond"), ["lang", "word"], "left").join(F.broadcast(last), "lang", "left")
-    ranked = common.unionByName(rare.select("_row", "n", F.coalesce("beyond", "_last", F.lit(1.0)).alias("beyond")))
-    by_row = ranked.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("beyond", "n"))).alias("_ranks"), F.sum("n").alias("_words"))
+RANKED = "struct<beyond:array<double>,n:array<bigint>,rare:array<string>,rare_n:array<bigint>>"
+
+
+def _looked_up(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``rows`` with the ranks of their frequent words (_beyond, _n), and their other words (_rare, _rare_n), in place of words and counts."""
+    head: dict[str | None, dict[str, float]] = {}
+    for r in ranks.orderBy(F.desc("freq"), "lang", "word").limit(HEAD_WORDS).select("lang", "word", "beyond").collect():
+        head.setdefault(r["lang"], {})[r["word"]] = r["beyond"]
+    shared = rows.sparkSession.sparkContext.broadcast(head)
+
+    @F.pandas_udf(RANKED)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for langs, words, counts in batches:
+            out = []
+            for lang, w, c in zip(langs, words, counts, strict=True):
+                known, at, rare, rare_n = shared.value.get(lang, {}), {}, [], []
+                for word, n in zip(w, c.tolist(), strict=True):
+                    beyond = known.get(word)
+                    if beyond is None:
+                        rare.append(word)
+                        rare_n.append(n)
+                    else:
+                        at[beyond] = at.get(beyond, 0) + n
+                out.append((list(at), list(at.values()), rare, rare_n))
+            yield pd.DataFrame(out, columns=["beyond", "n", "rare", "rare_n"], dtype=object)
+
+    ranked = rows.select("*", run.asNondeterministic()("lang", "words", "counts").alias("_r"))
+    return ranked.select("*", F.col("_r.beyond").alias("_beyond"), F.col("_r.n").alias("_n"), F.col("_r.rare").alias("_rare"), F.col("_r.rare_n").alias("_rare_n")).drop("_r", "words", "counts")
+
+
+def _features(rows: DataFrame, ranks: DataFrame, all_ranked: bool, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """Each row of ``rows`` (_row, lang, sentences, words, counts, ...) with its features. A word that the corpus lacks counts as rarer than its rarest.
+
+    Frequent words have their ranks looked up where the rows are; the others are joined by the word. With ``all_ranked``, that every word is among the frequent ones,
+    there is nothing to join.
+    """
+    known = _looked_up(rows, ranks)
+    pairs = F.arrays_zip(F.col("_beyond").alias("beyond"), F.col("_n").alias("n"))
+    if all_ranked:
+        known = known.withColumn("_ranks", pairs)
+    else:
+        known = cut(known)
+        last = ranks.groupBy("lang").agg((F.max("beyond") + 1).alias("_last"))
+        rare = known.select("_row", "lang", F.inline(F.arrays_zip(F.col("_rare").alias("word"), F.col("_rare_n").alias("n"))))
+        rare = rare.join(ranks.select("lang", "word", "beyond"), ["lang", "word"], "left").join(F.broadcast(last), "lang", "left")
+        rare = rare.groupBy("_row").agg(F.collect_list(F.struct(F.coalesce("beyond", "_last", F.lit(1.0)).alias("beyond"), "n")).alias("_others"))
+        none = F.array().cast("array<struct<beyond:double,n:bigint>>")
+        known = known.join(rare, "_row", "left").withColumn("_ranks", F.concat(pairs, F.coalesce("_others", none))).drop("_others")
+    known = known.withColumn("_ranks", F.array_sort("_ranks")).withColumn("_words", F.aggregate("_ranks", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))
     start = F.struct(F.lit(0).cast("bigint").alias("upto"), *[F.lit(None).cast("double").alias(c) for c in COVERAGE])
 
     def step(a: Column, x: Column) -> Column:
         upto = a["upto"] + x["n"]
         return F.struct(upto.alias("upto"), *[F.coalesce(a[c], F.when(upto >= F.col("_words") * F.lit(s) - F.lit(1e-9), x["beyond"])).alias(c) for c, s in zip(COVERAGE, shares, strict=True)])
 
-    covered = by_row.select("_row", "_words", F.aggregate("_ranks", start, step).alias("_c"))
-    return rows.join(covered.select("_row", "_words", *[f"_c.{c}" for c in COVERAGE]), "_row").withColumn("sentence", F.log(F.col("_words") / F.col("sentences")))
+    covered = known.withColumn("_c", F.aggregate("_ranks", start, step)).withColumn("sentence", F.log(F.col("_words") / F.col("sentences")))
+    return covered.select("*", *[f"_c.{c}" for c in COVERAGE]).drop("_c", "_ranks", "_beyond", "_n", "_rare", "_rare_n", "_words")
 
 
 def _profiles(samples: DataFrame) -> tuple[DataFrame, list[list[float]]]:
@@ -199,20 +239,20 @@ def grades(df: DataFrame, id_col: str, text_col: str, samples: DataFrame, fitted
     """(id, grade): the grade whose profile the features of a document are nearest to, ties to the lower grade.
 
     ``samples`` has lang, grade and text. NULL, empty and blank texts, and texts without a running line, have no row; repeated rows have theirs
-    each. A language without samples is compared with the profiles over all languages. Without samples there is no row.
+    each. A language without samples, or a text without a known word, is compared with the profiles over all languages. Without samples there is no row.
     """
     spark = df.sparkSession
     docs = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL"))
     rows = docs.select("_id", prepared_column(F.col("_text"), spark, fitted).alias("p")).filter("p.words IS NOT NULL")
-    rows = cut(rows.select("_id", "p.*").withColumn("_row", F.monotonically_increasing_id()))
+    # texts without a known word are ranked among themselves
+    rows = cut(rows.select("_id", "p.*").withColumns({"lang": F.coalesce("lang", F.lit("und")), "_row": F.monotonically_increasing_id()}))
     graded = samples.select(F.col("grade").cast("bigint").alias("grade"), F.col("text").alias("_text"), F.lower("lang").alias("_lang")).filter("_text IS NOT NULL AND grade IS NOT NULL")
     graded = graded.select("grade", prepared_column(F.col("_text"), spark, fitted, F.col("_lang")).alias("p")).filter("p.words IS NOT NULL")
     graded = cut(graded.select("grade", "p.*").withColumn("_row", F.monotonically_increasing_id()))
-    words, sample_words = (x.select("_row", "lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))) for x in (rows, graded))
-    ranks = cut(word_ranks(words))
-    profiles, inverse = _profiles(cut(_features(graded.drop("words", "counts"), sample_words, ranks)))
+    ranks = cut(word_ranks(rows.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))))
+    profiles, inverse = _profiles(cut(_features(graded, ranks, False)))
     profiles = cut(profiles)
-    documents = _features(rows.drop("words", "counts"), words, ranks)
+    documents = _features(rows, ranks, ranks.count() <= HEAD_WORDS)
     whole = profiles.filter("lang IS NULL").first()
     if whole is None:
         return documents.filter(F.lit(False)).select(F.col("_id").alias("id"), F.lit(None).cast("bigint").alias("grade"))
