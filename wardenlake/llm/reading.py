@@ -209,7 +209,7 @@ def _features(rows: DataFrame, ranks: DataFrame, all_ranked: bool, shares: tuple
         rare = rare.groupBy("_row").agg(F.collect_list(F.struct(F.coalesce("beyond", "_last", F.lit(1.0)).alias("beyond"), "n")).alias("_others"))
         none = F.array().cast("array<struct<beyond:double,n:bigint>>")
         known = known.join(rare, "_row", "left").withColumn("_ranks", F.concat(pairs, F.coalesce("_others", none))).drop("_others")
-    known = known.withColumn("_ranks", F.array_sort("_ranks")).withColumn("_words", F.aggregate("_ranks", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))
+    known = known.withColumn("_ranks", F.sort_array("_ranks")).withColumn("_words", F.aggregate("_ranks", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))
     start = F.struct(F.lit(0).cast("bigint").alias("upto"), *[F.lit(None).cast("double").alias(c) for c in COVERAGE])
 
     def step(a: Column, x: Column) -> Column:
