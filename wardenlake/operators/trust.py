@@ -48,7 +48,7 @@ def _identity() -> Column:
 
 def _folded(runs: DataFrame) -> DataFrame:
     """The next level: runs of ``FAN`` neighbours of an agent folded into one."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "run")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "run")))
     folded = runs.groupBy("agent_id", F.floor(F.col("at") / FAN).cast("bigint").alias("up")).agg(ordered.alias("_runs"))
     return folded.select("agent_id", F.col("up").alias("at"), F.aggregate("_runs", _identity(), lambda a, x: _then(a, x["run"])).alias("run"))
 
@@ -70,7 +70,7 @@ def current(ops: DataFrame, initial: float = INITIAL, low: float = LOWEST, high:
     """(agent_id, score): the score after all operations (seq, agent_id, delta) in the order of seq."""
     top = _levels(ops, low, high)[-1]
     # negative and positive seqs meet at most once at the top: fold what is left
-    runs = top.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("at", "run"))).alias("_runs"))
+    runs = top.groupBy("agent_id").agg(F.sort_array(F.collect_list(F.struct("at", "run"))).alias("_runs"))
     return runs.select("agent_id", F.aggregate("_runs", F.lit(float(initial)), lambda x, r: _applied(r["run"], x)).alias("score"))
 
 
@@ -81,8 +81,9 @@ def history(ops: DataFrame, initial: float = INITIAL, low: float = LOWEST, high:
     for depth in range(len(levels) - 1, -1, -1):
         up = F.lit(None).cast("bigint") if depth == len(levels) - 1 else F.floor(F.col("at") / FAN).cast("bigint")
         carried = ("at", "run") if depth else ("at", "run", "factors")
-        # maps have no order, so the elements are compared by their place in the log only
-        ordered = F.array_sort(F.collect_list(F.struct(*carried)), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1))
+        listed = F.collect_list(F.struct(*carried))
+        # maps have no order, so at the bottom the elements are compared by their place in the log only
+        ordered = F.sort_array(listed) if depth else F.array_sort(listed, lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1))
         runs = levels[depth].withColumn("up", up).groupBy("agent_id", "up").agg(ordered.alias("_runs"))
         met = runs.alias("r").join(starts.alias("s"), _same("r", "s", ["agent_id", "up"])).select("r.agent_id", "r._runs", "s.start")
         first = F.struct(F.col("start").alias("x"), F.array().cast("array<double>").alias("all"))
