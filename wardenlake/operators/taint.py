@@ -131,7 +131,7 @@ def replay(ops: DataFrame, rounds: int = ROUNDS) -> Replay:
     clean = F.when((F.col("kind") == "sanitize") & (F.col("role") == "from"), F.lit(1)).otherwise(F.lit(0))
     # a propagation touching one id twice has two rows of one seq, neither of which begins an epoch
     touched = cut(running_sums(touched, ["id"], "seq", {"epoch": clean}).withColumn("epoch", F.col("epoch").cast("bigint")))
-    epochs = cut(touched.groupBy(F.col("id").alias("data_id")).agg(F.max("epoch").alias("epoch")))
+    epochs = touched.groupBy(F.col("id").alias("data_id")).agg(F.max("epoch").alias("epoch"))
     marks = touched.filter("kind = 'mark' AND role = 'from'").select(F.col("id").alias("data_id"), "epoch", "source_id", "seq")
     of = {r: touched.filter(f"kind = 'propagate' AND role = '{r}'") for r in ("from", "to")}
     edges = of["from"].select("seq", F.col("id").alias("data_id"), "epoch", "operation").join(of["to"].select("seq", F.col("id").alias("to_id"), F.col("epoch").alias("to_epoch")), "seq")
@@ -148,7 +148,7 @@ def replay(ops: DataFrame, rounds: int = ROUNDS) -> Replay:
         found.append(fresh)
     else:
         found.append(cut(_followed(fresh, edges)))
-    facts = cut(reduce(DataFrame.unionByName, found).groupBy(*FACT).agg(F.min("since").alias("since")))
+    facts = reduce(DataFrame.unionByName, found).groupBy(*FACT).agg(F.min("since").alias("since"))
     live = edges.join(facts.groupBy(*NODE).agg(F.min("since").alias("since")), NODE).filter("since < seq")
     entries = marks.select(*NODE).unionByName(facts.select(*NODE)).distinct().join(epochs, NODE).select("data_id")
     return Replay(facts, live.select("seq", "data_id", F.col("to_id").alias("to_data_id"), "operation"), epochs, entries)
