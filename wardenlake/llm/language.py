@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenlake.llm import confusables
+from wardenlake.plans.lineage import cut
 
 ORDER = 5
 #: About so many labelled rows are fitted, at one rate for all labels; the rest of the corpus is scored, not fitted.
@@ -36,6 +37,10 @@ KNOWN_PIECES = 100_000
 SWITCH_BITS = 24.0
 #: Bytes scored at once.
 CHUNK = 200_000
+#: Distinct pieces or windows that a task holds before it hands them on; only speed depends on it.
+HELD = 2_000_000
+#: In a window, the bytes before its piece; UTF-8 has no such byte.
+BEFORE = 255
 
 # ISO 639 codes of two and three letters, and names in use for the languages.
 LANGUAGES = """
@@ -209,6 +214,50 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, (table[where] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
+def _low(keys: np.ndarray, k: int) -> np.ndarray:
+    """The last k+1 bytes of windows."""
+    return keys & np.uint64((1 << (8 * k + 8)) - 1)
+
+
+def windows(pieces: Iterable[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of pieces that aren't empty, the number of it and the ``order`` bytes before it; and where pieces begin."""
+    data, begins, starts = _packed(pieces)
+    depth = np.arange(len(data)) - begins
+    key = data.astype(np.uint64)
+    for k in range(1, order + 1):
+        moved = np.full(len(data), BEFORE, np.uint64)
+        moved[k:] = data[:-k]
+        moved[depth < k] = BEFORE
+        key |= moved << np.uint64(8 * k)
+    return key[depth > 0], starts - np.arange(len(starts))
+
+
+def distinct_windows(pieces: Iterable[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows of pieces, sorted; which of them each byte has; and where pieces begin."""
+    keys, starts = windows(pieces, order)
+    return *np.unique(keys, return_inverse=True), starts
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's numbers."""
+    if not len(keys):
+        return keys, n
+    at = np.argsort(keys)
+    keys = keys[at]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[at], first)
+
+
+def of_all_orders(keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """How often the n-grams of every order are there, from counts of windows of the highest."""
+    out = []
+    for k in range(order + 1):
+        low = _low(keys, k)
+        within = low >> np.uint64(8 * k) != BEFORE
+        out.append(summed(low[within], n[within]))
+    return out
+
+
 class Model:
     """Frozen context trees of several languages."""
 
@@ -219,14 +268,19 @@ class Model:
     def votes(cls, labelled: list[tuple[str, str]], order: int = ORDER) -> Model:
         """A model whose "code length" is -log2 of the label's share of an n-gram, for correcting labels: a wrong label is outvoted
         wherever its n-grams mostly carry another one."""
-        languages, counted = cls._counted(labelled, order)
+        return cls.votes_of(*cls._counted(labelled, order), order)
+
+    @classmethod
+    def votes_of(cls, languages: list[str], counted: list, order: int = ORDER) -> Model:
+        """The same from counts: for each language and order the n-grams, sorted, and how often they are there."""
         grams, contexts = [], []
         for k in range(order + 1):
             keys = np.unique(np.concatenate([c[k][0] for c in counted]))
             n = np.full((len(keys), len(languages)), 0.5)
             for i, c in enumerate(counted):
                 n[np.searchsorted(keys, c[k][0]), i] += c[k][1]
-            grams.append((keys, -np.log2(n / n.sum(axis=1, keepdims=True)).astype(np.float32)))
+            n /= n.sum(axis=1, keepdims=True)
+            grams.append((keys, -np.log2(n, out=n).astype(np.float32)))
             contexts.append((np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32)))
         return cls(languages, grams, contexts)
 
@@ -241,7 +295,11 @@ class Model:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]], order: int = ORDER) -> Model:
-        languages, counted = cls._counted(labelled, order)
+        return cls.of_counts(*cls._counted(labelled, order), order)
+
+    @classmethod
+    def of_counts(cls, languages: list[str], counted: list, order: int = ORDER) -> Model:
+        """The trees of n-grams that are counted already, as ``votes_of`` takes them."""
         grams, contexts, below = [], [], None
         for k in range(order + 1):
             keys = np.unique(np.concatenate([c[k][0] for c in counted])) if counted else np.zeros(0, np.uint64)
@@ -283,6 +341,26 @@ class Model:
                 group, size = [], 0
         return out
 
+    def bits_of_windows(self, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The code length of pieces read as ``distinct_windows``, each distinct window looked up once."""
+        cost = np.zeros((len(distinct), len(self.languages)), np.float32)
+        todo = np.arange(len(distinct))
+        for k in range(len(self.grams) - 1, -1, -1):
+            key = _low(distinct[todo], k)
+            within = key >> np.uint64(8 * k) != BEFORE
+            at, hit = _at(self.grams[k][0], key)
+            hit &= within
+            cost[todo[hit]] += self.grams[k][1][at[hit]]
+            missed = within & ~hit
+            if k:
+                ctx_at, ctx_hit = _at(self.contexts[k][0], key >> np.uint64(8))
+                ctx_hit &= missed
+                cost[todo[ctx_hit]] += self.contexts[k][1][ctx_at[ctx_hit]]
+            else:
+                cost[todo[missed]] += 8 + (self.contexts[0][1][0] if len(self.contexts[0][1]) else 0)
+            todo = todo[~hit]
+        return np.add.reduceat(cost[where], starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, len(self.languages)))
+
     def _bits(self, pieces: list[str]) -> np.ndarray:
         data, begins, starts = _packed(pieces)
         cost = np.zeros((len(data), len(self.languages)), np.float32)
@@ -352,6 +430,152 @@ def corrected(halves: Halves, order: int = ORDER) -> Halves:
     return halves
 
 
+def count_pieces(texts: DataFrame, script: Script) -> DataFrame:
+    """(half, piece, lang, n): how often the plain pieces of all (id, text, lang) are there, a row's pieces all in the half of its hash.
+
+    Tasks count before anything is shuffled. The result is written as a table, as every round of correcting reads it.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(script)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = shared.value
+        held: dict[tuple, int] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(*k, n) for k, n in held.items()], columns=["half", "piece", "lang", "n"])
+
+        for batch in batches:
+            for text, lang, half in zip(batch["text"], batch["lang"], batch["half"], strict=True):
+                for a, b in pieces_of(text):
+                    if piece := plain.words_of(text[a:b]):
+                        key = (half, piece, lang)
+                        held[key] = held.get(key, 0) + 1
+            if len(held) > HELD // 10:
+                yield out()
+                held.clear()
+        yield out()
+
+    rows = texts.select("text", "lang", F.pmod(F.xxhash64("id", "text"), F.lit(2)).cast("int").alias("half")).filter("text IS NOT NULL")
+    counted = rows.mapInPandas(run, "half int, piece string, lang string, n bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = cut(counted.repartition(parts, "piece").groupBy("half", "piece", "lang").agg(F.sum("n").alias("n")))
+    shared.destroy()
+    return out
+
+
+def sum_windows(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of (key, n), sorted, and their sums. What reaches the driver grows with the different windows, not with the rows."""
+    got = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return summed(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy())
+
+
+def hold_windows(counted: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Counts of windows as rows (key, n), brought together in the task as far as it can hold them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+
+    for keys, n in counted:
+        held.append((keys, n))
+        size += len(keys)
+        if size > HELD:
+            held = [out()]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield pd.DataFrame({"key": held[0][0].view(np.int64), "n": held[0][1]})
+                held, size = [], 0
+    if held:
+        keys, n = out()
+        yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
+
+
+#: The labels of pieces of one half: (their rows, distinct windows, which of them each byte has, where pieces begin) -> numbers of languages, less than 0 for none.
+Labels = Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Counts = list[list[tuple[np.ndarray, np.ndarray]]]
+_WINDOW_BITS = np.uint64(8 * ORDER + 8)
+
+
+def _in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of pieces of one half, about ``CHUNK`` characters at once, with their windows."""
+    for batch in batches:
+        for _, of_half in batch.groupby("half"):
+            part = of_half["piece"].str.len().cumsum().to_numpy() // CHUNK
+            ends = [0, *(np.flatnonzero(np.diff(part)) + 1), len(of_half)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                rows = of_half.iloc[a:b]
+                yield rows, *distinct_windows(rows["piece"])
+
+
+def count_windows(pieces: DataFrame, languages: list[str], labels: Labels) -> Counts:
+    """For each half and language the windows and how often they are there, with each piece labelled by ``labels``."""
+    shared = pieces.sparkSession.sparkContext.broadcast(labels)
+    width = len(languages)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for rows, distinct, where, starts in _in_chunks(batches):
+                label = np.repeat(shared.value(rows, distinct, where, starts), sizes := np.diff(np.append(starts, len(where))))
+                times = np.repeat(rows["n"].to_numpy(), sizes)
+                first = int(rows["half"].iloc[0]) * width
+                for i in range(width):
+                    own = label == i
+                    if own.any():
+                        n = np.bincount(where[own], times[own], len(distinct))
+                        there = np.flatnonzero(n)
+                        yield distinct[there] | np.uint64(first + i) << _WINDOW_BITS, n[there].astype(np.int64)
+
+        return hold_windows(counted())
+
+    keys, n = sum_windows(pieces.mapInPandas(run, "key bigint, n bigint"))
+    shared.destroy()
+    ends = np.searchsorted(keys >> _WINDOW_BITS, np.arange(2 * width + 1))
+    each = [(_low(keys[a:b], ORDER), n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [each[:width], each[width:]]
+
+
+@dataclass
+class AsLabelled:
+    languages: list[str]
+
+    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return rows["lang"].map({lang: i for i, lang in enumerate(self.languages)}).fillna(-1).to_numpy().astype(np.int64)
+
+
+@dataclass
+class AsVoted:
+    """By the votes of the other half."""
+
+    votes: list[Model]
+
+    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return self.votes[1 - rows["half"].iloc[0]].bits_of_windows(distinct, where, starts).argmin(axis=1)
+
+
+def corrected_counts(pieces: DataFrame, languages: list[str], counts: Counts) -> Counts:
+    """What ``corrected`` does, for pieces that are rows. ``counts`` are those of their labels so far.
+
+    Votes depend on the counts alone, and so do the next labels: where a round leaves the counts as they were, no further one changes a label.
+    """
+    for _ in range(LABEL_ROUNDS):
+        if not all(any(len(keys) for keys, _ in half) for half in counts):
+            break
+        votes = [Model.votes_of(languages, [of_all_orders(*c) for c in half]) for half in counts]
+        before, counts = counts, count_windows(pieces, languages, AsVoted(votes))
+        if all(np.array_equal(a, b) for old, new in zip(before, counts, strict=True) for x, y in zip(old, new, strict=True) for a, b in zip(x, y, strict=True)):
+            break
+    return counts
+
+
+def model_of(languages: list[str], counts: Counts) -> Model:
+    """The trees of both halves; a language without a piece vanishes."""
+    both = [summed(*map(np.concatenate, zip(*c, strict=True))) for c in zip(*counts, strict=True)]
+    used = [i for i, (keys, _) in enumerate(both) if len(keys)]
+    return Model.of_counts([languages[i] for i in used], [of_all_orders(*both[i]) for i in used])
+
+
 def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER) -> tuple[Model, Script]:
     """A model from labels that may be wrong and from texts that may mix languages."""
     script = script_of(spark)
@@ -359,30 +583,52 @@ def fit(spark: SparkSession, labelled: list[tuple[str, str]], order: int = ORDER
     return Model.fit(one + other, order), script
 
 
-def pseudo_labels(fitted: tuple[Model, Script], texts: list[str], least_share: float = 0.02, sure_bits: float = 40.0) -> list[tuple[str, str]]:
-    """The plain pieces of texts of another kind with the languages that the model gives them.
+@dataclass
+class AsAdapted:
+    """The languages that a model gives the pieces of texts of another kind.
 
-    A language is in use if it wins at least ``least_share`` of the pieces that are won by ``sure_bits``; any other has only the pieces that it wins
-    so surely itself. Fitting once more with these labels takes a model to the wording of texts that nobody labelled.
+    A language in use may win any piece; any other has only the pieces that it wins surely itself. Fitting once more with these labels takes a model to the
+    wording of texts that nobody labelled.
     """
-    model, script = fitted
-    pieces: dict[str, int] = {}
-    for t in texts:
-        for a, b in pieces_of(t):
-            if plain := script.words_of(t[a:b]):
-                pieces[plain] = pieces.get(plain, 0) + 1
-    bits = model.bits(list(pieces))
-    if not len(bits):
-        return []
-    ranked = np.sort(bits, axis=1)
-    sure = ranked[:, 1] - ranked[:, 0] >= sure_bits if bits.shape[1] > 1 else np.ones(len(bits), bool)
-    n = np.array(list(pieces.values()))
-    won = np.bincount(bits.argmin(axis=1)[sure], weights=n[sure], minlength=len(model.languages))
-    used = won >= least_share * max(won.sum(), 1)
-    if not used.any():
-        return []
-    best = np.where(used | sure[:, None], bits, np.inf).argmin(axis=1)
-    return [(p, model.languages[j]) for j, (p, times) in zip(best, pieces.items(), strict=True) for _ in range(times)]
+
+    model: Model
+    number: np.ndarray
+    used: np.ndarray
+    sure_bits: float
+
+    def scored(self, *read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' code lengths, and which are won surely."""
+        bits = self.model.bits_of_windows(*read)
+        if bits.shape[1] < 2:
+            return bits, np.ones(len(bits), bool)
+        ranked = np.partition(bits, 1, axis=1)
+        return bits, ranked[:, 1] - ranked[:, 0] >= self.sure_bits
+
+    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if not self.used.any():
+            return np.full(len(rows), -1)
+        bits, sure = self.scored(distinct, where, starts)
+        return self.number[np.where(self.used | sure[:, None], bits, np.inf).argmin(axis=1)]
+
+
+def as_adapted(model: Model, languages: list[str], pieces: DataFrame, least_share: float = 0.02, sure_bits: float = 40.0) -> AsAdapted:
+    """A language is in use if it wins at least ``least_share`` of all the pieces that are won by ``sure_bits``."""
+    number = np.array([languages.index(x) for x in model.languages], np.int64)
+    won = np.zeros(len(number))
+    out = AsAdapted(model, number, won > 0, sure_bits)
+    if len(number):
+        shared = pieces.sparkSession.sparkContext.broadcast(out)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows, *read in _in_chunks(batches):
+                bits, sure = shared.value.scored(*read)
+                yield pd.DataFrame({"lang": bits.argmin(axis=1)[sure], "n": rows["n"].to_numpy()[sure]})
+
+        for r in pieces.mapInPandas(run, "lang int, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).collect():
+            won[r["lang"]] = r["n"]
+        shared.destroy()
+    out.used = (won > 0) & (won >= least_share * won.sum())
+    return out
 
 
 def _relabelled(pieces: list[tuple[str, str]], model: Model) -> Iterator[tuple[str, str]]:

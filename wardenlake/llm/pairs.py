@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenlake.llm import language
+from wardenlake.plans.lineage import cut, drop
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 #: Bytes of compressed response, beyond a frame's own, up to which it holds nothing new; what words before a repeated prompt may take; and up to
@@ -36,10 +37,6 @@ END_BITS, LISTED_BITS = 6.5, 15.0
 END_ORDER = 7
 #: Bits by which another language must win.
 LANGUAGE_BITS = 16.0
-#: About so many rows fit the model of endings.
-FIT_ROWS = 20_000
-#: About so many pairs take the language model to their wording.
-ADAPT_ROWS = 4_000
 
 # Placeholders that say nothing.
 PLACEHOLDERS = set("null none nil nan n/a na tbd todo undefined empty blank placeholder answer response output text leer vide vacío".split())
@@ -209,40 +206,90 @@ class Endings:
     def __init__(self, texts: list[str]) -> None:
         self.model = language.Model.fit([(_ending(t) + "\0", "any") for t in texts], END_ORDER)
 
+    @classmethod
+    def of_counts(cls, keys: np.ndarray, n: np.ndarray) -> Endings:
+        """From counts of windows. N-grams that don't end a text are left out, as only the end's code length is asked for."""
+        out = cls.__new__(cls)
+        out.model = language.Model.of_counts(["any"], [language.of_all_orders(keys, n, END_ORDER)], END_ORDER)
+        ends = [grams & np.uint64(255) == 0 for grams, _ in out.model.grams]
+        out.model.grams = [(grams[end], cost[end]) for (grams, cost), end in zip(out.model.grams, ends, strict=True)]
+        return out
+
     def bits(self, texts: list[str]) -> np.ndarray:
         """The code length of the end after each text."""
         ended = [_ending(t)[-4 * END_ORDER :] for t in texts]
         return (self.model.bits([e + "\0" for e in ended]) - self.model.bits(ended))[:, 0]
 
 
-def sample_pairs(df: DataFrame, id_col: str, prompt_col: str, response_col: str, reference_col: str, rows: int = FIT_ROWS) -> list:
-    """About ``rows`` rows (p, o, e) of prompt, response and reference, in the order of the hash of their ids: one scan, at one rate.
+def all_pairs(df: DataFrame, prompt_col: str, response_col: str, reference_col: str) -> DataFrame:
+    """The prompts, responses and references of all rows as p, o and e."""
+    return df.select(F.col(prompt_col).alias("p"), F.col(response_col).alias("o"), F.col(reference_col).alias("e"))
 
-    More than twice as many come only where ids repeat; then those of the smallest hashes stay.
-    """
-    n = df.count()
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("pairs")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = df.select(chance.alias("_c"), F.col(prompt_col).alias("p"), F.col(response_col).alias("o"), F.col(reference_col).alias("e")).filter(F.col("_c") < rows / max(n, 1))
-    return picked.orderBy("_c", "p", "o", "e").limit(2 * rows).collect()
 
+def sample_pairs(df: DataFrame, id_col: str, prompt_col: str, response_col: str, reference_col: str) -> DataFrame:
+    """``all_pairs`` under the name that it had while the models were fitted on a sample."""
+    return all_pairs(df, prompt_col, response_col, reference_col)
+
+
+def fit_endings(known: DataFrame) -> Endings:
+    """Endings of all pairs: all references, and the responses that end with a full stop. Tasks count the endings' bytes; only the counts of different ones reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                texts: dict[str, int] = {}
+                for t in batch["e"]:
+                    if t:
+                        texts[t] = texts.get(t, 0) + 1
+                for t in batch["o"]:
+                    if t and _STOPPED.search(t) and not _CUT.search(t):
+                        texts[t] = texts.get(t, 0) + 1
+                finished = [(_ending(t) + "\0", n) for t, n in texts.items() if content(t)]
+                size = 0
+                group: list[tuple[str, int]] = []
+                for i, (t, n) in enumerate(finished):
+                    group.append((t, n))
+                    size += len(t)
+                    if size > language.CHUNK or i == len(finished) - 1:
+                        keys, starts = language.windows([t for t, _ in group], END_ORDER)
+                        yield language.summed(keys, np.repeat([n for _, n in group], np.diff(np.append(starts, len(keys)))))
+                        group, size = [], 0
+
+        return language.hold_windows(counted())
 
-def fit_endings(sample: list) -> Endings:
-    """Endings of sampled pairs: all references, and the responses that end with a full stop."""
-    texts = [r["e"] for r in sample if r["e"] and content(r["e"])] + [r["o"] for r in sample if r["o"] and _STOPPED.search(r["o"]) and not _CUT.search(r["o"]) and content(r["o"])]
-    return Endings([t for t in texts if len(t) < language.FIT_CHARS] or ["."])
+    keys, n = language.sum_windows(known.select("o", "e").mapInPandas(run, "key bigint, n bigint"))
+    return Endings.of_counts(keys, n) if len(keys) else Endings(["."])
 
 
-def adapted(spark: SparkSession, labelled: list[tuple[str, str]], sample: list, rows: int = ADAPT_ROWS) -> tuple:
-    """A language model of the pairs' own wording: fitted on labelled texts, then once more with the pieces of ``rows`` sampled pairs as that model labels them.
+def adapted(spark: SparkSession, labelled: DataFrame | list[tuple[str, str]], known: DataFrame) -> tuple:
+    """A language model of the pairs' own wording: fitted on all labelled (id, text, lang), or a list without ids, then once more with the pieces of all prompts and references as that model labels them.
 
     Every labelled language stays, as responses may be in one that no prompt is in.
     """
     script = language.script_of(spark)
-    halves = language.labelled_pieces(script, labelled)
-    texts = [t for r in sample[:rows] for t in (r["p"], r["e"]) if t and len(t) < language.FIT_CHARS]
-    own = language.pseudo_labels((language.Model.fit(halves[0] + halves[1]), script), texts)
-    one, other = language.corrected((halves[0] + own[::2], halves[1] + own[1::2]))
-    return language.Model.fit(one + other), script
+    if not isinstance(labelled, DataFrame):
+        labelled = spark.createDataFrame([(i, *x) for i, x in enumerate(labelled)], "id int, text string, lang string")
+    pieces = language.count_pieces(labelled.filter("lang IS NOT NULL"), script)
+    languages = sorted(r["lang"] for r in pieces.select("lang").distinct().collect())
+    counts = language.count_windows(pieces, languages, language.AsLabelled(languages))
+    counts = language.corrected_counts(pieces, languages, counts)
+    texts = known.select(F.lit(0).alias("id"), F.explode(F.array("p", "e")).alias("text"), F.lit(None).cast("string").alias("lang"))
+    raw = language.count_pieces(texts, script)
+    found = raw.groupBy("piece").agg(F.sum("n").alias("n"))
+    # repeats of a piece are in both halves by turns, an odd one where its hash says
+    odd = F.when(F.pmod(F.xxhash64("piece"), F.lit(2)) == F.col("half"), F.col("n") % 2).otherwise(0)
+    split = found.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", F.floor(F.col("n") / 2) + odd)
+    own = cut(split.filter("n > 0").select("half", "piece", F.lit(None).cast("string").alias("lang"), "n"))
+    drop(raw)
+    added = language.count_windows(own, languages, language.as_adapted(language.model_of(languages, counts), languages, own))
+    if any(len(keys) for half in added for keys, _ in half):
+        counts = [[language.summed(*map(np.concatenate, zip(*c, strict=True))) for c in zip(*halves, strict=True)] for halves in zip(counts, added, strict=True)]
+        counts = language.corrected_counts(pieces.unionByName(own), languages, counts)
+    else:
+        counts = language.corrected_counts(pieces, languages, counts)
+    drop(pieces)
+    drop(own)
+    return language.model_of(languages, counts), script
 
 
 def _broken_code(text: str) -> bool | None:

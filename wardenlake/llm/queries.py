@@ -126,19 +126,20 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.consistent_forms(_two_texts(spark, d), "seq", "content", ["tbl"])
 
 
-def _labelled(spark: SparkSession, d: str) -> list[tuple[str, str]]:
-    """Labelled samples of both corpora that say in which language they are."""
-    messages = table(spark, d, "messages").select("seq", "content", "lang")
-    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
-    code = language.code_column(F.col("lang"))
-    return language.sample_labelled(messages, "seq", "content", code) + language.sample_labelled(documents, "doc_id", "text", code, DOCUMENT_ROWS)
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, lang) of all rows of both corpora that say in which language they are."""
+    texts = [
+        spread(table(spark, d, t).select(F.col(i).cast("string").alias("id"), F.col(c).alias("text"), language.code_column(F.col("lang")).alias("lang")).filter("lang IS NOT NULL"))
+        for t, i, c in (("messages", "seq", "content"), ("documents", "doc_id", "text"))
+    ]
+    return texts[0].unionByName(texts[1])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    evals = table(spark, d, "evals").select("seq", "input", "output", "expected")
-    sample = pairs.sample_pairs(evals, "seq", "input", "output", "expected")
-    fitted = pairs.adapted(spark, _labelled(spark, d), sample)
-    return pairs.find_defects(spread(evals), "seq", "input", "output", fitted, pairs.fit_endings(sample))
+    evals = spread(table(spark, d, "evals").select("seq", "input", "output", "expected"))
+    known = pairs.all_pairs(evals, "input", "output", "expected")
+    fitted = pairs.adapted(spark, _labelled(spark, d), known)
+    return pairs.find_defects(evals, "seq", "input", "output", fitted, pairs.fit_endings(known))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
