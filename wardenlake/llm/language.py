@@ -33,10 +33,14 @@ LABEL_ROUNDS = 3
 HEADING_SHARE = 0.7
 #: Pieces that a worker keeps in plain form; only speed depends on it.
 KNOWN_PIECES = 100_000
+#: Pieces that a worker keeps with their code lengths; only speed depends on it.
+KNOWN_BITS = 20_000
 #: Bits that a change of language between two pieces costs.
 SWITCH_BITS = 24.0
 #: Bytes scored at once.
 CHUNK = 200_000
+#: Characters of the pieces in one row of ``read_windows``, and rows that a reader holds at once.
+READ_CHUNK, READ_ROWS = 1_000_000, 8
 #: Distinct pieces or windows that a task holds before it hands them on; only speed depends on it.
 HELD = 2_000_000
 #: In a window, the bytes before its piece; UTF-8 has no such byte.
@@ -78,16 +82,19 @@ ca cat catalan català
 """
 NAMES = {name: line.split()[0] for line in LANGUAGES.strip().splitlines() for name in line.split()}
 
-_PIECE = re.compile(r".+?(?:[.!?…]+[\"'”»)\]]*(?=\s)|[。！？]+|$)", re.M)
-_LATIN_RUN = r"[^\s、-ヿ一-鿿]*"
+#: What ends a piece. It begins with one set of characters, which a search finds much faster than alternatives.
+_END = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])[.!?…]*[\"'”»)\]]*(?=\s)|(?<=[。！？])[。！？]*|(?<=\n))")
+#: Numbers, which are in no plain form and tell no code; pieces that differ in them only are read once.
+FIGURES = re.compile("[0-9]+")
 _SPELT_AT = re.compile(r"[\[(] ?(?:at|arroba|arobase) ?[\])]")
 _SPELT_ADDRESS = re.compile(r"\S+ ?[\[(] ?(?:at|arroba|arobase) ?[\])] ?\S+(?: ?[\[(](?:dot|punto|point|punkt)[\])] ?\S+)*")
-_NOT_WORDS = re.compile(rf"https?://\S+|www\.\S+|<[^<>\s]*/?>|{_LATIN_RUN}[\d_@#\\|=<>{{}}\[\]^~`]{_LATIN_RUN}|[•*→]+")
+#: Runs with a mark are looked for where a run or, behind a tag, the rest of one begins, and read once.
+_NOT_WORDS = re.compile(r"https?://\S+|www\.\S+|<[^<>\s]*/?>|(?<![^\s、-ヿ一-鿿>])[^\s、-ヿ一-鿿\d_@#\\|=<>{}\[\]^~`]*+[\d_@#\\|=<>{}\[\]^~`][^\s、-ヿ一-鿿]*+|[•*→]+")
 # Abbreviations before names and numbers.
 _SHORT = re.compile(r"(?:^|[\s(¿])(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Mme|Mlle|Dr|Dra|Sr|Sra|Prof|Hr|Fr|St|Str|Apt|Tel|tel|Tél|tél|No|no|Nr|nr|n|ca|z\. ?B|bzw)\.$")
 _WORD = re.compile(r"[^\W\d_ぁ-ヿ一-鿿]{2,}|[ぁ-ヿ一-鿿]{2}")
 #: Capitalised words that don't begin the piece: names in most languages; German does without its nouns, in fitting and scoring alike.
-_NAMES = re.compile(r"(?<=[\w,;:)»”\"'’.-] )[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]*(?:[-'’][^\W\d_]+)*\.?")
+_NAMES = re.compile(r"[^\W\d_a-zà-öø-ÿа-яё](?<=[\w,;:)»”\"'’.-] .)[^\W\d_]*(?:[-'’][^\W\d_]+)*\.?")
 _INVISIBLE = frozenset(chr(c) for c in range(0x80, 0xE0080) if unicodedata.category(chr(c)) == "Cf")
 _NO_INVISIBLE = {ord(c): None for c in _INVISIBLE}
 _OTHER_ALPHABET = re.compile("[Ͱ-֏]")
@@ -95,6 +102,12 @@ _LATIN_LETTER = re.compile("[A-Za-z]")
 #: A line of names only, below a greeting.
 _SIGNATURE = re.compile(r"\s*[A-ZÀ-Þ][^\s\d]*(?:,? [A-ZÀ-Þ][^\s\d]*)+\s*")
 _CODE = re.compile(r"\bSELECT\b.*\bFROM\b|\b(?:INSERT INTO|DELETE FROM|UPDATE \w+ SET|CREATE TABLE)\b|^\s*[\[{].*[\]}]\s*$|^\s*(?:for|while|if|def|class|import|from|return)\b.*[:(=]\s*\S*$|^\s*\w+\(.*\)\s*;?\s*$|[{}]\s*$|\);\s*$|=>|::|\+=|&&|\|\|", re.S)
+#: A piece without any of these, and without "www.", has nothing for ``_NOT_WORDS`` and ``_SPELT_AT``, and isn't code but for the words of SQL.
+_ANY_MARK = re.compile(r"[\d_@#\\|=<>{}\[\]^~`•*→/()+&%$\";:]")
+#: Of these, what tells code, and what ASCII text needs more for than leaving out words with figures.
+_ANY_CODE = re.compile(r"[{}\[\]()<>=;_/\\|+*&^%$#@\"`~:]")
+_ANY_BUT_FIGURES = re.compile(r"[_@#\\|=<>{}\[\]^~`*/(]")
+_ANY_SQL = re.compile("SELECT|INSERT|DELETE|UPDATE|CREATE")
 _CODE_MARKS = re.compile(r"[{}\[\]()<>=;_/\\|+*&^%$#@\"`~]")
 
 
@@ -128,7 +141,7 @@ class Script:
         if text.isascii():
             return text
         text = unicodedata.normalize("NFKC", text)
-        if not _INVISIBLE.isdisjoint(text):
+        if not text.isprintable() and not _INVISIBLE.isdisjoint(text):
             text = text.translate(_NO_INVISIBLE)
         if _OTHER_ALPHABET.search(text):
             latin, other = sum(map(self.only_latin.__contains__, text)), sum(map(self.only_other.__contains__, text))
@@ -138,25 +151,34 @@ class Script:
                 text = re.sub(r"\w*[A-Za-z]\w*", lambda m: m[0].translate(self.cyrillic) if any(c >= "Ѐ" for c in m[0]) else m[0], text)
         return text
 
-    def plain(self, text: str) -> str:
-        """The piece in lower case and one alphabet, without names, figures and code words."""
-        text = self.alphabet(text)
-        if _SPELT_AT.search(text):
-            text = _SPELT_ADDRESS.sub(" ", text)
-        text = _NOT_WORDS.sub(" ", text)
+    def plain(self, given: str, clean: bool = False) -> str:
+        """The piece in lower case and one alphabet, without names, figures and code words. A clean one has no sign of ``_ANY_MARK``."""
+        text = self.alphabet(given)
+        if clean and text is given:
+            pass
+        elif text.isascii() and text.isprintable() and not _ANY_BUT_FIGURES.search(text) and "www." not in text:
+            text = " ".join([" " if "0" in w else w for w in FIGURES.sub("0", text).split(" ")])
+        else:
+            if _SPELT_AT.search(text):
+                text = _SPELT_ADDRESS.sub(" ", text)
+            text = _NOT_WORDS.sub(" ", text)
         if not text.isupper():
-            without = _NAMES.sub(" ", text)
-            words = text.split()
-            if len(words) < 4 or len(without.split()) > (1 - HEADING_SHARE) * len(words):
+            without, names = _NAMES.subn(" ", text)
+            if names and ((words := len(text.split())) < 4 or len(without.split()) > (1 - HEADING_SHARE) * words):
                 text = without
         return " ".join(text.lower().split())
 
     def words_of(self, piece: str) -> str:
         """The plain form of a piece, empty for code and where no word of a language is left."""
+        return self.words_without_figures(FIGURES.sub("0", piece))
+
+    def words_without_figures(self, piece: str) -> str:
+        """The same for a piece with 0 for each of its numbers."""
         known = self.__dict__.setdefault("_known", {})
         got = known.get(piece)
         if got is None:
-            got = "" if is_code(piece) else self.plain(piece)
+            clean = not _ANY_MARK.search(piece) and "www." not in piece
+            got = "" if is_code(piece, clean) else self.plain(piece, clean)
             got = got if _WORD.search(got) else ""
             if len(known) >= KNOWN_PIECES:
                 known.clear()
@@ -168,8 +190,10 @@ class Script:
         return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
 
-def is_code(piece: str) -> bool:
-    """Whether a piece is code or a payload rather than a sentence."""
+def is_code(piece: str, clean: bool = False) -> bool:
+    """Whether a piece is code or a payload rather than a sentence. A clean one has no sign of ``_ANY_MARK``."""
+    if (clean or not _ANY_CODE.search(piece)) and not _ANY_SQL.search(piece):
+        return False
     if _CODE.search(piece):
         return True
     letters = sum(map(str.isalpha, piece))
@@ -179,11 +203,20 @@ def is_code(piece: str) -> bool:
 def pieces_of(text: str) -> list[tuple[int, int]]:
     """Start and end of the sentences and lines of a text; an abbreviation ends no sentence."""
     out: list[tuple[int, int]] = []
-    for m in _PIECE.finditer(text):
-        if out and out[-1][1] == m.start() and _SHORT.search(text, max(out[-1][0], out[-1][1] - 8), out[-1][1]):
-            out[-1] = (out[-1][0], m.end())
-        elif m[0].strip():
-            out.append(m.span())
+    at, size, search = 0, len(text), _END.search
+    while at < size:
+        if text[at] == "\n":
+            at += 1
+            continue
+        m = search(text, at + 1)
+        end = m.end() if m else size
+        if m and text[end - 1] == "\n":
+            end -= 1
+        if out and out[-1][1] == at and text[at - 1] == "." and _SHORT.search(text, max(out[-1][0], at - 8), at):
+            out[-1] = (out[-1][0], end)
+        elif not text[at:end].isspace():
+            out.append((at, end))
+        at = end
     return out
 
 
@@ -341,6 +374,21 @@ class Model:
                 group, size = [], 0
         return out
 
+    def known_bits(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """``bits``, and the numbers of words, of distinct pieces, each looked up once as long as the worker keeps it."""
+        known = self.__dict__.setdefault("_known", {})
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > KNOWN_BITS:
+            known.clear()
+            new = pieces
+        known.update(zip(new, zip(self.bits(new), (len(_WORD.findall(p)) for p in new), strict=True), strict=True))
+        got = [known[p] for p in pieces]
+        return np.array([b for b, _ in got]).reshape(len(pieces), len(self.languages)), [n for _, n in got]
+
+    def __getstate__(self) -> dict:
+        """Without what a worker keeps."""
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
     def bits_of_windows(self, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The code length of pieces read as ``distinct_windows``, each distinct window looked up once."""
         cost = np.zeros((len(distinct), len(self.languages)), np.float32)
@@ -359,7 +407,12 @@ class Model:
             else:
                 cost[todo[missed]] += 8 + (self.contexts[0][1][0] if len(self.contexts[0][1]) else 0)
             todo = todo[~hit]
-        return np.add.reduceat(cost[where], starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(starts), len(self.languages)))
+        if len(starts):
+            each = np.empty(len(where))
+            for i, own in enumerate(np.ascontiguousarray(cost.T, dtype=np.float64)):  # one language at a time stays in the processor's cache
+                out[:, i] = np.add.reduceat(np.take(own, where, out=each, mode="clip"), starts)
+        return out
 
     def _bits(self, pieces: list[str]) -> np.ndarray:
         data, begins, starts = _packed(pieces)
@@ -446,9 +499,10 @@ def count_pieces(texts: DataFrame, script: Script) -> DataFrame:
             return pd.DataFrame([(*k, n) for k, n in held.items()], columns=["half", "piece", "lang", "n"])
 
         for batch in batches:
-            for text, lang, half in zip(batch["text"], batch["lang"], batch["half"], strict=True):
+            for text, lang, half in zip(batch["text"].tolist(), batch["lang"].tolist(), batch["half"].tolist(), strict=True):
+                text = FIGURES.sub("0", text)  # no piece begins or ends by a number
                 for a, b in pieces_of(text):
-                    if piece := plain.words_of(text[a:b]):
+                    if piece := plain.words_without_figures(text[a:b]):
                         key = (half, piece, lang)
                         held[key] = held.get(key, 0) + 1
             if len(held) > HELD // 10:
@@ -492,40 +546,76 @@ def hold_windows(counted: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[p
         yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
 
 
-#: The labels of pieces of one half: (their rows, distinct windows, which of them each byte has, where pieces begin) -> numbers of languages, less than 0 for none.
-Labels = Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+@dataclass
+class Chunk:
+    """Pieces of one half: the numbers of their languages, less than 0 for none; how often each is there; their distinct windows, which of them each byte has, and where pieces begin."""
+
+    half: int
+    lang: np.ndarray
+    n: np.ndarray
+    distinct: np.ndarray
+    where: np.ndarray
+    starts: np.ndarray
+
+
+#: The labels of a chunk's pieces as numbers of languages, less than 0 for none.
+Labels = Callable[[Chunk], np.ndarray]
 Counts = list[list[tuple[np.ndarray, np.ndarray]]]
 _WINDOW_BITS = np.uint64(8 * ORDER + 8)
+#: The columns of a chunk that is a row, and the numbers that their bytes are.
+_CHUNK_TYPES = {"lang": np.int16, "n": np.int64, "distinct": np.uint64, "sizes": np.uint32}
+
+
+def _place(distinct: np.ndarray) -> type:
+    return np.uint16 if len(distinct) <= 1 << 16 else np.uint32
 
 
-def _in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of pieces of one half, about ``CHUNK`` characters at once, with their windows."""
+def _chunks(batches: Iterator[pd.DataFrame], languages: list[str], size: int = CHUNK) -> Iterator[Chunk]:
+    """Rows of ``read_windows``, or of pieces: then about ``size`` characters of one half at once."""
+    number = {lang: i for i, lang in enumerate(languages)}
     for batch in batches:
-        for _, of_half in batch.groupby("half"):
-            part = of_half["piece"].str.len().cumsum().to_numpy() // CHUNK
+        if "piece" not in batch:
+            for half, where, *parts in zip(batch["half"].tolist(), batch["at"], *(batch[c] for c in _CHUNK_TYPES), strict=True):
+                lang, n, distinct, sizes = (np.frombuffer(x, t) for x, t in zip(parts, _CHUNK_TYPES.values(), strict=True))
+                yield Chunk(half, lang, n, distinct, np.frombuffer(where, _place(distinct)).astype(np.intp), np.cumsum(sizes, dtype=np.intp) - sizes)
+            continue
+        for half, of_half in batch.groupby("half"):
+            part = of_half["piece"].str.len().cumsum().to_numpy() // size
             ends = [0, *(np.flatnonzero(np.diff(part)) + 1), len(of_half)]
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 rows = of_half.iloc[a:b]
-                yield rows, *distinct_windows(rows["piece"])
+                lang = np.array([number.get(x, -1) for x in rows["lang"].tolist()], np.int16)
+                yield Chunk(int(half), lang, rows["n"].to_numpy(), *distinct_windows(rows["piece"]))
+
+
+def read_windows(pieces: DataFrame, languages: list[str]) -> DataFrame:
+    """The chunks of pieces as rows of a table, so that the rounds of correcting don't read the texts again."""
+    size = READ_CHUNK
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _chunks(batches, languages, size):
+            parts = (c.lang, c.n, c.distinct, np.diff(np.append(c.starts, len(c.where))))
+            yield pd.DataFrame({"half": [c.half], "at": [c.where.astype(_place(c.distinct)).tobytes()]} | {k: [x.astype(t).tobytes()] for (k, t), x in zip(_CHUNK_TYPES.items(), parts, strict=True)})
+
+    return cut(pieces.mapInPandas(run, "half int, at binary, " + ", ".join(f"{c} binary" for c in _CHUNK_TYPES)), READ_ROWS)
 
 
 def count_windows(pieces: DataFrame, languages: list[str], labels: Labels) -> Counts:
-    """For each half and language the windows and how often they are there, with each piece labelled by ``labels``."""
+    """For each half and language the windows and how often they are there, with each piece, of ``count_pieces`` or ``read_windows``, labelled by ``labels``."""
     shared = pieces.sparkSession.sparkContext.broadcast(labels)
     width = len(languages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for rows, distinct, where, starts in _in_chunks(batches):
-                label = np.repeat(shared.value(rows, distinct, where, starts), sizes := np.diff(np.append(starts, len(where))))
-                times = np.repeat(rows["n"].to_numpy(), sizes)
-                first = int(rows["half"].iloc[0]) * width
-                for i in range(width):
-                    own = label == i
-                    if own.any():
-                        n = np.bincount(where[own], times[own], len(distinct))
-                        there = np.flatnonzero(n)
-                        yield distinct[there] | np.uint64(first + i) << _WINDOW_BITS, n[there].astype(np.int64)
+            for c in _chunks(batches, languages):
+                label = shared.value(c).astype(np.intp)
+                size, sizes = len(c.distinct), np.diff(np.append(c.starts, len(c.where)))
+                # what has no label goes to a language behind the last one
+                cells = np.repeat(np.where(label < 0, width, label) * size, sizes) + c.where
+                n = np.bincount(cells, np.repeat(c.n.astype(np.float64), sizes), (width + 1) * size)[: width * size].reshape(width, size)
+                for i in np.unique(label[label >= 0]):
+                    there = np.flatnonzero(n[i])
+                    yield c.distinct[there] | np.uint64(c.half * width + i) << _WINDOW_BITS, n[i][there].astype(np.int64)
 
         return hold_windows(counted())
 
@@ -540,8 +630,8 @@ def count_windows(pieces: DataFrame, languages: list[str], labels: Labels) -> Co
 class AsLabelled:
     languages: list[str]
 
-    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return rows["lang"].map({lang: i for i, lang in enumerate(self.languages)}).fillna(-1).to_numpy().astype(np.int64)
+    def __call__(self, chunk: Chunk) -> np.ndarray:
+        return chunk.lang
 
 
 @dataclass
@@ -550,8 +640,8 @@ class AsVoted:
 
     votes: list[Model]
 
-    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return self.votes[1 - rows["half"].iloc[0]].bits_of_windows(distinct, where, starts).argmin(axis=1)
+    def __call__(self, chunk: Chunk) -> np.ndarray:
+        return self.votes[1 - chunk.half].bits_of_windows(chunk.distinct, chunk.where, chunk.starts).argmin(axis=1)
 
 
 def corrected_counts(pieces: DataFrame, languages: list[str], counts: Counts) -> Counts:
@@ -596,18 +686,18 @@ class AsAdapted:
     used: np.ndarray
     sure_bits: float
 
-    def scored(self, *read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scored(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' code lengths, and which are won surely."""
-        bits = self.model.bits_of_windows(*read)
+        bits = self.model.bits_of_windows(chunk.distinct, chunk.where, chunk.starts)
         if bits.shape[1] < 2:
             return bits, np.ones(len(bits), bool)
         ranked = np.partition(bits, 1, axis=1)
         return bits, ranked[:, 1] - ranked[:, 0] >= self.sure_bits
 
-    def __call__(self, rows: pd.DataFrame, distinct: np.ndarray, where: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def __call__(self, chunk: Chunk) -> np.ndarray:
         if not self.used.any():
-            return np.full(len(rows), -1)
-        bits, sure = self.scored(distinct, where, starts)
+            return np.full(len(chunk.n), -1)
+        bits, sure = self.scored(chunk)
         return self.number[np.where(self.used | sure[:, None], bits, np.inf).argmin(axis=1)]
 
 
@@ -620,9 +710,9 @@ def as_adapted(model: Model, languages: list[str], pieces: DataFrame, least_shar
         shared = pieces.sparkSession.sparkContext.broadcast(out)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows, *read in _in_chunks(batches):
-                bits, sure = shared.value.scored(*read)
-                yield pd.DataFrame({"lang": bits.argmin(axis=1)[sure], "n": rows["n"].to_numpy()[sure]})
+            for c in _chunks(batches, languages):
+                bits, sure = shared.value.scored(c)
+                yield pd.DataFrame({"lang": bits.argmin(axis=1)[sure], "n": c.n[sure]})
 
         for r in pieces.mapInPandas(run, "lang int, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).collect():
             won[r["lang"]] = r["n"]
@@ -673,8 +763,7 @@ def segments_of(texts: list[str | None], model: Model, script: Script) -> list[l
             row.append(plains.setdefault(plain, len(plains)) if plain else -1)
         index.append(row)
     known = list(plains)
-    bits = model.bits(known)
-    words = [len(_WORD.findall(p)) for p in known]
+    bits, words = model.known_bits(known)
     best = bits.argmin(axis=1) if len(known) and model.languages else np.zeros(0, int)
     out: list[list[dict] | None] = []
     every: list[dict] = []

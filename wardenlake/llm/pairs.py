@@ -15,7 +15,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,32 +130,59 @@ ONE_WORD = {"yes": {"en"}, "no": {"en", "es", "it"}, "ja": {"de", "nl"}, "nein":
 
 _MARKUP = re.compile(r"```\w*|<[^<>]*>|&nbsp;|[*_#>`]")
 _CUT = re.compile(r"(?:\s*(?:\.{3,}|…|\[(?:cut|truncated|\.\.\.|…)\]|\((?:cut|truncated)\)))+\s*$", re.I)
-_SENTENCE = re.compile(r".+?(?:[.!?…]+[\"'”»)\]]*(?=\s|$)|$)", re.M)
+#: What ends a sentence of a text in one line.
+_SENTENCE_END = re.compile(r"[.!?…][.!?…]*[\"'”»)\]]*(?=\s|$)")
+_SPLIT = re.compile(r"(?<=[.!?:])\s+|\n+")
+_LETTERS = re.compile(r"\w+")
+_DIGIT = re.compile("[1-9]")
+#: Sentences that a worker keeps with what they are, and texts with their languages; only speed depends on it.
+KNOWN_SENTENCES, KNOWN_TEXTS = 50_000, 20_000
 _STOPPED = re.compile(r"[.!?。！？][\"'”»)\]]*\s*$")
 
 
+class _Kept(dict):
+    """A table for ``str.translate`` that asks for each character once and removes those that aren't wanted."""
+
+    def __init__(self, wanted: Callable[[str], bool]) -> None:
+        self.wanted = wanted
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = code if self.wanted(chr(code)) else None
+        return self[code]
+
+
+_SEEN = _Kept(lambda c: c.isprintable() or c in "\n\t " or unicodedata.category(c) not in ("Cf", "Cc"))
+_BARE = _Kept(lambda c: not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+
+
 def content(text: str | None) -> str:
     """What a response says: without markup, invisible characters and outer punctuation."""
     plain = text or ""
     if not plain.isascii() or not plain.isprintable():
-        plain = "".join(c for c in unicodedata.normalize("NFKC", plain) if c.isprintable() or c in "\n\t " or unicodedata.category(c) not in ("Cf", "Cc"))
+        plain = unicodedata.normalize("NFKC", plain)
+        if not plain.isprintable():
+            plain = plain.translate(_SEEN)
     return _MARKUP.sub(" ", plain).strip(" \t\n\r\"'“”«»()[]{}-–—.,;:!?…|/\\")
 
 
 def is_empty(text: str | None) -> bool:
-    plain = content(text).casefold()
-    if not any(c.isalnum() for c in plain) or plain in PLACEHOLDERS:
+    return _says_nothing(text, content(text).casefold())
+
+
+def _says_nothing(text: str | None, plain: str) -> bool:
+    if not any(map(str.isalnum, plain)) or plain in PLACEHOLDERS:
         return True
     if _NOTE.match((text or "").strip()):
         return True
-    return all(s.strip(" .!?:…") in ANNOUNCEMENTS or _ANNOUNCED.match(s.strip(" .!?:…")) for s in re.split(r"(?<=[.!?:])\s+|\n+", plain) if s.strip(" .!?:…"))
+    sentences = (s.strip(" .!?:…") for s in _SPLIT.split(plain))
+    return all(not s or s in ANNOUNCEMENTS or _ANNOUNCED.match(s) for s in sentences)
 
 
 def _squeezed(text: str) -> bytes:
     plain = text.casefold()
     if not plain.isascii():
-        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return " ".join(re.findall(r"\w+", plain)).encode("utf-8", "replace")
+        plain = unicodedata.normalize("NFKD", plain).translate(_BARE)
+    return " ".join(_LETTERS.findall(plain)).encode("utf-8", "replace")
 
 
 def novelty(text: bytes, known: bytes) -> int:
@@ -178,22 +206,46 @@ def is_copy(prompt: str | None, response: str) -> bool:
     return novelty(given, asked) <= COPY_BYTES + (ANNOUNCED_BYTES if ends_alike and len(given) > len(asked) else 0) and novelty(asked, given) <= LEFT_BYTES
 
 
+_known_sentences: dict[str, int] = {}
+
+
+def _judged(sentence: str) -> int:
+    """1 for a refusing sentence, 0 for a courteous one or none, -1 for any other."""
+    got = _known_sentences.get(sentence)
+    if got is None:
+        got = 1 if REFUSAL.search(sentence) else -1 if sentence and not COURTESY.match(sentence) else 0
+        if len(_known_sentences) >= KNOWN_SENTENCES:
+            _known_sentences.clear()
+        if len(sentence) < 500:
+            _known_sentences[sentence] = got
+    return got
+
+
 def is_refusal(response: str) -> bool:
     plain = " ".join(unicodedata.normalize("NFKC", response).replace("’", "'").split())
-    refusing = other = 0
-    for m in _SENTENCE.finditer(plain):
-        s = m[0].strip()
-        if REFUSAL.search(s):
+    plain = _DIGIT.sub("0", plain)  # the dictionaries name no digit, so sentences that differ in them only are judged once
+    at = refusing = other = 0
+    while at < len(plain):
+        m = _SENTENCE_END.search(plain, at + 1)
+        end = m.end() if m else len(plain)
+        s = plain[at:end].strip()
+        kind = _judged(s)
+        if kind > 0:
             refusing += len(s)
-        elif s and not COURTESY.match(s):
+        elif kind < 0:
             other += len(s)
+        at = end
     return refusing > 0 and refusing >= REFUSAL_SHARE * (refusing + other)
 
 
+_NUMBERED = re.compile(r"\b[^\W\d_]++-\d+\b")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+
+
 def _shape(text: str) -> str:
     """The text as the model of endings reads it: in lower case, any number as 9, any numbered name as one."""
-    text = re.sub(r"\b[^\W\d_]+-\d+\b", "agent-9", " ".join(text.split()))
-    return re.sub(r"\d+(?:[.,]\d+)*", "9", text).casefold()
+    text = _NUMBERED.sub("agent-9", " ".join(text.split()))
+    return _NUMBER.sub("9", text).casefold()
 
 
 def _ending(text: str) -> str:
@@ -237,14 +289,11 @@ def fit_endings(known: DataFrame) -> Endings:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                texts: dict[str, int] = {}
-                for t in batch["e"]:
-                    if t:
-                        texts[t] = texts.get(t, 0) + 1
-                for t in batch["o"]:
-                    if t and _STOPPED.search(t) and not _CUT.search(t):
-                        texts[t] = texts.get(t, 0) + 1
-                finished = [(_ending(t) + "\0", n) for t, n in texts.items() if content(t)]
+                # texts that differ in their numbers only have one shape, and are read once
+                whole = Counter(language.FIGURES.sub("0", t) for t in batch["e"] if t)
+                given = Counter(language.FIGURES.sub("0", t) for t in batch["o"] if t)
+                whole.update({t: n for t, n in given.items() if _STOPPED.search(t) and not _CUT.search(t)})
+                finished = [(_ending(t) + "\0", n) for t, n in whole.items() if content(t)]
                 size = 0
                 group: list[tuple[str, int]] = []
                 for i, (t, n) in enumerate(finished):
@@ -271,30 +320,35 @@ def adapted(spark: SparkSession, labelled: DataFrame | list[tuple[str, str]], kn
         labelled = spark.createDataFrame([(i, *x) for i, x in enumerate(labelled)], "id int, text string, lang string")
     pieces = language.count_pieces(labelled.filter("lang IS NOT NULL"), script)
     languages = sorted(r["lang"] for r in pieces.select("lang").distinct().collect())
-    counts = language.count_windows(pieces, languages, language.AsLabelled(languages))
-    counts = language.corrected_counts(pieces, languages, counts)
+    read = language.read_windows(pieces, languages)
+    drop(pieces)
+    counts = language.count_windows(read, languages, language.AsLabelled(languages))
+    counts = language.corrected_counts(read, languages, counts)
     texts = known.select(F.lit(0).alias("id"), F.explode(F.array("p", "e")).alias("text"), F.lit(None).cast("string").alias("lang"))
     raw = language.count_pieces(texts, script)
     found = raw.groupBy("piece").agg(F.sum("n").alias("n"))
     # repeats of a piece are in both halves by turns, an odd one where its hash says
     odd = F.when(F.pmod(F.xxhash64("piece"), F.lit(2)) == F.col("half"), F.col("n") % 2).otherwise(0)
     split = found.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", F.floor(F.col("n") / 2) + odd)
-    own = cut(split.filter("n > 0").select("half", "piece", F.lit(None).cast("string").alias("lang"), "n"))
+    own = language.read_windows(split.filter("n > 0").select("half", "piece", F.lit(None).cast("string").alias("lang"), "n"), languages)
     drop(raw)
     added = language.count_windows(own, languages, language.as_adapted(language.model_of(languages, counts), languages, own))
     if any(len(keys) for half in added for keys, _ in half):
         counts = [[language.summed(*map(np.concatenate, zip(*c, strict=True))) for c in zip(*halves, strict=True)] for halves in zip(counts, added, strict=True)]
-        counts = language.corrected_counts(pieces.unionByName(own), languages, counts)
+        counts = language.corrected_counts(read.unionByName(own), languages, counts)
     else:
-        counts = language.corrected_counts(pieces, languages, counts)
-    drop(pieces)
+        counts = language.corrected_counts(read, languages, counts)
+    drop(read)
     drop(own)
     return language.model_of(languages, counts), script
 
 
 def _broken_code(text: str) -> bool | None:
     """For JSON: whether it breaks off; None for other text."""
-    plain = re.sub(r"^```\w*\s*|\s*```$", "", text.strip())
+    plain = text.strip()
+    if plain[:1] not in ("{", "[", "`"):
+        return None
+    plain = re.sub(r"^```\w*\s*|\s*```$", "", plain)
     if plain[:1] in ("{", "[") and (plain[1:2] in ('"', "{", "[", "'") or len(plain) < 3 or plain[1:2].isdigit() or plain[1:2].isspace()):
         try:
             json.loads(plain)
@@ -312,6 +366,18 @@ def _languages(segments: list[dict] | None) -> dict[str, float]:
     return out
 
 
+def _won(texts: list[str | None], model: language.Model, script: language.Script) -> list[dict[str, float]]:
+    """``_languages`` of each text. As no stretch depends on a number, texts that differ in their numbers only are read once."""
+    known = model.__dict__.setdefault("_won", {})
+    plain = [language.FIGURES.sub("0", t or "") for t in texts]
+    new = list(dict.fromkeys(t for t in plain if t not in known))
+    if len(known) + len(new) > KNOWN_TEXTS:
+        known.clear()
+        new = list(dict.fromkeys(plain))
+    known.update(zip(new, map(_languages, language.segments_of(new, model, script)), strict=True))
+    return [known[t] for t in plain]
+
+
 def named_languages(prompt: str) -> set[str]:
     return {_NAMED[w] for w in re.findall(r"[^\W\d_]+", prompt.casefold()) if w in _NAMED}
 
@@ -321,40 +387,47 @@ def defects_of(prompts: list, responses: list, fitted: tuple, endings: Endings)
     model, script = fitted
     out: list[list[str]] = [[] for _ in prompts]
     rest = []
+    words: dict[int, str] = {}
+    unended = []
     for i, (p, r) in enumerate(zip(prompts, responses, strict=True)):
-        if is_empty(r):
+        word = content(r).casefold()
+        if _says_nothing(r, word):
             out[i].append("empty")
         elif is_copy(p, r):
             out[i].append("copy")
         else:
             rest.append(i)
+            words[i] = word
             if is_refusal(r):
                 out[i].append("refusal")
-    ends = endings.bits([_CUT.sub("", responses[i]) for i in rest])
-    asked = language.segments_of([prompts[i] for i in rest], model, script)
-    given = language.segments_of([responses[i] for i in rest], model, script)
-    for i, end, a, g in zip(rest, ends, asked, given, strict=True):
+            broken = _broken_code(r)
+            if broken or (broken is None and _CUT.search(r)):
+                out[i].append("truncated")
+            elif broken is None and not _STOPPED.search(r):
+                unended.append(i)
+    # only where neither code nor a mark nor a full stop tells, the model of endings does
+    for i, end in zip(unended, endings.bits([responses[i] for i in unended]), strict=True):
         text = responses[i]
-        broken = _broken_code(text)
-        if broken is None:
-            cut = _CUT.search(text)
-            listed = "\n" in text.strip() and all(len(line.split()) <= 3 for line in text.splitlines())
-            broken = bool(cut) or (not _STOPPED.search(text) and end >= (LISTED_BITS if listed else END_BITS))
-        if broken:
+        listed = "\n" in text.strip() and all(len(line.split()) <= 3 for line in text.splitlines())
+        if end >= (LISTED_BITS if listed else END_BITS):
             out[i].append("truncated")
+    asked = _won([prompts[i] for i in rest], model, script)
+    given = _won([responses[i] for i in rest], model, script)
+    for i, a, g in zip(rest, asked, given, strict=True):
         if not prompts[i]:
             continue
-        allowed = set(_languages(a)) | named_languages(prompts[i])
-        word = content(text).casefold()
-        if word in ONE_WORD:
-            if allowed and not ONE_WORD[word] & allowed:
+        allowed = set(a)
+        if words[i] in ONE_WORD:
+            allowed |= named_languages(prompts[i])
+            if allowed and not ONE_WORD[words[i]] & allowed:
                 out[i].append("language")
             continue
-        won = _languages(g)
-        if won and allowed:
-            best = max(won, key=won.get)
-            if best not in allowed and won[best] >= LANGUAGE_BITS:
-                out[i].append("language")
+        if g:
+            best = max(g, key=g.get)
+            if best not in allowed and g[best] >= LANGUAGE_BITS:
+                allowed |= named_languages(prompts[i])
+                if allowed and best not in allowed:
+                    out[i].append("language")
     return out
 
 

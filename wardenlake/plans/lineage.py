@@ -38,8 +38,8 @@ def _delete(sc: SparkContext, folder: str) -> None:
 _to_delete: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table of the folder and read it from there.
+def cut(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Write ``df`` once as a table of the folder and read it from there. For wide rows, ``rows`` bounds those that a reader holds at once.
 
     A table rather than a checkpoint: a checkpoint keeps the estimated size of its plan, which in a loop of joins grows beyond all bounds and keeps small sides
     from being broadcast; a table has the size that it has, and columns that nobody reads stay unread.
@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
         _to_delete.add(folder)
         atexit.register(_delete, spark.sparkContext, folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": rows} if rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
